@@ -1,7 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
 from .bpe import op4_byte_bpe
+from .lines import OP5_SQL, op5_line_dedup
 from .sharding import op7_sharding
+from .simhash import op2_simhash
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op7_sharding": op7_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_byte_bpe, op5_line_dedup, op7_sharding)}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
