@@ -54,7 +54,6 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.find_latin = re.compile(latin_pattern(pattern)).findall
-        self.tokens = {i: t for t, i in ranks.items()}
         #: Both parts of a pair as one number, sorted, and the rank of what each pair merges into.
         merges = sorted(
             (ranks[t[:i]] << SHIFT | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
@@ -171,36 +170,42 @@ class MergeReplay:
         known = young.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def ranks_in(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 @functools.lru_cache(2)
 def replay_of(path: str, pattern: str) -> MergeReplay:
     """One for each worker process, so that later tasks find the words of earlier ones."""
-    with open(path, "rb") as f:
-        return MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+    return MergeReplay(ranks_in(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", rows: int = 2048) -> DataFrame:
+@functools.lru_cache(2)
+def tokens_of(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks_in(path).items()}
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", rows: int = 1024) -> DataFrame:
     """docs with the ids of each text, as binary, in column `out`. path: a rank file that every executor has."""
 
     def run(batches):
         model = replay_of(path, pattern)
-        for batch in portions(batches, text, rows):
+        for batch in portions(batches, text, rows, 4_000_000):
             ids = model.encode(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
-def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded", rows: int = 2048) -> DataFrame:
+def decode(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded", rows: int = 1024) -> DataFrame:
     """docs with the bytes that the ids stand for, in column `out`; null ids decode to no bytes."""
 
     def run(batches):
-        model = replay_of(path, pattern)
+        token = tokens_of(path).__getitem__
         for batch in slices(batches, rows):
-            data = [model.decode(x or b"") for x in batch.column(ids).to_pylist()]
+            data = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
@@ -217,7 +222,7 @@ def op4_byte_bpe(spark, sf_dir):
 
     path, pattern = public_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path, pattern).drop("text"), path, pattern)
+    out = decode(encode(docs, path, pattern).drop("text"), path)
     return out.select(
         "doc_id",
         F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
