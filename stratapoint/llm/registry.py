@@ -4,11 +4,18 @@ from .bpe import op4_byte_bpe
 from .decontaminate import op6_decontamination
 from .language import op3_language_id
 from .lines import OP5_SQL, op5_line_dedup
+from .neighbours import op8_neighbours
 from .pii import op10_pii
 from .quality import op1_quality
 from .sharding import op7_sharding
 from .simhash import op2_simhash
 from .training_order import op9_training_order
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_language_id, op4_byte_bpe, op5_line_dedup, op6_decontamination, op7_sharding, op9_training_order, op10_pii)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_simhash, op3_language_id, op4_byte_bpe, op5_line_dedup,
+        op6_decontamination, op7_sharding, op8_neighbours, op9_training_order, op10_pii,
+    )
+}
 ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
