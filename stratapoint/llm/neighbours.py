@@ -59,7 +59,7 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def lists(nodes: list, ids: list, scores: list, name: str = "node") -> pd.DataFrame:
-    return pd.DataFrame({name: np.array(nodes, np.int64), "ids": ids, "scores": scores})
+    return pd.DataFrame({name: np.array(nodes, np.int64), "ids": pd.Series(list(ids), dtype=object), "scores": pd.Series(list(scores), dtype=object)})
 
 
 def merged_lists(found: DataFrame, k: int, buckets: int) -> DataFrame:
