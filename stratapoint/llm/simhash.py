@@ -4,7 +4,7 @@ Every text gets a 64-bit fingerprint of its word shingles; equal fingerprints be
 fingerprints that differ in at most `radius` bits differ in at most radius // 2 of one of their two
 32-bit halves, so each half has a vantage-point tree of its own, searched with that smaller radius:
 the triangle bound then cuts off nearly all of a tree. The trees are grown on a bounded sample
-(`sample_rows`); their leaves are shards. A fingerprint belongs to the leaf on its side of every
+(about `sample_rows`); their leaves are shards. A fingerprint belongs to the leaf on its side of every
 vantage point's ball, and also visits each leaf that the triangle bound cannot rule out, so any two
 fingerprints in reach of each other meet in a shard. A shard compares all bits of its own rows with all
 rows in it and returns a spanning forest of the links found, never the pairs; components over these
@@ -31,7 +31,7 @@ from .shared import slices, stored
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Fingerprints that the trees are grown on, at most, and those that a shard should own.
+#: Fingerprints that the trees are grown on, about, and those that a shard should own.
 SAMPLE_ROWS = 65_536
 SHARD_ROWS = 2_048
 HALVES = (0, 32)
@@ -147,8 +147,9 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, sample_rows: int = SAM
     """distinct: fp and rep, one row for each fingerprint. Returns links u, v between reps."""
     spark = distinct.sparkSession
     total = distinct.count()
-    sample = distinct.select("fp", F.xxhash64("fp").alias("_o")).orderBy("_o").limit(sample_rows).select("fp").collect()
-    points = np.array([r.fp for r in sample], np.int64).view(np.uint64)
+    drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(sample_rows / max(1, total) * (1 << 40))
+    sample = distinct.where(drawn).select("fp").collect()  # about sample_rows rows, whatever the total
+    points = np.sort(np.array([r.fp for r in sample], np.int64)).view(np.uint64)
     leaf = max(2, int(len(points) * shard_rows / max(1, total)))
     rng = np.random.default_rng(SEED)
     trees = [grow((points >> np.uint64(s)) & LOW, leaf, rng) for s in HALVES]
