@@ -30,7 +30,7 @@ from .shared import slices, stored
 NEIGHBOURS, REVERSE, ROUNDS = 20, 12, 2
 #: Hyperplane trees, and nodes of a group, about.
 TREES, GROUP = 12, 1024
-#: Vectors on which the hyperplanes' positions are chosen, at most.
+#: Vectors on which the hyperplanes' positions are chosen, about.
 SAMPLE_ROWS = 16_384
 #: Nodes a search keeps, nodes it looks at in a step, and steps after which it ends.
 BEAM, WIDTH, STEPS = 256, 64, 16
@@ -78,7 +78,8 @@ def merged_lists(found: DataFrame, k: int, buckets: int) -> DataFrame:
 
 def first_neighbours(nodes: DataFrame, total: int, width: int, k: int, trees: int, group: int, sample_rows: int, buckets: int) -> DataFrame:
     """nodes: node, v (half-precision floats). The k best of each node within its groups."""
-    sample = nodes.select("v", F.xxhash64("node", F.lit(5)).alias("_o")).orderBy("_o").limit(sample_rows).collect()
+    drawn = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 40)) < int(sample_rows / max(1, total) * (1 << 40)) if total > sample_rows else F.lit(True)
+    sample = nodes.where(drawn).select("v").collect()  # about sample_rows rows, whatever the total
     points = np.frombuffer(b"".join(bytes(r.v) for r in sample), "f2").reshape(-1, width).astype(np.float32)
     planes = max(0, int(np.ceil(np.log2(max(1.0, total / group)))))
     rng = np.random.default_rng(13)
