@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .shared import portions, slices
 
 #: Distinct words a worker remembers in each of two generations; older ones are replayed again.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Words are replayed together in portions of about so many bytes.
 REPLAY_BYTES = 4_000_000
 #: Bits of a token id; ids that stand for no token.
@@ -187,25 +187,40 @@ def tokens_of(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in ranks_in(path).items()}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", rows: int = 1024) -> DataFrame:
-    """docs with the ids of each text, as binary, in column `out`. path: a rank file that every executor has."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", decoded: str | None = None, rows: int = 1024) -> DataFrame:
+    """docs with the ids of each text, as binary, in column `out`. path: a rank file that every executor has.
+
+    With `decoded` the same task also decodes the ids into the column of that name, so that one worker does both.
+    """
+    names = [out, *([decoded] if decoded else [])]
+    docs = docs.drop(*names)
 
     def run(batches):
         model = replay_of(path, pattern)
         for batch in portions(batches, text, rows, 4_000_000):
             ids = model.encode(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, out])
+            new = [pa.array(ids, pa.binary())]
+            if decoded:
+                token = tokens_of(path).__getitem__
+                new.append(pa.array([_decoded(x, token) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
+
+def _decoded(ids: bytes | None, token) -> bytes:
+    return b"".join(map(token, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded", rows: int = 1024) -> DataFrame:
     """docs with the bytes that the ids stand for, in column `out`; null ids decode to no bytes."""
 
+    docs = docs.drop(out)
+
     def run(batches):
         token = tokens_of(path).__getitem__
         for batch in slices(batches, rows):
-            data = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids).to_pylist()]
+            data = [_decoded(x, token) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
@@ -222,8 +237,7 @@ def op4_byte_bpe(spark, sf_dir):
 
     path, pattern = public_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path, pattern).drop("text"), path)
-    return out.select(
+    return encode(docs, path, pattern, decoded="decoded").select(
         "doc_id",
         F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
