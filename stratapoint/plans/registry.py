@@ -1,14 +1,15 @@
-"""Queries over the point-cloud operators and the SQL each must equal."""
+"""The engine's queries, their SQL, and the flagship query."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from .queries import ORACLES, QUERIES, _picked
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which tiles are active for each camera, with how many points, and how wide they look."""
+    active = _picked(spark, sf_dir).where("active")
+    return active.select("camera_id", F.col("id").alias("tile_id"), "depth", "point_count", F.round("angle", 4).alias("angle"))
