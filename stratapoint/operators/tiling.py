@@ -60,13 +60,33 @@ def tile_id(bounds: Bounds, digits: list[str], file_index: str = "file_index") -
 
 
 def with_bounds(tiles: DataFrame, bounds: Bounds, depth: int) -> DataFrame:
-    """tiles (d1 to dn, null below a tile's depth) with their box, as the struct `bounds`."""
+    """tiles (d1 to dn, null below a tile's depth) with their box, as the struct `bounds`.
+
+    One fold over the digits: a filter on the box that is pushed down repeats an expression of fixed size.
+    """
     axes = AXES[: 3 if bounds.solid else 2]
-    df = _limits(tiles, bounds)
+    none = F.lit(None).cast("double")
+    root = F.struct(*((F.lit(float(getattr(bounds, f"{end}_{a}"))) if a in axes else none).alias(f"{end}_{a}") for a in AXES for end in ("min", "max")))
+
+    def half(box: Column, digit: Column) -> Column:
+        ends = []
+        for i, a in enumerate(AXES):
+            low, high = box[f"min_{a}"], box[f"max_{a}"]
+            upper, middle = digit.bitwiseAND(2**i) != 0, (low + high) / 2
+            ends += [F.when(upper, middle).otherwise(low).alias(f"min_{a}"), F.when(upper, high).otherwise(middle).alias(f"max_{a}")]
+        return F.when(digit.isNull(), box).otherwise(F.struct(*ends))
+
+    digits = [F.col(d) for d in digit_columns(depth)]
+    return tiles.withColumn("bounds", F.aggregate(F.array(*digits), root, half) if digits else root)
+
+
+def with_bounds_of_points(points: DataFrame, bounds: Bounds, depth: int) -> DataFrame:
+    """The same for points that all have `depth` digits, in projections that Spark compiles."""
+    axes = AXES[: 3 if bounds.solid else 2]
+    df = _limits(points, bounds)
     for name in digit_columns(depth):
         df = df.withColumns({f"_mid_{a}": (F.col(f"_min_{a}") + F.col(f"_max_{a}")) / 2 for a in axes})
-        steps = _halved(axes, {a: F.col(name).bitwiseAND(2**i) != 0 for i, a in enumerate(axes)})
-        df = df.withColumns({k: F.when(F.col(name).isNull(), F.col(k)).otherwise(v) for k, v in steps.items()})
+        df = df.withColumns(_halved(axes, {a: F.col(name).bitwiseAND(2**i) != 0 for i, a in enumerate(axes)}))
     none = F.lit(None).cast("double")
     ends = [(F.col(f"_{end}_{a}") if a in axes else none).alias(f"{end}_{a}") for a in AXES for end in ("min", "max")]
     return df.withColumn("bounds", F.struct(*ends)).drop(*(f"_{end}_{a}" for a in axes for end in ("min", "mid", "max")))

@@ -133,7 +133,7 @@ def cameras_at(src: str = "cams") -> str:
     """CTEs: at(…, ux, uy, alt, px, py): cameras in UTM with altitude and ground position."""
     return f"""{forward(src, 'fw')},
 alts AS (SELECT *, {ALTITUDE} AS alt FROM fw),
-at AS (SELECT *, ux - sin(radians(bearing)) * alt * tan(radians(pitch)) AS px, uy - cos(radians(bearing)) * alt * tan(radians(pitch)) AS py FROM alts)"""
+eye AS (SELECT *, ux - sin(radians(bearing)) * alt * tan(radians(pitch)) AS px, uy - cos(radians(bearing)) * alt * tan(radians(pitch)) AS py FROM alts)"""
 
 
 def seen(solid: bool) -> str:
@@ -143,7 +143,7 @@ def seen(solid: bool) -> str:
     across = hypot("greatest(lo_x - px, px - hi_x, 0)", "greatest(lo_y - py, py - hi_y, 0)")
     return f"""{cameras_at()},
 pairs AS (SELECT camera_id, pitch, t.*, {hypot(across, f"greatest({lo} - alt, alt - {hi}, 0)")} AS distance, {hypot("hi_x - lo_x", "hi_y - lo_y", f"{hi} - {lo}")} AS diagonal,
-  pitch > 1 AND (ux <> px OR uy <> py) AND greatest({dots}) <= 0 AS behind FROM tiles t CROSS JOIN at),
+  pitch > 1 AND (ux <> px OR uy <> py) AND greatest({dots}) <= 0 AS behind FROM tiles t CROSS JOIN eye),
 seen AS (SELECT *, CASE WHEN NOT diagonal > 0 THEN 0 WHEN distance = 0 THEN 'Infinity'::DOUBLE ELSE degrees(2 * atan(diagonal / (2 * distance))) END AS angle FROM pairs)"""
 
 

@@ -334,7 +334,7 @@ def q_camera_altitude(spark, sf_dir):
     return cloud.camera_events(spark, sf_dir).select("camera_id", r6(cam.metres_per_pixel(c("lat"), c("zoom"))).alias("mpp"), F.round(alt, 4).alias("altitude"))
 
 
-@query(o.with_(o.EVENT_CAMERAS, o.cameras_at(), final="SELECT camera_id, round(px, 3) AS x, round(py, 3) AS y, round(alt, 3) AS z FROM at"))
+@query(o.with_(o.EVENT_CAMERAS, o.cameras_at(), final="SELECT camera_id, round(px, 3) AS x, round(py, 3) AS y, round(alt, 3) AS z FROM eye"))
 def q_camera_position(spark, sf_dir):
     c = F.col
     alt = cam.altitude(c("lat"), c("zoom"), c("pitch"), c("viewport_height"), c("fov_degrees"))
