@@ -8,10 +8,11 @@ matches come from Karp-Rabin hashes: equal hashes at neighbouring places on a di
 The marked share of the item is its coverage, whatever the order of the tiles; a document that
 covers at least `threshold` of an item is contaminated.
 
-The benchmark is sent to the tasks in blocks of at most `block_items` items, and the corpus is read once
+The benchmark is sent to the tasks in blocks of at most `block_items` items and BLOCK_BYTES of text, and the corpus is read once
 for each block, so neither size nor number of items is limited by memory. Null texts and items have
 no words. Items of fewer than `tile` words have no seed and match nothing. Repeated rows are each
-reported, repeated items by their smallest id. Empty tables give no contamination.
+reported, repeated items by their smallest id. Empty tables give no contamination. All columns of the input stay,
+but for those named like a result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .shared import slices
 TILE = 5
 THRESHOLD = 0.6
 BLOCK_ITEMS = 100_000
+#: UTF-8 bytes of the items of a block, so that what is broadcast is bounded.
+BLOCK_BYTES = 32 << 20
 WORDS = re.compile(r"[^\W_]+").findall
 BASE = 0x9E3779B97F4A7C15
 
@@ -104,6 +107,7 @@ OVERLAPS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.S
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, block_items: int = BLOCK_ITEMS, out: str = "overlaps") -> DataFrame:
     """docs with the items that each text shares words with, and their coverage."""
+    docs = docs.drop(out)
     sc = docs.sparkSession.sparkContext
     items = benchmark.groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).where("item_id is not null").select("item_id", "text")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, OVERLAPS)])
@@ -121,11 +125,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, block_item
         return run
 
     block: list[tuple[int, str]] = []
-    result, blocks = docs, 0
+    result, blocks, held = docs, 0, 0
     for row in items.orderBy("item_id").toLocalIterator():  # a block at a time
         block.append((row.item_id, row.text))
-        if len(block) == block_items:
-            result, block, blocks = result.mapInArrow(against(sc.broadcast(block)), schema), [], blocks + 1
+        held += len((row.text or "").encode())
+        if len(block) == block_items or held >= BLOCK_BYTES:
+            result, block, blocks, held = result.mapInArrow(against(sc.broadcast(block)), schema), [], blocks + 1, 0
     if block or not blocks:
         result = result.mapInArrow(against(sc.broadcast(block)), schema)
     return result
@@ -133,6 +138,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, block_item
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, threshold: float = THRESHOLD) -> DataFrame:
     """docs with `contaminated`, the items covered from the threshold on (`items`), and the most covered item."""
+    docs = docs.drop("_overlaps", "contaminated", "items", "item_id", "coverage", "tiles")
     found = overlaps(docs, benchmark, tile, out="_overlaps")
     best = F.expr("array_max(transform(_overlaps, x -> struct(x.coverage as coverage, -x.item_id as item, x.tiles as tiles)))")
     found = found.withColumn("_best", best)

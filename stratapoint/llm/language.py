@@ -7,7 +7,7 @@ temperature fitted on the part of the sample that training left out calibrates t
 
 Predictions see nothing but the text, all of it. A text that is null or has no letter is `und` with
 score 0. With no row to learn from every prediction is `und`. Rows with a null language teach
-nothing. Repeated rows are each predicted. All columns of the input stay.
+nothing. Repeated rows are each predicted. All columns of the input stay, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -165,6 +165,7 @@ def learn(docs: DataFrame, allowed: Column, train_rows: int = TRAIN_ROWS) -> Lan
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", language: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """docs with a language and its score."""
+    docs = docs.drop(language, score)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x languages numbers
 
     def run(batches):

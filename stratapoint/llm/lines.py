@@ -12,7 +12,7 @@ A line's key is the line without `[\\x20\\x09-\\x0D]` at its ends and with A-Z l
 least `min_chars` code points found in at least `min_docs` documents lose all their lines except in the
 largest doc_id that holds them. Null or empty texts are one empty line. A null doc_id is a document
 that never keeps. Repeated rows of a doc_id are one document, and each row is treated alike. An empty
-table gives an empty result. All columns of the input stay.
+table gives an empty result. All columns of the input stay, but for those named like a result, which it replaces.
 """
 
 from __future__ import annotations
@@ -149,8 +149,8 @@ def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     return counts.where(F.col("n_docs") >= min_docs)
 
 
-def kept_batch(batch: pa.RecordBatch, text: str, min_chars: int, dropped) -> pa.RecordBatch:
-    """The batch with n_lines, n_dropped and kept_text. dropped: keys and the rows they are in -> which go."""
+def kept_batch(batch: pa.RecordBatch, text: str, min_chars: int, dropped, names: tuple[str, str, str]) -> pa.RecordBatch:
+    """The batch with the columns of these names: lines, lines dropped, text kept. dropped: keys and the rows they are in -> which go."""
     rows = [keyed(t, min_chars) for t in batch.column(text).to_pylist()]
     row_of = np.repeat(np.arange(len(rows)), [len(at) for _, at, _ in rows])
     go = dropped([k for _, _, keys in rows for k in keys], row_of) if len(row_of) else np.zeros(0, bool)
@@ -162,14 +162,16 @@ def kept_batch(batch: pa.RecordBatch, text: str, min_chars: int, dropped) -> pa.
         n_dropped.append(len(gone))
         kept.append(b"\n".join([x for i, x in enumerate(lines) if i not in gone] if gone else lines).decode())
     new = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
-    return pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n_lines", "n_dropped", "kept_text"])
+    return pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text."""
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, broadcast_bytes: int = BROADCAST_BYTES,
+    names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text"),
+) -> DataFrame:
+    """docs with the number of lines, of those dropped, and the text kept."""
     spark = docs.sparkSession
+    docs = docs.drop(*names)
     counts = stored(line_counts(docs, min_chars, min_docs), "line-counts")
     shards = max(1, -(-counts.count() // shard_keys))
     index = stored(
@@ -177,7 +179,7 @@ def dedup_lines(
         .select("shard", "h1", "h2", "keeper").groupBy("shard").applyInPandas(built, INDEX),
         "line-index",
     )
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, (T.LongType(), T.LongType(), T.StringType()))])
     size = index.agg(F.sum(F.octet_length("seeds") + F.octet_length("fingerprints") + F.octet_length("keepers"))).first()[0] or 0
     if size <= broadcast_bytes:
         sent = spark.sparkContext.broadcast(([r.asDict() for r in index.collect()], shards))
@@ -192,7 +194,7 @@ def dedup_lines(
                     found, keeper = lines.keeper(*halves(keys))
                     return found & ((keeper != ids[row]) | null[row])
 
-                yield kept_batch(batch, "text", min_chars, dropped)
+                yield kept_batch(batch, "text", min_chars, dropped, names)
 
         return docs.mapInArrow(probe, schema)
 
@@ -226,7 +228,7 @@ def dedup_lines(
             def dropped(keys, row):
                 return np.array([k in gone[r] for k, r in zip(zip(*(h.tolist() for h in halves(keys))), row.tolist())], bool)
 
-            yield kept_batch(batch.drop_columns("_gone"), "text", min_chars, dropped)
+            yield kept_batch(batch.drop_columns("_gone"), "text", min_chars, dropped, names)
 
     return joined.mapInArrow(strip, schema)
 

@@ -7,7 +7,7 @@ over the statistics. Growing and fitting use all labelled rows of the learning f
 
 A null text has the statistics of the empty text; both get a score. Labels of unknown documents and
 null labels teach nothing. With labels of one kind only the score is their share. Repeated rows are each
-scored. An empty table gives an empty result. All columns of the input stay.
+scored. An empty table gives an empty result. All columns of the input stay, but for those named like a statistic.
 """
 
 from __future__ import annotations
@@ -61,6 +61,7 @@ def statistics_of(text: str | None) -> list[float]:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns STATISTICS."""
+    docs = docs.drop(*STATISTICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
