@@ -20,7 +20,7 @@ from .shared import stored, utf8_bytes
 
 SHARDS = 24
 SEED = 20_240_611
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: Buckets whose counts one task adds up.
 SPAN = 4096
 
