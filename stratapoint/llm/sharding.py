@@ -71,7 +71,9 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_r
     rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / 2.0**32 * buckets))
     rows = ranked(rows, ["_source"], "_bucket", ties, "_rank")
     sizes = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_of"))
-    rows = rows.join(sizes, "_source").withColumn("_fraction", (F.col("_rank") - F.lit(0.5)) / F.col("_of"))
+    # Each source begins at a place of its own, or sources of one size would come in lumps.
+    phase = (F.pmod(F.xxhash64("_source", F.lit(seed)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    rows = rows.join(sizes, "_source").withColumn("_fraction", (F.col("_rank") - phase) / F.col("_of"))
     rows = rows.withColumn("_part", F.floor(F.col("_fraction") * buckets))
     rows = ranked(rows, [], "_part", ["_fraction", "_source", *ties], "_at")
     shard = F.expr(f"((_at - 1) * {shards}) div {max(1, total)}")
