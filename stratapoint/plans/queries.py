@@ -635,12 +635,12 @@ def q_hsl_to_rgb(spark, sf_dir):
 @query(o.with_(o.POINTS, o.digits(False), o.inverse("lv6", "ll"),
   "m AS (SELECT id6 AS tile_id, point_index, (lng + 180) / 360 AS ux, 0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi()) AS uy, lng, lat, z FROM ll)",
   "an AS (SELECT tile_id, (min(lng) + max(lng)) / 2 AS al, (min(lat) + max(lat)) / 2 AS anchor_lat, (min(z) + max(z)) / 2 AS az FROM m GROUP BY 1)",
-  final="SELECT point_index, tile_id, round((ux - (al + 180) / 360) * 1e6, 2) AS rel_x, round((uy - (0.5 - ln(tan(pi() / 4 + radians(anchor_lat) / 2)) / (2 * pi()))) * 1e6, 2) AS rel_y, round(az, 4) AS anchor FROM m JOIN an USING (tile_id)"))
+  final="SELECT point_index, tile_id, round((ux - (al + 180) / 360) * 1e6, 2) + 0.0::DOUBLE AS rel_x, round((uy - (0.5 - ln(tan(pi() / 4 + radians(anchor_lat) / 2)) / (2 * pi()))) * 1e6, 2) + 0.0::DOUBLE AS rel_y, round(az, 4) AS anchor FROM m JOIN an USING (tile_id)"))
 def q_render_positions(spark, sf_dir):
     """In millionths of the map's side, two decimals: about 0.4 m."""
     rows = pr.with_lnglat(tiling.leaf_points(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH), F.col("mx"), F.col("my"), 28)
     out = geometry.render_positions(rows.select("point_index", "tile_id", "lng", "lat", "z"))
-    return out.select("point_index", "tile_id", F.round(F.col("rel_x").cast("double") * 1e6, 2).alias("rel_x"), F.round(F.col("rel_y").cast("double") * 1e6, 2).alias("rel_y"), F.round("anchor_height", 4).alias("anchor"))
+    return out.select("point_index", "tile_id", (F.round(F.col("rel_x").cast("double") * 1e6, 2) + F.lit(0.0)).alias("rel_x"), (F.round(F.col("rel_y").cast("double") * 1e6, 2) + F.lit(0.0)).alias("rel_y"), F.round("anchor_height", 4).alias("anchor"))
 
 
 @query(o.with_(o.POINTS, o.tiles(False), o.corners(),
