@@ -3,7 +3,7 @@
 Equal vectors become one node. Vectors are scaled to norm one at most and lengthened by one coordinate
 that makes all norms equal, so that the nodes of largest inner product are also the closest. First
 neighbours come from groups of nodes that fall on the same sides of random hyperplanes. Then rounds of
-NN-descent, each a Spark join: every node gathers its neighbours and a sample of the nodes it is a
+NN-descent, until one changes hardly a list entry, each a Spark join: every node gathers its neighbours and a sample of the nodes it is a
 neighbour of, compares them with one another, and tells each the better ones it has found. A search
 starts at the query's own node and goes on through the neighbours of the best nodes so far, all
 queries at once, one join for each step, until the best `beam` nodes have all been looked at. The best
@@ -18,6 +18,7 @@ of another length than the first are left out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import slices, stored
 
-NEIGHBOURS, REVERSE, ROUNDS = 20, 12, 2
+NEIGHBOURS, REVERSE = 20, 12
+#: Rounds end once a round changes no more than this share of the list entries.
+CHANGED = 0.01
 #: Hyperplane trees, and nodes of a group, about.
 TREES, GROUP = 12, 1024
 #: Vectors on which the hyperplanes' positions are chosen, about.
 SAMPLE_ROWS = 16_384
-#: Nodes a search keeps, nodes it looks at in a step, and steps after which it ends.
-BEAM, WIDTH, STEPS = 256, 64, 16
+#: Nodes a search keeps, and nodes it looks at in a step.
+BEAM, WIDTH = 256, 64
 #: Nodes or queries that one group of a Python stage holds, about.
 BUCKET = 1024
 
@@ -118,17 +121,17 @@ def first_neighbours(nodes: DataFrame, total: int, width: int, k: int, trees: in
     return merged_lists(placed.groupBy("tree", "code", "piece").applyInPandas(nearest, LIST), k, buckets)
 
 
-def gathered(graph: DataFrame, reverse: int) -> DataFrame:
+def gathered(graph: DataFrame, reverse: int, draw: int = 0) -> DataFrame:
     """center and member: each node with its neighbours, and with up to `reverse` nodes drawn from those it is a neighbour of."""
     forward = graph.select(F.col("node").alias("center"), F.explode("ids").alias("member"))
-    drawn = Window.partitionBy("member").orderBy(F.xxhash64("center", "member"))
+    drawn = Window.partitionBy("member").orderBy(F.xxhash64("center", "member", F.lit(draw)))
     back = forward.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= reverse).select(F.col("member").alias("center"), F.col("center").alias("member"))
     return forward.union(back).distinct()
 
 
-def descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, reverse: int, buckets: int) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, reverse: int, buckets: int, draw: int = 0) -> DataFrame:
     """One round: the graph with what its nodes' neighbours know of each other."""
-    around = gathered(graph, reverse).union(graph.select("node", "node")).withColumnRenamed("member", "node")
+    around = gathered(graph, reverse, draw).union(graph.select("node", "node")).withColumnRenamed("member", "node")
     worst = graph.select("node", F.when(F.size("ids") >= k, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
     told = around.join(nodes.join(worst, "node").select("node", "v", "worst"), "node")
 
@@ -138,7 +141,7 @@ def descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, reverse: int
         for rows in pdf.groupby("center").indices.values():
             s = x[rows] @ x[rows].T
             np.fill_diagonal(s, -np.inf)
-            n = min(8, len(rows) - 1)
+            n = min(k, len(rows) - 1)
             top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n > 0 else np.zeros((len(rows), 0), int)
             score = np.take_along_axis(s, top, 1)
             better = score > worst[rows][:, None]
@@ -153,7 +156,14 @@ def descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, reverse: int
     return merged_lists(graph.union(found), k, buckets)
 
 
-def search(queries: DataFrame, links: DataFrame, width: int, beam: int, expand: int, steps: int, query_buckets: int) -> DataFrame:
+def share_changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the list entries that were not there before."""
+    both = after.join(before.select("node", F.col("ids").alias("old")), "node", "left")
+    new, held = both.agg(F.sum(F.size(F.array_except("ids", F.coalesce("old", F.expr("array()").cast("array<long>"))))), F.sum(F.size("ids"))).first()
+    return (new or 0) / max(1, held or 0)
+
+
+def search(queries: DataFrame, links: DataFrame, width: int, beam: int, expand: int, query_buckets: int) -> DataFrame:
     """queries: node, v (single precision). links: bucket, node, ids, v of all ids. Returns node, ids, scores."""
     spark = queries.sparkSession
     buckets = links.select(F.max("bucket")).first()[0]
@@ -206,7 +216,7 @@ def search(queries: DataFrame, links: DataFrame, width: int, beam: int, expand:
         return old
 
     group = F.pmod(F.xxhash64("node"), F.lit(query_buckets)).alias("_bucket")
-    for _ in range(steps):
+    while True:  # a node is looked at once, so a search ends
         asked = state.where("open = 1").mapInArrow(ask, "at long, query long, v binary").withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)))
         found = asked.groupBy("bucket").cogroup(linked.groupBy("bucket")).applyInPandas(score, LIST)
         state = stored(state.groupBy(group).cogroup(found.groupBy(group)).applyInPandas(merge, state.schema), "search")
@@ -218,8 +228,8 @@ def search(queries: DataFrame, links: DataFrame, width: int, beam: int, expand:
 
 
 def nearest(
-    vectors: DataFrame, is_query, count: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS,
-    trees: int = TREES, group: int = GROUP, sample_rows: int = SAMPLE_ROWS, beam: int = BEAM, width: int = WIDTH, steps: int = STEPS,
+    vectors: DataFrame, is_query, count: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEIGHBOURS, reverse: int = REVERSE, changed: float = CHANGED,
+    trees: int = TREES, group: int = GROUP, sample_rows: int = SAMPLE_ROWS, beam: int = BEAM, width: int = WIDTH,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the `count` rows found nearest to each row whose vec_id meets is_query, a function of a column."""
     empty = "query_id long, rank int, vec_id long, score double"
@@ -250,8 +260,10 @@ def nearest(
     total = nodes.count()
     buckets = max(1, -(-total // BUCKET))
     graph = stored(first_neighbours(nodes, total, dims + 1, k, trees, group, sample_rows, buckets), "graph")
-    for _ in range(rounds):
-        graph = stored(descend(graph, nodes.select("node", "v"), dims + 1, k, reverse, buckets), "graph")
+    for draw in itertools.count() if total > 1 else ():
+        before, graph = graph, stored(descend(graph, nodes.select("node", "v"), dims + 1, k, reverse, buckets, draw), "graph")
+        if share_changed(before, graph) <= changed:
+            break
     pairs = gathered(graph, reverse).join(nodes.select(F.col("node").alias("member"), "v"), "member")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -263,7 +275,7 @@ def nearest(
     pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("center"), F.lit(buckets)))
     links = stored(pairs.groupBy("bucket").applyInPandas(pack, "bucket long, node long, ids array<long>, v binary"), "links")
     starts = asked.select("node").distinct().join(nodes.select("node", F.col("as_query").alias("v")), "node")
-    found = search(starts, links, dims + 1, beam, width, steps, max(1, buckets // 8))
+    found = search(starts, links, dims + 1, beam, width, max(1, buckets // 8))
 
     # Exact scores of the best nodes, and of the query's own, for its copies.
     tops = found.select(F.col("node").alias("query"), F.explode(F.array_distinct(F.concat(F.array("node"), F.slice("ids", 1, 3 * count)))).alias("node"))
