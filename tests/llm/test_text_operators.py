@@ -68,18 +68,43 @@ def plain_lines(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bytes_sent", [1 << 26, 0])
-def test_lines_equal_brute_force(spark, sf, odd, none, bytes_sent):
+@pytest.mark.parametrize("hot_keys", [lines.HOT_KEYS, 6, 0])
+def test_lines_equal_brute_force(spark, sf, odd, none, hot_keys):
     rows = [(r.doc_id, r.text) for r in documents(spark, sf).collect()]
     rows += [(10_000 + i, f"  {'É' * 39}Z \n{'x' * 39}\nown {i}\n{'é' * 39}z" if i % 2 else f"{'É' * 39}Z") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("theirs"))
-    out = lines.dedup_lines(docs, broadcast_bytes=bytes_sent, shard_keys=3)
+    out = lines.dedup_lines(docs, hot_keys=hot_keys, shard_keys=3)
     assert rows_of(out, "doc_id", "n_lines", "n_dropped", "kept_text") == plain_lines(rows)
-    assert lines.dedup_lines(none, broadcast_bytes=bytes_sent).count() == 0
-    got = lines.dedup_lines(odd, broadcast_bytes=bytes_sent)
+    assert lines.dedup_lines(none, hot_keys=hot_keys).count() == 0
+    got = lines.dedup_lines(odd, hot_keys=hot_keys)
     assert got.count() == odd.count() and got.where("n_dropped > 0").count() == 0
 
 
+@pytest.mark.parametrize("hot_keys", [lines.HOT_KEYS, 0])
+def test_rows_without_an_id_lose_common_lines(spark, hot_keys):
+    common = "a line that many documents have, word for word"
+    rows = [(i, f"{common}\nown {i}") for i in range(5)] + [(None, f"{common}\nnobody {i % 2}") for i in range(3)] + [(3, common.upper())]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), hot_keys=hot_keys)
+    want = [(i, f"own {i}") for i in range(4)] + [(4, f"{common}\nown 4"), (3, ""), (None, "nobody 0"), (None, "nobody 0"), (None, "nobody 1")]
+    assert rows_of(out, "doc_id", "kept_text") == sorted(want, key=str)
+
+
+def test_keys_alike_in_one_half_are_told_apart():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 20_000
+    h1 = rng.integers(-(2**63), 2**63, n)
+    h1[: n // 2] = h1[0]  # a perfect hash of this half alone does not exist
+    h2 = rng.integers(-(2**63), 2**63, n)
+    pdf = pd.DataFrame({"shard": 0, "h1": h1, "h2": h2, "n_docs": np.arange(n) + 5, "keeper": -np.arange(n)})
+    index = lines.LineIndex(lines.built(pdf).to_dict("records"), 1)
+    count, keeper = index.probe(h1, h2)
+    assert (count == pdf["n_docs"]).all() and (keeper == pdf["keeper"]).all()
+    assert not index.probe(h1, h2 + 1)[0].any()
+
+
 def test_line_query_equals_sql(spark, sf):
     import sys
     from pathlib import Path
