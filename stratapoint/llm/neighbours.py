@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy graph search.
 
-Equal vectors become one node. Vectors are scaled to norm one at most and lengthened by one coordinate
-that makes all norms equal, so that the nodes of largest inner product are also the closest. First
-neighbours come from groups of nodes that fall on the same sides of random hyperplanes. Then rounds of
-NN-descent, until one changes hardly a list entry, each a Spark join: every node gathers its neighbours and a sample of the nodes it is a
-neighbour of, compares them with one another, and tells each the better ones it has found. A search
-starts at the query's own node and goes on through the neighbours of the best nodes so far, all
-queries at once, one join for each step, until the best `beam` nodes have all been looked at. The best
-nodes found are scored once more in double precision on the original vectors.
+Equal vectors become one node, named by a 64-bit hash. Nodes fall into bands by their norm, each half as long
+as the one before, counted from the largest; in its band a vector is scaled to a norm of one at most and lengthened by one
+coordinate that makes all norms one, so that the nodes of largest inner product are also the closest. A few
+vectors of enormous length thus have a band of their own and blur no others. First neighbours come from small groups of nodes
+of a band that fall on the same sides of random hyperplanes. Then rounds of NN-descent, each a Spark join, until one
+changes hardly a list entry: every node gathers its neighbours and a sample of the nodes it is a
+neighbour of, compares those that are new with all, and tells each the better ones it has found.
+
+A search starts at the query's own node and goes on through the neighbours of the best nodes so far, all
+queries at once, one join for each step, until the best `beam` nodes have all been looked at. Other bands whose
+longest vector could still beat the `count` best so far (the norm bounds the product) are then searched from sampled entry
+nodes. The best nodes found are scored once more in double precision on the original vectors.
 
 The graph is approximate by design (k neighbours, sampled reverse neighbours); every node is in it, and
 recall is held against brute force in tests. Vectors that are null or zero or hold null or non-finite
-components take no part. Repeated vec_ids are separate candidates. Fewer rows than asked for give
-all candidates. An empty table gives an empty result. Columns other than id and vector are ignored; vectors
-of another length than the first are left out.
+components take no part, nor do those of another length than most (of lengths equally frequent the shortest counts).
+Repeated vec_ids are separate candidates, except for a query of the same vec_id. Fewer rows than asked for give
+all candidates found. An empty table gives an empty result. Columns other than id and vector are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +36,15 @@ NEIGHBOURS, REVERSE = 20, 12
 #: Rounds end once a round changes no more than this share of the list entries.
 CHANGED = 0.01
 #: Hyperplane trees, and nodes of a group, about.
-TREES, GROUP = 12, 1024
-#: Vectors on which the hyperplanes' positions are chosen, about.
-SAMPLE_ROWS = 16_384
+TREES, GROUP = 6, 256
+#: Vectors on which the hyperplanes' positions are chosen, about, and entry nodes of a band.
+SAMPLE_ROWS, ENTRIES = 16_384, 256
 #: Nodes a search keeps, and nodes it looks at in a step.
-BEAM, WIDTH = 256, 64
+BEAM, WIDTH = 256, 96
 #: Nodes or queries that one group of a Python stage holds, about.
 BUCKET = 1024
 
-LIST = "node long, ids array<long>, scores array<float>"
+LIST = "node long, ids array<long>, scores array<float>, fresh array<boolean>"
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -61,49 +65,73 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[first], scores[first]
 
 
-def lists(nodes: list, ids: list, scores: list, name: str = "node") -> pd.DataFrame:
-    return pd.DataFrame({name: np.array(nodes, np.int64), "ids": pd.Series(list(ids), dtype=object), "scores": pd.Series(list(scores), dtype=object)})
+def lists(nodes: list, ids: list, scores: list) -> pd.DataFrame:
+    fresh = [np.ones(len(i), bool) for i in ids]
+    return pd.DataFrame({"node": np.array(nodes, np.int64), **{c: pd.Series(list(v), dtype=object) for c, v in (("ids", ids), ("scores", scores), ("fresh", fresh))}})
 
 
-def merged_lists(found: DataFrame, k: int, buckets: int) -> DataFrame:
-    """One list of the k best for each node."""
+def merged_lists(found: DataFrame, k: int, buckets: int, graph: DataFrame | None = None) -> DataFrame:
+    """One list of the k best for each node, with what graph has; entries that graph has not are fresh."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = [], [], []
+        fresh = []
+        all_ids, all_scores, before = pdf["ids"].to_numpy(), pdf["scores"].to_numpy(), pdf["before"].to_numpy()
         for node, rows in pdf.groupby("node").indices.items():
-            ids, scores = best_of(np.concatenate(pdf["ids"].to_numpy()[rows]), np.concatenate(pdf["scores"].to_numpy()[rows]), k)
+            ids, scores = best_of(np.concatenate(all_ids[rows]), np.concatenate(all_scores[rows]), k)
             for column, value in zip(out, (node, ids, scores)):
                 column.append(value)
-        return lists(*out)
+            known = [all_ids[r] for r in rows if before[r]]
+            fresh.append(~np.isin(ids, known[0]) if known else np.ones(len(ids), bool))
+        new = lists(*out)
+        new["fresh"] = pd.Series(fresh, dtype=object)
+        return new
+
+    columns = ("node", "ids", "scores")
+    both = found.select(*columns, F.lit(False).alias("before"))
+    if graph is not None:
+        both = both.union(graph.select(*columns, F.lit(True)))
+    return both.groupBy(F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("_bucket")).applyInPandas(merge, LIST)
+
 
-    return found.groupBy(F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("_bucket")).applyInPandas(merge, LIST)
+def drawn(column, share: float, seed: int):
+    """A condition that holds for such a share of the column's values."""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)) if share < 1 else F.lit(True)
 
 
-def first_neighbours(nodes: DataFrame, total: int, width: int, k: int, trees: int, group: int, sample_rows: int, buckets: int) -> DataFrame:
-    """nodes: node, v (half-precision floats). The k best of each node within its groups."""
-    drawn = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 40)) < int(sample_rows / max(1, total) * (1 << 40)) if total > sample_rows else F.lit(True)
-    sample = nodes.where(drawn).select("v").collect()  # about sample_rows rows, whatever the total
+def first_neighbours(nodes: DataFrame, totals: dict[int, int], width: int, k: int, trees: int, group: int, sample_rows: int, buckets: int) -> DataFrame:
+    """nodes: node, band, v (half-precision floats). The k best of each node within its groups. totals: the nodes of each band."""
+    total = sum(totals.values())
+    sample = nodes.where(drawn("node", sample_rows / max(1, total), 5)).select("band", "v").collect()  # about sample_rows rows, whatever the total
     points = np.frombuffer(b"".join(bytes(r.v) for r in sample), "f2").reshape(-1, width).astype(np.float32)
-    planes = max(0, int(np.ceil(np.log2(max(1.0, total / group)))))
+    bands = np.array([r.band for r in sample], np.int64)
+    masks = {band: (1 << max(0, int(np.ceil(np.log2(max(1.0, n / group)))))) - 1 for band, n in totals.items()}
+    planes = max(masks.values(), default=0).bit_length()
     rng = np.random.default_rng(13)
     normals = rng.standard_normal((trees, width, planes)).astype(np.float32)
-    at = [np.median(points @ n, axis=0) for n in normals]
+    at = [np.median(points @ n, axis=0) if len(points) else np.zeros(planes) for n in normals]
     powers = 1 << np.arange(planes)
+
+    def codes(x: np.ndarray, band: np.ndarray, normals: np.ndarray, at: np.ndarray) -> np.ndarray:
+        side = (x @ normals > at) @ powers if planes else np.zeros(len(x), int)
+        return side.astype(np.int64) & np.array([masks[b] for b in band.tolist()], np.int64)
+
     chunks = []
-    for n, m in zip(normals, at):  # a side that holds more than its share, copies of one vector say, is cut at random
-        code, count = np.unique((points @ n > m) @ powers if planes else np.zeros(len(points), int), return_counts=True)
-        chunks.append({int(c): max(1, round(int(x) / len(points) * total / group)) for c, x in zip(code, count)})
+    for n, m in zip(normals, at):  # a side that holds more than its share, near copies of one vector say, is cut at random
+        pairs, count = np.unique(np.stack([bands, codes(points, bands, n, m)]), axis=1, return_counts=True)
+        chunks.append({(int(b), int(c)): max(1, round(int(x) / max(1, len(points)) * total / group)) for b, c, x in zip(*pairs, count)})
     sent = nodes.sparkSession.sparkContext.broadcast((normals, at, chunks))  # no larger than the sample
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normals, at, chunks = sent.value
         for batch in slices(batches, 4096):
-            x, ids = matrix(batch.column("v"), "f2", width), batch.column("node").to_numpy()
+            x, ids, band = matrix(batch.column("v"), "f2", width), batch.column("node").to_numpy(), batch.column("band").to_numpy()
             for t in range(trees):
-                code = ((x @ normals[t] > at[t]) @ powers if planes else np.zeros(len(x), int)).astype(np.int64)
-                pieces = np.array([chunks[t].get(c, 1) for c in code.tolist()], np.int64)
+                code = codes(x, band, normals[t], at[t])
+                pieces = np.array([chunks[t].get(c, 1) for c in zip(band.tolist(), code.tolist())], np.int64)
                 piece = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * t)) >> np.uint64(33)).astype(np.int64) % pieces
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(code), pa.array(piece), batch.column("node"), batch.column("v")], ["tree", "code", "piece", "node", "v"])
+                columns = [pa.array(np.full(len(x), t)), batch.column("band"), pa.array(code), pa.array(piece), batch.column("node"), batch.column("v")]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "band", "code", "piece", "node", "v"])
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = matrix(pdf["v"], "f2", width), pdf["node"].to_numpy()
@@ -117,114 +145,119 @@ def first_neighbours(nodes: DataFrame, total: int, width: int, k: int, trees: in
             out_scores += list(np.take_along_axis(s, top, 1))
         return lists(ids, out_ids, out_scores)
 
-    placed = nodes.select("node", "v").mapInArrow(place, "tree long, code long, piece long, node long, v binary")
-    return merged_lists(placed.groupBy("tree", "code", "piece").applyInPandas(nearest, LIST), k, buckets)
+    placed = nodes.select("node", "band", "v").mapInArrow(place, "tree long, band long, code long, piece long, node long, v binary")
+    return merged_lists(placed.groupBy("tree", "band", "code", "piece").applyInPandas(nearest, LIST), k, buckets)
 
 
 def gathered(graph: DataFrame, reverse: int, draw: int = 0) -> DataFrame:
-    """center and member: each node with its neighbours, and with up to `reverse` nodes drawn from those it is a neighbour of."""
-    forward = graph.select(F.col("node").alias("center"), F.explode("ids").alias("member"))
-    drawn = Window.partitionBy("member").orderBy(F.xxhash64("center", "member", F.lit(draw)))
-    back = forward.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= reverse).select(F.col("member").alias("center"), F.col("center").alias("member"))
-    return forward.union(back).distinct()
+    """center, member and fresh: each node with its neighbours, and with up to `reverse` nodes drawn from those it is a neighbour of."""
+    forward = graph.select(F.col("node").alias("center"), F.explode(F.arrays_zip("ids", "fresh")).alias("_m")).select("center", F.col("_m.ids").alias("member"), F.col("_m.fresh").alias("fresh"))
+    by_draw = Window.partitionBy("member").orderBy(F.desc("fresh"), F.xxhash64("center", "member", F.lit(draw)))
+    back = forward.withColumn("_n", F.row_number().over(by_draw)).where(F.col("_n") <= reverse).select(F.col("member").alias("center"), F.col("center").alias("member"), "fresh")
+    return forward.union(back)
 
 
 def descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, reverse: int, buckets: int, draw: int = 0) -> DataFrame:
-    """One round: the graph with what its nodes' neighbours know of each other."""
-    around = gathered(graph, reverse, draw).union(graph.select("node", "node")).withColumnRenamed("member", "node")
+    """One round: the graph with what its nodes' neighbours know of each other, where that is news."""
+    around = gathered(graph, reverse, draw).groupBy("center").agg(F.collect_list(F.struct("member", "fresh")).alias("_m"))  # k + reverse at most
+    around = around.where(F.exists("_m", lambda m: m["fresh"])).select("center", F.explode("_m").alias("_m")).select("center", F.col("_m.member").alias("node"), F.col("_m.fresh").alias("fresh"))
+    around = around.union(around.select("center", F.col("center").alias("node"), F.lit(False)).distinct())
+    around = around.groupBy("center", "node").agg(F.max("fresh").alias("fresh"))
     worst = graph.select("node", F.when(F.size("ids") >= k, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
     told = around.join(nodes.join(worst, "node").select("node", "v", "worst"), "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, worst = matrix(pdf["v"], "f2", width), pdf["node"].to_numpy(), pdf["worst"].to_numpy()
+        x, ids, worst, fresh = matrix(pdf["v"], "f2", width), pdf["node"].to_numpy(), pdf["worst"].to_numpy(), pdf["fresh"].to_numpy(bool)
         out: tuple[list, list, list] = [], [], []
         for rows in pdf.groupby("center").indices.values():
             s = x[rows] @ x[rows].T
+            new = fresh[rows]
+            s[~(new[:, None] | new[None, :])] = -np.inf
             np.fill_diagonal(s, -np.inf)
             n = min(k, len(rows) - 1)
             top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n > 0 else np.zeros((len(rows), 0), int)
             score = np.take_along_axis(s, top, 1)
             better = score > worst[rows][:, None]
-            for r, t, sc, b in zip(rows.tolist(), top, score, better):
-                if b.any():
-                    out[0].append(ids[r])
-                    out[1].append(ids[rows[t[b]]])
-                    out[2].append(sc[b])
+            for i in np.flatnonzero(better.any(axis=1)).tolist():
+                b = better[i] & (score[i] > -np.inf)
+                out[0].append(ids[rows[i]])
+                out[1].append(ids[rows[top[i][b]]])
+                out[2].append(score[i][b])
         return lists(*out)
 
     found = told.groupBy(F.pmod(F.xxhash64("center"), F.lit(buckets * 4)).alias("_bucket")).applyInPandas(compare, LIST)
-    return merged_lists(graph.union(found), k, buckets)
+    return merged_lists(found, k, buckets, graph)
 
 
-def share_changed(before: DataFrame, after: DataFrame) -> float:
-    """Share of the list entries that were not there before."""
-    both = after.join(before.select("node", F.col("ids").alias("old")), "node", "left")
-    new, held = both.agg(F.sum(F.size(F.array_except("ids", F.coalesce("old", F.expr("array()").cast("array<long>"))))), F.sum(F.size("ids"))).first()
+def share_changed(graph: DataFrame) -> float:
+    """Share of the list entries that the last round brought."""
+    new, held = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("ids"))).first()
     return (new or 0) / max(1, held or 0)
 
 
-def search(queries: DataFrame, links: DataFrame, width: int, beam: int, expand: int, query_buckets: int) -> DataFrame:
-    """queries: node, v (single precision). links: bucket, node, ids, v of all ids. Returns node, ids, scores."""
-    spark = queries.sparkSession
-    buckets = links.select(F.max("bucket")).first()[0]
-    if buckets is None:
-        return queries.select("node", F.expr("array()").cast("array<long>").alias("ids"), F.expr("array()").cast("array<float>").alias("scores"))
-    buckets = int(buckets) + 1
-    linked = links.repartition(min(buckets, 4096), "bucket").persist()  # small beside the steps' own tables; made anew where an executor is lost
-    state = stored(
-        queries.select("node", "v", F.array("node").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("scores"), F.array(F.lit(False)).alias("seen"), F.lit(1).alias("open")),
-        "search",
-    )
+FOUND = "query string, ids array<long>, scores array<float>"
+
+
+def search(state: DataFrame, links: DataFrame, buckets: int, width: int, beam: int, expand: int, query_buckets: int) -> DataFrame:
+    """state: query (a name of its own for each search), v (single precision), ids and scores to begin with, best first. links: bucket, node, ids, v of all ids, of so many buckets. Returns query, ids, scores."""
+    state = stored(state.select("query", "v", "ids", "scores", F.transform("ids", lambda _: F.lit(False)).alias("seen"), F.lit(1).alias("open")), "search")
 
     def ask(batches):
         for batch in slices(batches):
-            rows: tuple[list, list, list] = [], [], []
+            rows: tuple[list, list] = [], []
             for i, (ids, seen) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("seen").to_pylist())):
                 new = [n for n, s in zip(ids, seen) if not s][:expand]  # lists are in order, best first
                 rows[0].extend(new)
                 rows[1].extend([i] * len(new))
             at = pa.array(rows[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), batch.column("node").take(at), batch.column("v").take(at)], ["at", "query", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), batch.column("query").take(at), batch.column("v").take(at)], ["at", "query", "v"])
 
     def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         row_of = {n: i for i, n in enumerate(known["node"].tolist())}
-        near = [np.frombuffer(v, "f2").reshape(-1, width) for v in known["v"]]
+        near = [np.frombuffer(v, "f2").reshape(-1, width).astype(np.float32) for v in known["v"]]
+        known_ids = known["ids"].to_numpy()
         out: tuple[list, list, list] = [], [], []
         at, v = asked["at"].to_numpy(), asked["v"].to_numpy()
         for query, rows in asked.groupby("query").indices.items():
             own = [row_of[n] for n in at[rows].tolist() if n in row_of]
             if own:
-                ids = np.concatenate([known["ids"].to_numpy()[i] for i in own])
-                scores = np.concatenate([near[i] for i in own]).astype(np.float32) @ np.frombuffer(v[rows[0]], "f4")
+                ids = np.concatenate([known_ids[i] for i in own])
+                scores = np.concatenate([near[i] for i in own]) @ np.frombuffer(v[rows[0]], "f4")
                 ids, scores = best_of(ids, scores, beam)
                 for column, value in zip(out, (query, ids, scores)):
                     column.append(value)
-        return lists(*out)
+        return pd.DataFrame({"query": pd.Series(out[0], dtype=object), "ids": pd.Series(out[1], dtype=object), "scores": pd.Series(out[2], dtype=object)})
 
     def merge(old: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        more = found.groupby("node").indices
+        more = found.groupby("query").indices
         new_ids, new_scores = found["ids"].to_numpy(), found["scores"].to_numpy()
-        for i, node in enumerate(old["node"].tolist()):
-            ids, scores, seen = (np.asarray(old.at[i, c]) for c in ("ids", "scores", "seen"))
+        columns = {c: old[c].tolist() for c in ("ids", "scores", "seen", "open")}
+        for i, query in enumerate(old["query"].tolist()):
+            if not columns["open"][i]:
+                continue
+            ids, scores, seen = (np.asarray(columns[c][i]) for c in ("ids", "scores", "seen"))
             seen = seen.astype(bool)
             seen[np.flatnonzero(~seen)[:expand]] = True
-            rows = more.get(node, [])
+            rows = more.get(query, [])
             looked = ids[seen]
             ids, scores = best_of(np.concatenate([ids, *(new_ids[r] for r in rows)]), np.concatenate([scores, *(new_scores[r] for r in rows)]), beam)
             seen = np.isin(ids, looked)
-            old.at[i, "ids"], old.at[i, "scores"], old.at[i, "seen"], old.at[i, "open"] = ids, scores.astype(np.float32), seen, int(not seen.all())
-        return old
+            columns["ids"][i], columns["scores"][i], columns["seen"][i], columns["open"][i] = ids, scores.astype(np.float32), seen, int(not seen.all())
+        return pd.DataFrame({"query": old["query"], "v": old["v"], **{c: pd.Series(v, dtype=object if c != "open" else int, index=old.index) for c, v in columns.items()}})
 
-    group = F.pmod(F.xxhash64("node"), F.lit(query_buckets)).alias("_bucket")
-    while True:  # a node is looked at once, so a search ends
-        asked = state.where("open = 1").mapInArrow(ask, "at long, query long, v binary").withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)))
-        found = asked.groupBy("bucket").cogroup(linked.groupBy("bucket")).applyInPandas(score, LIST)
+    group = F.pmod(F.xxhash64("query"), F.lit(query_buckets)).alias("_bucket")
+    while not state.where("open = 1").isEmpty():  # a node is looked at once, so a search ends
+        asked = state.where("open = 1").mapInArrow(ask, "at long, query string, v binary").withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)))
+        found = asked.groupBy("bucket").cogroup(links.groupBy("bucket")).applyInPandas(score, FOUND)
         state = stored(state.groupBy(group).cogroup(found.groupBy(group)).applyInPandas(merge, state.schema), "search")
-        if state.where("open = 1").isEmpty():
-            break
-    linked.unpersist()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the steps' shuffle files
-    return state.select("node", "ids", "scores")
+    return state.select("query", "ids", "scores")
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """rows with the length n and the norm of x, which no square overflows."""
+    rows = rows.withColumn("_m", F.array_max(F.transform("x", F.abs)))
+    norm = F.col("_m") * F.sqrt(F.expr("aggregate(x, 0D, (a, v) -> a + (v / _m) * (v / _m))"))
+    return rows.select("vec_id", "x", F.size("x").alias("n"), norm.alias("norm"))
 
 
 def nearest(
@@ -232,53 +265,87 @@ def nearest(
     trees: int = TREES, group: int = GROUP, sample_rows: int = SAMPLE_ROWS, beam: int = BEAM, width: int = WIDTH,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the `count` rows found nearest to each row whose vec_id meets is_query, a function of a column."""
+    spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors, vec_id, embedding)
-    largest = rows.select(F.size("x").alias("n"), F.expr("sqrt(aggregate(x, 0D, (a, v) -> a + v * v))").alias("norm")).agg(F.first("n"), F.max("norm")).first()
-    if largest[0] is None:
-        return vectors.sparkSession.createDataFrame([], empty)
-    dims, norm = largest
-    # One node for each distinct vector; it is named by its smallest vec_id.
-    of_vector = Window.partitionBy("x").orderBy("vec_id")
-    rows = rows.where(F.size("x") == dims)
-    firsts = stored(rows.groupBy("x").agg(F.min("vec_id").alias("node")), "distinct-vectors")
+    rows = measured(usable(vectors, vec_id, embedding))
+    lengths = rows.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.max("norm").alias("most")).orderBy(F.desc("c"), "n").first()
+    if lengths is None:
+        return spark.createDataFrame([], empty)
+    dims, most = lengths["n"], lengths["most"]
+    rows = rows.where(F.col("n") == dims)
+    name = F.xxhash64("x").alias("node")
+    band = F.floor(F.log2(F.greatest(F.lit(1.0), F.lit(most) / F.col("norm")))).cast("long")
+    firsts = stored(rows.groupBy("x").agg(F.min("norm").alias("norm")).select("x", name, band.alias("band")), "distinct-vectors")
     # The first copies of each vector are all that a query can be given; the partial window drops the rest before the shuffle.
-    members = stored(rows.withColumn("_copy", F.row_number().over(of_vector)).where(F.col("_copy") <= count + 1).join(firsts, "x").select("node", "vec_id"), "members")
-    asked = stored(rows.where(is_query(F.col("vec_id"))).join(firsts, "x").select("vec_id", "node"), "queries")
+    of_vector = Window.partitionBy("node").orderBy("vec_id")
+    members = rows.select("vec_id", name).withColumn("_copy", F.row_number().over(of_vector)).where(F.col("_copy") <= count + 1)
+    members = stored(members.select("node", "vec_id"), "members")
+    asked = stored(rows.where(is_query(F.col("vec_id"))).select("vec_id", name, F.monotonically_increasing_id().alias("_query_row")), "queries")
 
     def vectors_of(batches):
         for batch in slices(batches, 4096):
-            x = np.array(batch.column("x").to_pylist(), float) / norm
-            rest = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))
+            x = np.array(batch.column("x").to_pylist(), float)
+            largest = np.abs(x).max(axis=1, keepdims=True)
+            norm = largest * np.sqrt(((x / largest) ** 2).sum(axis=1, keepdims=True))
+            share = np.exp2(np.log2(norm) - np.log2(most) + batch.column("band").to_numpy()[:, None])  # of the band's largest norm
+            scaled = x / norm * share
+            rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
             rest[rest < 1e-4] = 0.0
-            long = np.column_stack([x, rest])
-            query = np.column_stack([x, np.zeros(len(x))])
+            long = np.column_stack([scaled, rest])
+            query = np.column_stack([x / norm, np.zeros(len(x))])
             columns = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (long.astype("f2"), query.astype("f4"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], ["node", "v", "as_query"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("band"), *columns], ["node", "band", "v", "as_query"])
 
-    nodes = stored(firsts.mapInArrow(vectors_of, "node long, v binary, as_query binary"), "nodes")
-    total = nodes.count()
+    nodes = stored(firsts.mapInArrow(vectors_of, "node long, band long, v binary, as_query binary"), "nodes")
+    totals = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # as many rows as powers of two between norms
+    total, wide = sum(totals.values()), dims + 1
     buckets = max(1, -(-total // BUCKET))
-    graph = stored(first_neighbours(nodes, total, dims + 1, k, trees, group, sample_rows, buckets), "graph")
+    graph = stored(first_neighbours(nodes, totals, wide, k, trees, group, sample_rows, buckets), "graph")
     for draw in itertools.count() if total > 1 else ():
-        before, graph = graph, stored(descend(graph, nodes.select("node", "v"), dims + 1, k, reverse, buckets, draw), "graph")
-        if share_changed(before, graph) <= changed:
+        graph = stored(descend(graph, nodes.select("node", "v"), wide, k, reverse, buckets, draw), "graph")
+        if share_changed(graph) <= changed:
             break
-    pairs = gathered(graph, reverse).join(nodes.select(F.col("node").alias("member"), "v"), "member")
+    pairs = gathered(graph, reverse).select("center", "member").distinct().join(nodes.select(F.col("node").alias("member"), "v"), "member")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
+        ids, v = pdf["member"].to_numpy(), pdf["v"].to_numpy()
         for node, at in pdf.groupby("center").indices.items():
-            out.append((pdf["bucket"].iloc[0], node, pdf["member"].to_numpy()[at], b"".join(pdf["v"].to_numpy()[at])))
+            out.append((pdf["bucket"].iloc[0], node, ids[at], b"".join(v[at])))
         return pd.DataFrame(out, columns=["bucket", "node", "ids", "v"])
 
     pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("center"), F.lit(buckets)))
     links = stored(pairs.groupBy("bucket").applyInPandas(pack, "bucket long, node long, ids array<long>, v binary"), "links")
-    starts = asked.select("node").distinct().join(nodes.select("node", F.col("as_query").alias("v")), "node")
-    found = search(starts, links, dims + 1, beam, width, max(1, buckets // 8))
+    starts = stored(asked.select("node").distinct().join(nodes.select("node", "band", F.col("as_query").alias("v")), "node"), "starts")
+    parts = max(1, buckets // 8)
+    query = F.concat_ws(":", F.col("node").cast("string"), F.col("band").cast("string")).alias("query")
+    begun = starts.select(query, "v", F.array("node").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("scores"))
+    found = search(begun, links, buckets, wide, beam, width, parts)
+    if len(totals) > 1:
+        # Products with the query's direction: those of a band are at most its largest norm.
+        entry = [r for b, n in totals.items() for r in nodes.where((F.col("band") == b) & drawn("node", ENTRIES / n, 11)).select("node", "band", "v").collect()]  # about ENTRIES of each band
+        entries = {b: ([r.node for r in entry if r.band == b], b"".join(bytes(r.v) for r in entry if r.band == b)) for b in totals}
+        sent = spark.sparkContext.broadcast(entries)
+
+        def others(batches):
+            points = {b: (np.array(i, np.int64), np.frombuffer(v, "f2").reshape(-1, wide).astype(np.float32)) for b, (i, v) in sent.value.items()}
+            for batch in slices(batches):
+                out: tuple[list, list, list, list] = [], [], [], []
+                for node, own, kth, v in zip(*(batch.column(c).to_pylist() for c in ("node", "band", "kth", "v"))):
+                    for b, (ids, x) in points.items():
+                        if b != own and len(ids) and 2.0**-b > kth * 2.0**-own - 0.01 * 2.0 ** -min(own, b):
+                            for column, value in zip(out, (f"{node}:{b}", v, *best_of(ids, x @ np.frombuffer(v, "f4"), beam))):
+                                column.append(value)
+                kinds = (pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["query", "v", "ids", "scores"])
+
+        kth = found.select("query", F.coalesce(F.try_element_at("scores", F.lit(count + 1)), F.lit(float("-inf"))).alias("kth"))
+        rest = starts.withColumn("query", query).join(kth, "query").mapInArrow(others, "query string, v binary, ids array<long>, scores array<float>")
+        found = found.union(search(rest, links, buckets, wide, beam, width, parts))
+    found = found.select(F.split_part("query", F.lit(":"), F.lit(1)).cast("long").alias("node"), "ids")
 
     # Exact scores of the best nodes, and of the query's own, for its copies.
-    tops = found.select(F.col("node").alias("query"), F.explode(F.array_distinct(F.concat(F.array("node"), F.slice("ids", 1, 3 * count)))).alias("node"))
+    tops = found.select(F.col("node").alias("query"), F.explode(F.concat(F.array("node"), F.slice("ids", 1, 3 * count))).alias("node")).distinct()
     both = tops.join(firsts.select("node", F.col("x").alias("y")), "node").join(firsts.select(F.col("node").alias("query"), "x"), "query")
 
     def exact(batches):
@@ -288,10 +355,10 @@ def nearest(
 
     scored = both.select("query", "node", "x", "y").mapInArrow(exact, "query long, node long, score double")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    scored = stored(scored.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= count + 1).drop("_n"), "scored")
-    final = Window.partitionBy("_query_row", "query_id").orderBy(F.desc("score"), "vec_id")
+    scored = stored(scored.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= 3 * count).drop("_n"), "scored")
+    final = Window.partitionBy("_query_row").orderBy(F.desc("score"), "vec_id")
     # _query_row tells queries with the same vec_id apart.
-    expanded = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"), F.monotonically_increasing_id().alias("_query_row")).join(scored, "query").join(members, "node")
+    expanded = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"), "_query_row").join(scored, "query").join(members, "node")
     ranked = expanded.where("vec_id <> query_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= count)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
