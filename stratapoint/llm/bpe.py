@@ -1,12 +1,17 @@
-"""Byte-level BPE by merge replay over the distinct words of a task's texts.
+"""Byte-level BPE by merge replay over the distinct words of the corpus.
 
-A task splits its documents into words by the tokenizer's pattern and keeps every distinct word
-once. For the words it has not met before it lays all bytes out in one array and builds an inverted
+The tokenizer's pattern splits texts into words. A first pass over all texts counts the distinct words that are no
+tokens themselves; the commonest, at most `common_words` whatever the corpus holds, are merged once for the whole corpus:
+each partition of them lays all bytes out in one array and builds an inverted
 index from the rank of a token pair to the positions where the pair stands. The merges are then
 replayed in rank order over the whole index: each touches only the positions listed for it, and only
-the two neighbours of a merged pair enter the index anew. Documents are put together from the words'
-ids. Words are independent of each other, so a task needs no words of other tasks: nothing is
-shuffled, and memory is bounded by `CACHE_WORDS` and the longest text.
+the two neighbours of a merged pair enter the index anew. A second pass puts documents together from the words'
+ids. Joining every occurrence of a word with its ids would shuffle several times the corpus, so the common words are
+sent to all tasks (no more than about 30 MB), and the rare rest of a task's words, each of which is in few texts, is replayed in the same
+way beside the texts that hold it.
+
+All places of a pair in a word are merged at once, up to one whose merge makes a pair of lower rank, which goes first; a run of
+one letter thus takes a few steps for each doubling. Memory is bounded by `CACHE_BYTES` and the longest text.
 
 Nulls: a null text is the empty text, with no ids. Repeated rows are each encoded. An empty table
 gives an empty result. All columns of the input stay; the results go to the columns named.
@@ -18,6 +23,7 @@ import base64
 import functools
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -25,10 +31,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import portions, slices
+from .shared import portions, slices, stored
 
-#: Distinct words a worker remembers in each of two generations; older ones are replayed again.
-CACHE_WORDS = 150_000
+#: The most words merged once for the whole corpus, and UTF-8 bytes of the longest of them.
+COMMON_WORDS, COMMON_BYTES = 200_000, 64
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 400_000
+#: Bytes of other words and their ids that a worker remembers in each of two generations; older ones are replayed again.
+CACHE_BYTES = 40_000_000
+#: What Python needs to hold a word and its ids beside their bytes, about.
+ENTRY_BYTES = 200
 #: Words are replayed together in portions of about so many bytes.
 REPLAY_BYTES = 4_000_000
 #: Bits of a token id; ids that stand for no token.
@@ -62,6 +74,11 @@ class MergeReplay:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
+        self.common: dict[str, bytes] = {}
+
+    def split(self, text: str | None) -> list[str]:
+        return (self.find if BEYOND_LATIN(text) else self.find_latin)(text) if text else []
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray | int) -> np.ndarray:
         """The rank of each pair, or -1; a negative id stands between words and makes no pair."""
@@ -104,23 +121,38 @@ class MergeReplay:
         while heap:
             rank = heapq.heappop(heap)
             listed = index.pop(rank)
-            at = listed[0] if len(listed) == 1 else np.sort(np.concatenate(listed))
+            at = np.unique(np.concatenate(listed))
             at = at[pair[at] == rank]
             if not len(at):
                 continue
             if len(at) > 1:
-                # One merge in each word at a time, the leftmost: it may make a pair of lower rank, which goes first.
-                first = np.concatenate(([True], word[at[1:]] != word[at[:-1]]))
-                if not first.all():
-                    index[rank] = [at[~first]]
+                # Of pairs that overlap, every other one from the left.
+                chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
+                order = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(chained, 0, order))
+                chosen = at[(order - run) % 2 == 0]
+                # Taken from left to right in a word, each makes two pairs; one of lower rank than this has to go first.
+                beyond = after[after[chosen]]
+                joined = np.concatenate(([False], beyond[:-1] == chosen[1:]))
+                left_ranks = self.ranks_of(np.where(joined, rank, tok[before[chosen]]), rank)
+                right_ranks = self.ranks_of(np.full(len(chosen), rank), tok[beyond])
+                first = ((left_ranks >= 0) & (left_ranks < rank)) | ((right_ranks >= 0) & (right_ranks < rank))
+                if first.any():
+                    own = word[chosen]
+                    so_far = np.cumsum(first) - first
+                    new = np.concatenate(([True], own[1:] != own[:-1]))
+                    good = so_far == np.maximum.accumulate(np.where(new, so_far, 0))
+                    index[rank] = [np.setdiff1d(at, chosen[good], assume_unique=True)]
                     heapq.heappush(heap, rank)
-                    at = at[first]
+                    chosen = chosen[good]
+                at = chosen
             gone = after[at]
-            beyond, left = after[gone], before[at]
+            beyond = after[gone]
             after[at], before[beyond] = beyond, at
             tok[at], tok[gone], pair[gone] = rank, GONE, -1
-            pair[at] = right_ranks = self.ranks_of(np.full(len(at), rank), tok[beyond])
-            pair[left] = left_ranks = self.ranks_of(tok[left], rank)
+            left = before[at]
+            right_ranks, left_ranks = self.ranks_of(tok[at], tok[beyond]), self.ranks_of(tok[left], tok[at])
+            pair[at], pair[left] = right_ranks, left_ranks
             enter(np.concatenate((at, left)), np.concatenate((right_ranks, left_ranks)))
         stays = tok >= 0
         data = tok[stays].astype("<u4").tobytes()
@@ -134,7 +166,9 @@ class MergeReplay:
         held = 0
 
         def flush() -> None:
-            self.young.update(zip(portion, self.replay(raw)))
+            found = self.replay(raw)
+            self.young.update(zip(portion, found))
+            self.held += sum(map(len, raw)) + sum(map(len, found)) + ENTRY_BYTES * len(raw)
             portion.clear()
             raw.clear()
 
@@ -142,6 +176,7 @@ class MergeReplay:
             data = word.encode()
             if (whole := self.ranks.get(data)) is not None:
                 self.young[word] = whole.to_bytes(4, "little")
+                self.held += ENTRY_BYTES
                 continue
             portion.append(word)
             raw.append(data)
@@ -154,18 +189,19 @@ class MergeReplay:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned numbers of 32 bits."""
-        split = [(self.find if BEYOND_LATIN(t) else self.find_latin)(t) if t else [] for t in texts]
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        split = [self.split(t) for t in texts]
+        if self.held > CACHE_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old, common = self.young, self.old, self.common
         new = set()
         for words in split:
             new.update(words)
         new.difference_update(young)
-        if old:
-            again = new.intersection(old)
-            young.update((word, old[word]) for word in again)
-            new -= again
+        for known in (common, old):
+            again = new.intersection(known) if known else ()
+            young.update((word, known[word]) for word in again)
+            self.held += sum(ENTRY_BYTES + 5 * len(word) for word in again)
+            new.difference_update(again)
         self.learn(new)
         known = young.__getitem__
         return [b"".join(map(known, words)) for words in split]
@@ -187,16 +223,60 @@ def tokens_of(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in ranks_in(path).items()}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", decoded: str | None = None, rows: int = 1024) -> DataFrame:
+def common_words(docs: DataFrame, path: str, pattern: str, text: str = "text", most: int = COMMON_WORDS) -> DataFrame:
+    """word and token_ids of the commonest words of all texts that are no tokens themselves, at most so many."""
+
+    def count(batches):
+        model = replay_of(path, pattern)
+        counts: Counter[str] = Counter()
+
+        def flush():
+            ranks = model.ranks
+            rows = [(w, n) for w, n in counts.items() if len(data := w.encode()) <= COMMON_BYTES and data not in ranks]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+
+        for batch in portions(batches, text, 1024, 4_000_000):
+            for t in batch.column(text).to_pylist():
+                counts.update(model.split(t))
+            if len(counts) > COUNTED:
+                yield flush()
+        yield flush()
+
+    def merge(batches):
+        model = replay_of(path, pattern)
+        for batch in slices(batches, 50_000):
+            ids = model.replay([w.encode() for w in batch.column("word").to_pylist()]) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "token_ids"])
+
+    counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    level = F.floor(F.log2("n") * 8).cast("int")  # few levels, so that their sizes say where to cut
+    counts = stored(counts.where("n > 1").withColumn("level", level), "word-counts")
+    held, least = 0, None
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["level"]
+    wanted = counts.where(F.col("level") >= least if least is not None else F.lit(False)).select("word")
+    return wanted.mapInArrow(merge, "word string, token_ids binary")
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", decoded: str | None = None, rows: int = 1024, most_common: int = COMMON_WORDS
+) -> DataFrame:
     """docs with the ids of each text, as binary, in column `out`. path: a rank file that every executor has.
 
     With `decoded` the same task also decodes the ids into the column of that name, so that one worker does both.
     """
     names = [out, *([decoded] if decoded else [])]
     docs = docs.drop(*names)
+    found = common_words(docs, path, pattern, text, most_common).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(found.column("word").to_pylist(), found.column("token_ids").to_pylist())))  # most_common words at most
 
     def run(batches):
         model = replay_of(path, pattern)
+        model.common = sent.value
         for batch in portions(batches, text, rows, 4_000_000):
             ids = model.encode(batch.column(text).to_pylist())
             new = [pa.array(ids, pa.binary())]

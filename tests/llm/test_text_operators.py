@@ -44,16 +44,37 @@ def test_bpe_equals_the_library(spark, sf, odd, none):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     mixed = spark.createDataFrame([(90, "  two  spaces\r\n<|endoftext|> naïve 日本語 \U0001f600́ it's WE'LL 12345", None, None, 1), (91, "aaaaaaaaaaaaaaaaaaaaab" * 40, None, None, 1)], SCHEMA)
-    docs = documents(spark, sf).select("doc_id", "text").union(odd.select("doc_id", "text")).union(mixed.select("doc_id", "text")).withColumn("Token_IDs", F.lit(1))
-    for r in bpe.encode(docs, path, pattern, decoded="decoded").collect():
+    rng = random.Random(2)
+    runs = [(1000 + i, "".join(rng.choice(letters) for _ in range(rng.randrange(3000)))) for i, letters in enumerate(["a", "ab", "é", "the", "01", "=-", " ", "日"] * 3)]
+    docs = documents(spark, sf).select("doc_id", "text").union(odd.select("doc_id", "text")).union(mixed.select("doc_id", "text"))
+    docs = docs.union(spark.createDataFrame(runs, "doc_id long, text string")).withColumn("Token_IDs", F.lit(1))
+    for most_common in (bpe.COMMON_WORDS, 50, 0):
+        for r in bpe.encode(docs, path, pattern, decoded="decoded", most_common=most_common).collect():
+            want = own.encode_ordinary(r.text or "")
+            assert r.token_ids == struct.pack(f"<{len(want)}I", *want)
+            assert r.decoded == (r.text or "").encode()
+    assert 0 < bpe.common_words(docs, path, pattern, most=50).count() <= 50
+    for r in bpe.op4_byte_bpe(spark, sf).join(documents(spark, sf).select("doc_id", "text"), "doc_id").collect():
         want = own.encode_ordinary(r.text or "")
-        assert r.token_ids == struct.pack(f"<{len(want)}I", *want)
-        assert r.decoded == (r.text or "").encode()
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest())
     assert bpe.encode(none, path, pattern).count() == 0
     back = bpe.decode(bpe.encode(odd, path, pattern), path)
     assert all(r.decoded == (r.text or "").encode() for r in back.collect())
 
 
+def test_one_letter_a_million_times():
+    path, pattern = bpe.public_vocabulary()
+    ranks = bpe.ranks_in(path)
+    ids = bpe.MergeReplay(ranks, pattern).encode(["a" * 1_000_000, "ab" * 200_000])
+    token = {r: t for t, r in ranks.items()}
+    for data, text in zip(ids, (b"a" * 1_000_000, b"ab" * 200_000)):
+        tokens = struct.unpack(f"<{len(data) // 4}I", data)
+        assert b"".join(map(token.__getitem__, tokens)) == text
+    # No pair is left to merge in a run of one letter, but where the run ends.
+    tokens = struct.unpack(f"<{len(ids[0]) // 4}I", ids[0])
+    assert not any(token[a] + token[b] in ranks for a, b in zip(tokens, tokens[1:]))
+
+
 def plain_lines(rows):
     split = [(d, (t or "").split("\n")) for d, t in rows]
     key = lambda x: re.sub(r"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
