@@ -263,9 +263,11 @@ def common_words(docs: DataFrame, path: str, pattern: str, text: str = "text", m
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", decoded: str | None = None, rows: int = 1024, most_common: int = COMMON_WORDS
+    docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", decoded: str | None = None, rows: int = 1024, most_common: int = COMMON_WORDS, width: int = 4
 ) -> DataFrame:
-    """docs with the ids of each text, as binary, in column `out`. path: a rank file that every executor has.
+    """docs with the ids of each text, little-endian numbers of `width` bytes, as binary in column `out`. path: a rank file that every executor has.
+
+    A width of 2 leaves the largest two numbers free and fails for a vocabulary that needs them.
 
     With `decoded` the same task also decodes the ids into the column of that name, so that one worker does both.
     """
@@ -277,9 +279,11 @@ def encode(
     def run(batches):
         model = replay_of(path, pattern)
         model.common = sent.value
+        if width < 4 and max(model.ranks.values()) >= (1 << 8 * width) - 2:
+            raise ValueError(f"the vocabulary has ids of more than {width} bytes")
         for batch in portions(batches, text, rows, 4_000_000):
             ids = model.encode(batch.column(text).to_pylist())
-            new = [pa.array(ids, pa.binary())]
+            new = [pa.array(ids if width == 4 else [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids], pa.binary())]
             if decoded:
                 token = tokens_of(path).__getitem__
                 new.append(pa.array([_decoded(x, token) for x in ids], pa.binary()))

@@ -94,19 +94,51 @@ def test_slots_are_a_permutation():
         assert training_order.permuted(slots, n, back=True).tolist() == list(range(n))
 
 
-def test_sequences_read_back(spark, sf, tmp_path):
-    docs = shared.table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame([(None, None), (5, ""), (6, "x" * 300_000)], "doc_id long, text string"))
-    places = training_order.materialise(training_order.byte_ids(docs), str(tmp_path), length=512, shard_slots=64).collect()
+def read_back(path, places, width, **how):
     n = max(p.slot for p in places) + 1
-    slots = np.array(list(training_order.read_slots(str(tmp_path), 0, n, length=512, shard_slots=64)))
-    stream = slots[training_order.permuted(np.arange(n), n)].reshape(-1).tobytes()
-    texts = stream.rstrip(bytes([training_order.PAD])).split(bytes([training_order.END]))[:-1]
-    assert sorted(texts) == sorted((r.text or "").encode() for r in docs.collect())
-    later = np.array(list(training_order.read_slots(str(tmp_path), 70, 75, length=512, shard_slots=64)))
+    slots = np.array(list(training_order.read_slots(path, 0, n, width=width, **how)))
+    end, pad = training_order.marks(width)
+    stream = slots[training_order.permuted(np.arange(n), n)].reshape(-1)
+    stream = stream[: len(stream) - int((stream[::-1] != pad).argmax())]
+    return slots, [x[:-1] for x in np.split(stream, np.flatnonzero(stream == end) + 1)[:-1]]
+
+
+def test_sequences_read_back(spark, sf, tmp_path):
+    docs = shared.table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame([(None, None), (5, ""), (6, "x" * 300_000), (6, "x" * 511), (6, "x" * 511)], "doc_id long, text string"))
+    rows = training_order.byte_ids(docs).withColumn("Slot", F.lit("theirs"))
+    how = {"length": 512, "shard_slots": 64}
+    places = training_order.materialise(rows, str(tmp_path), **how).collect()
+    slots, found = read_back(str(tmp_path), places, 1, **how)
+    assert sorted(x.tobytes() for x in found) == sorted((r.text or "").encode() for r in docs.collect())
+    later = np.array(list(training_order.read_slots(str(tmp_path), 70, 75, **how)))
     assert (later == slots[70:75]).all()
+    assert sum(p.n_ids for p in places) == sum(len(x) + 1 for x in found)
+    for p in places[:50]:  # the columns name the very bytes
+        with open(p.path, "rb") as f:
+            f.seek(p.byte_offset)
+            assert f.read(p.n_ids) == slots[p.slot][p.position : p.position + p.n_ids].tobytes()
     assert training_order.materialise(training_order.byte_ids(docs.limit(0)), str(tmp_path / "none")).count() == 0
 
 
+def test_the_query_writes_every_token_id(spark, sf):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    places = training_order.op9_training_order(spark, sf).collect()
+    folder = places[0].path.removeprefix("file://").rpartition("/")[0]
+    _, found = read_back(folder, places, 2)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = {r.doc_id: own.encode_ordinary(r.text or "") for r in shared.table(spark, sf, "documents").collect()}
+    assert sorted(x.tolist() for x in found) == sorted(docs.values())
+    of_doc = {}
+    for p in places:
+        of_doc[p.doc_id] = of_doc.get(p.doc_id, 0) + p.n_ids
+    assert of_doc == {d: len(x) + 1 for d, x in docs.items()}
+
+
 @pytest.fixture(scope="module")
 def pipeline():
     return pytest.importorskip("corpus_pipeline")
