@@ -149,14 +149,64 @@ def test_reordered_passages_are_found(spark, odd, none):
     assert {d for d, r in out.items() if r.contaminated} == {1, 2}
     assert out[1].item_id == 2 and out[2].item_id == 3 and out[2].tiles == 3
     assert 0 < out[4].coverage < decontaminate.THRESHOLD
-    small = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_items=3)
-    whole = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench)
-    assert rows_of(small, "doc_id", "overlaps") == rows_of(whole, "doc_id", "overlaps")
+    plain = spark.createDataFrame(docs, "doc_id long, text string")
+    sent, joined = (decontaminate.overlaps(plain, bench, sent_bytes=n) for n in (decontaminate.SENT_BYTES, 0))
+    ordered = lambda df: sorted((r.doc_id or 0, sorted(map(str, r.overlaps))) for r in df.collect())
+    assert ordered(sent) == ordered(joined)
+    nameless = decontaminate.contaminated(spark.createDataFrame([(1, "nameless " * 9)], "doc_id long, text string"), bench).first()
+    assert nameless.contaminated and nameless.item_id is None and nameless["items"] == [None]
     assert decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contaminated(odd, bench).count() == odd.count()
 
 
+def tiling_by_hand(text, item, tile=5):
+    """Coverage of an item by longest common runs of unmarked words, sought over all pairs of places."""
+    a, b = ([w for w in re.split(r"[\W_]+", x.lower()) if w] for x in (text, item))
+    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < tile:
+            return covered / max(1, len(b))
+        free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+        covered += n
+
+
+def test_coverage_equals_brute_force(spark):
+    rng = random.Random(11)
+    words = ["red", "Blue", "green", "one", "two"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for i in range(8)]
+    docs = [(d, ", ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for d in range(12)]
+    schema = "doc_id long, text string"
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    least = {}
+    for i, text in items:
+        least.setdefault(text, i)
+    want = {(d, i): c for d, text in docs for item, i in least.items() if (c := tiling_by_hand(text, item)) > 0}
+    for sent_bytes in (decontaminate.SENT_BYTES, 0):
+        out = decontaminate.overlaps(spark.createDataFrame(docs, schema), bench, sent_bytes=sent_bytes)
+        assert {(r.doc_id, x.item_id): x.coverage for r in out.collect() for x in r.overlaps} == pytest.approx(want)
+
+
+def test_decontamination_query_names_what_it_covers(spark, sf):
+    items = {r.item_id: r.text for r in shared.table(spark, sf, "benchmark").collect()}
+    docs = {r.doc_id: r.text or "" for r in documents(spark, sf).collect()}
+    out = {r.doc_id: r for r in decontaminate.op6_decontamination(spark, sf).collect()}
+    for d, text in docs.items():  # an item that stands whole in a text
+        whole = [i for i, x in items.items() if len(x.split()) >= 5 and x in text]
+        if whole:
+            assert d in out and set(map(str, whole)) <= set(out[d].item_ids.split(","))
+    for d, r in list(out.items())[:3]:
+        assert r.coverage >= decontaminate.THRESHOLD
+
+
 def test_language_on_held_out_rows(spark, sf, odd, none):
     docs = documents(spark, sf)
     out = language.op3_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id")
