@@ -23,7 +23,9 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def _sign(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    """Number, sum and parity of 64-bit hashes: two sets of edges agree in all by chance with odds of about 2^-128."""
+    total = F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(20,0)"))
+    return tuple(edges.agg(F.count(F.lit(1)), total, F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:

@@ -49,6 +49,57 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_the_query_names_groups_like_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in shared.table(spark, sf, "documents").collect()]
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op2_simhash(spark, sf).collect()), key=str)
+    assert got == groups_by_hand(rows)
+
+
+def linked_by_hand(prints):
+    root = np.arange(len(prints))
+    for i in range(len(prints)):
+        near = np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= 3)
+        roots = np.unique(root[near])
+        root[np.isin(root, roots)] = roots[0]
+    return root
+
+
+@pytest.mark.parametrize("equal", ["low", "high", "neither"])
+def test_large_shards_are_split_again(spark, equal):
+    """Fingerprints that agree in a half, which no tree over that half can split."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**32, 250, dtype=np.uint64)
+    half = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 32, 250, dtype=np.uint64)) for _ in range(4)] + [base])
+    other = np.uint64(0xABCDEF01) if equal != "neither" else rng.integers(0, 2**32, len(half), dtype=np.uint64)
+    prints = np.unique(half << np.uint64(32) | other if equal == "low" else other << np.uint64(32) | half)
+    distinct = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    links = simhash.near_links(distinct, sample_rows=64, shard_rows=16, own_sample=64, portion=50).collect()
+    place = {int(x): i for i, x in enumerate(prints.view(np.int64))}
+    assert all(((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 3 for r in links)
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        root[find(place[r.u])] = find(place[r.v])
+    want = linked_by_hand(prints)
+    groups = {}
+    for i in range(len(prints)):
+        groups.setdefault(find(i), set()).add(int(want[i]))
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(np.unique(want))
+
+
+def test_groups_without_ids_do_not_fuse(spark):
+    long_texts = [" ".join(f"{w}{i}" for i in range(400)) for w in "abcd"]
+    near = [t.replace("7 ", "7x ", 1) for t in long_texts]
+    rows = [(None, long_texts[0]), (5, near[0]), (None, long_texts[1]), (9, near[1]), (None, long_texts[2]), (7, long_texts[3]), (7, long_texts[0])]
+    got = sorted(((r.doc_id, f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == groups_by_hand(rows)
+
+
 def test_shards_interleave_sources(spark, sf):
     docs = shared.table(spark, sf, "documents").select("doc_id", "text", "source")
     docs = docs.union(spark.createDataFrame([(None, None, None), (7, "", "hot"), *[(8, "same", "hot")] * 90], "doc_id long, text string, source string"))
