@@ -1,8 +1,8 @@
 """Language ID: multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Document frequencies are counted over all learning rows. The weights are fitted by
-follow-the-regularised-leader with elastic-net penalties on a sample of at most `train_rows` rows,
-drawn by a hash of doc_id, as many for each language as there are; most weights end at zero. A
+follow-the-regularised-leader with elastic-net penalties on a sample of about `train_rows` distinct rows,
+drawn by a hash of doc_id and text, as many for each language as there are; most weights end at zero. A
 temperature fitted on the part of the sample that training left out calibrates the scores.
 
 Predictions see nothing but the text, all of it. A text that is null or has no letter is `und` with
@@ -143,21 +143,32 @@ def learn(docs: DataFrame, allowed: Column, train_rows: int = TRAIN_ROWS) -> Lan
     share = F.lit(0.0)
     for name, n in per_language.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, train_rows / len(languages) / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)
+    key = F.xxhash64("doc_id", "text", "lang", F.lit(17))
+    drawn = own.select(key.alias("key"), "lang", "text").where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20))
+
+    def counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the counts of a text's n-grams, SIZE numbers at most, go to the task that fits."""
+        for batch in slices(batches):
+            found = [ngrams(t) for t in batch.column("text").to_pylist()]
+            packed = [pa.array([x.astype("<i4").tobytes() for x in c], pa.binary()) for c in zip(*found)] if found else [pa.array([], pa.binary())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), *packed], ["key", "lang", "at", "counts"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in slices(batches):
-            rows += zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("lang").to_pylist())
-        rows.sort(key=lambda r: (hash((r[0] or 0) * 2_654_435_761 % 2**32), r[2], r[1]))
-        model = fitted([(*ngrams(text), languages.index(lang)) for _, text, lang in rows], languages, idf) if rows else None
+            rows += zip(*(batch.column(c).to_pylist() for c in ("key", "lang", "at", "counts")))
+        rows.sort()
+        model = fitted([(*(np.frombuffer(x, "<i4").astype(np.int64) for x in (at, counts)), languages.index(lang)) for _, lang, at, counts in rows], languages, idf) if rows else None
         if model:
             at = np.flatnonzero(np.any(model.weights != 0, axis=1))
             packed = [at.astype("<i8"), model.weights[at], model.bias, np.array([model.temperature])]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["at", "weights", "bias", "temperature"])
 
-    sample = own.where(drawn).limit(2 * train_rows).coalesce(1)  # a bounded sample: one task fits it
-    at, weights, bias, temperature = (np.frombuffer(x, kind) for x, kind in zip(sample.mapInArrow(fit, "at binary, weights binary, bias binary, temperature binary").first(), ("<i8", "f8", "f8", "f8")))
+    sample = drawn.mapInArrow(counted_rows, "key long, lang string, at binary, counts binary").dropDuplicates(["key"]).coalesce(1)  # a bounded sample: one task fits it
+    found = sample.mapInArrow(fit, "at binary, weights binary, bias binary, temperature binary").first()
+    if found is None:  # the draw can leave nothing of very few rows
+        return learn(docs, allowed, 4 * train_rows)
+    at, weights, bias, temperature = (np.frombuffer(x, kind) for x, kind in zip(found, ("<i8", "f8", "f8", "f8")))
     dense = np.zeros((SIZE, len(languages)))
     dense[at] = weights.reshape(len(at), len(languages))
     return LanguageModel(languages, dense, bias, idf, float(temperature[0]))
