@@ -22,9 +22,11 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,10 @@ from .shared import portions, slices, stored
 COMMON_WORDS, COMMON_BYTES = 200_000, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
-#: Bytes of other words and their ids that a worker remembers in each of two generations; older ones are replayed again.
-CACHE_BYTES = 40_000_000
+#: Bytes of text whose words a task replays together.
+GROUP_BYTES = 24_000_000
+#: Bytes of other words and their ids that a worker remembers; beyond them it begins anew.
+CACHE_BYTES = 80_000_000
 #: What Python needs to hold a word and its ids beside their bytes, about.
 ENTRY_BYTES = 200
 #: Words are replayed together in portions of about so many bytes.
@@ -60,6 +64,19 @@ def latin_pattern(pattern: str) -> str:
     return out
 
 
+class Numbers(dict):
+    """Words and their numbers, given in the order in which words are first asked for."""
+
+    def __init__(self, words: Iterable[str]):
+        super().__init__(zip(words, itertools.count()))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class MergeReplay:
     """The merges of a rank file: token bytes by rank, where the rank is also the token's id."""
 
@@ -72,10 +89,7 @@ class MergeReplay:
         )
         self.keys, self.merged = np.array(merges, np.int64).reshape(-1, 2).T.copy()
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
-        self.common: dict[str, bytes] = {}
+        self.remember({})
 
     def split(self, text: str | None) -> list[str]:
         return (self.find if BEYOND_LATIN(text) else self.find_latin)(text) if text else []
@@ -159,52 +173,62 @@ class MergeReplay:
         cuts = (np.cumsum(stays)[ends] * 4).tolist()
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Puts the ids of words not yet known into the cache, as little-endian numbers of 32 bits."""
-        portion: list[str] = []
-        raw: list[bytes] = []
-        held = 0
-
-        def flush() -> None:
-            found = self.replay(raw)
-            self.young.update(zip(portion, found))
-            self.held += sum(map(len, raw)) + sum(map(len, found)) + ENTRY_BYTES * len(raw)
-            portion.clear()
-            raw.clear()
-
-        for word in words:
-            data = word.encode()
-            if (whole := self.ranks.get(data)) is not None:
-                self.young[word] = whole.to_bytes(4, "little")
-                self.held += ENTRY_BYTES
-                continue
-            portion.append(word)
-            raw.append(data)
-            held += len(data)
-            if held > REPLAY_BYTES:
-                flush()
-                held = 0
-        if portion:
-            flush()
+    def remember(self, common: dict[str, bytes]) -> None:
+        """Begins anew with words whose ids are known."""
+        self.common, self.held = common, 0
+        self.numbers, self.ids = Numbers(common), list(common.values())
+
+    def numbered(self, text: str | None) -> array:
+        """The numbers of the text's words; words not met before wait to be learned."""
+        return array("i", map(self.numbers.__getitem__, self.split(text)))
+
+    def learn(self) -> None:
+        """Finds the ids of the words that wait, as little-endian numbers of 32 bits; those that are no tokens are replayed in portions."""
+        new = self.numbers.new
+        for start, end in _cuts(new):
+            raw = [w.encode() for w in new[start:end]]
+            ids = [b"" if (whole := self.ranks.get(r)) is None else whole.to_bytes(4, "little") for r in raw]
+            open_ = [i for i, x in enumerate(ids) if not x]
+            for i, found in zip(open_, self.replay([raw[i] for i in open_]) if open_ else ()):
+                ids[i] = found
+            self.ids += ids
+            self.held += sum(map(len, raw)) + sum(map(len, ids)) + ENTRY_BYTES * len(raw)
+        new.clear()
+
+    def joined(self, numbers: array) -> bytes:
+        return b"".join(map(self.ids.__getitem__, numbers))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned numbers of 32 bits."""
-        split = [self.split(t) for t in texts]
-        if self.held > CACHE_BYTES:
-            self.old, self.young, self.held = self.young, {}, 0
-        young, old, common = self.young, self.old, self.common
-        new = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(young)
-        for known in (common, old):
-            again = new.intersection(known) if known else ()
-            young.update((word, known[word]) for word in again)
-            self.held += sum(ENTRY_BYTES + 5 * len(word) for word in again)
-            new.difference_update(again)
-        self.learn(new)
-        known = young.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        numbers = [self.numbered(t) for t in texts]
+        self.learn()
+        return [self.joined(n) for n in numbers]
+
+
+def _cuts(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of words of about REPLAY_BYTES."""
+    start = held = 0
+    for i, word in enumerate(words):
+        held += len(word)
+        if held > REPLAY_BYTES:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(words):
+        yield start, len(words)
+
+
+def groups(batches: Iterator[pa.RecordBatch], text: str, rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches, in lists of about GROUP_BYTES of text."""
+    group: list[pa.RecordBatch] = []
+    held = 0
+    for batch in portions(batches, text, rows, 4_000_000):
+        group.append(batch)
+        held += batch.column(text).nbytes
+        if held >= GROUP_BYTES:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def ranks_in(path: str) -> dict[bytes, int]:
@@ -273,21 +297,27 @@ def encode(
     """
     names = [out, *([decoded] if decoded else [])]
     docs = docs.drop(*names)
-    found = common_words(docs, path, pattern, text, most_common).toArrow()
+    found = common_words(docs, path, pattern, text, most_common).toArrow() if most_common else pa.table({"word": [], "token_ids": []})
     sent = docs.sparkSession.sparkContext.broadcast(dict(zip(found.column("word").to_pylist(), found.column("token_ids").to_pylist())))  # most_common words at most
 
     def run(batches):
         model = replay_of(path, pattern)
-        model.common = sent.value
+        if model.common is not sent.value:
+            model.remember(sent.value)
         if width < 4 and max(model.ranks.values()) >= (1 << 8 * width) - 2:
             raise ValueError(f"the vocabulary has ids of more than {width} bytes")
-        for batch in portions(batches, text, rows, 4_000_000):
-            ids = model.encode(batch.column(text).to_pylist())
-            new = [pa.array(ids if width == 4 else [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids], pa.binary())]
-            if decoded:
-                token = tokens_of(path).__getitem__
-                new.append(pa.array([_decoded(x, token) for x in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+        for group in groups(batches, text, rows):
+            if model.held > CACHE_BYTES:
+                model.remember(model.common)
+            numbers = [[model.numbered(t) for t in batch.column(text).to_pylist()] for batch in group]
+            model.learn()
+            for batch, own in zip(group, numbers):
+                ids = [model.joined(n) for n in own]
+                new = [pa.array(ids if width == 4 else [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids], pa.binary())]
+                if decoded:
+                    token = tokens_of(path).__getitem__
+                    new.append(pa.array([_decoded(x, token) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
 

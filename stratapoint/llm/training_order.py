@@ -219,5 +219,5 @@ def op9_training_order(spark, sf_dir):
     from .shared import table
 
     path, pattern = public_vocabulary()
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, out="ids", width=2)
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, out="ids", width=2, most_common=0)  # one pass over the texts
     return materialise(ids, shared_path(spark, "training-order"), width=2)
