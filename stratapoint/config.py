@@ -6,6 +6,18 @@ import math
 from dataclasses import dataclass
 
 
+def clamped(value, fallback: float, low: float | None = None, high: float | None = None) -> float:
+    """A number given as text or number, between the limits; the fallback for what is no finite number."""
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return fallback
+    if not math.isfinite(number):
+        return fallback
+    number = number if low is None else max(low, number)
+    return number if high is None else min(high, number)
+
+
 @dataclass(frozen=True)
 class IndexConfig:
     """How deep a tile tree goes and how many points a tile's sample holds."""

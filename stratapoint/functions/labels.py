@@ -55,6 +55,21 @@ def ratio(r: Column) -> Column:
     return F.when(r == INFINITY, "inf").when(~_finite(r), "").otherwise(F.concat(text, F.lit("x")))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number of any sign with a fixed number of decimals."""
+    return F.concat(F.when(x < 0, "-").otherwise(""), decimals(F.abs(x), digits))
+
+
+def lnglat_bounds(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """West, south / east, north; a dash without bounds."""
+    a, b, c, d = (fixed(x, 5) for x in (west, south, east, north))
+    return F.coalesce(F.concat(a, F.lit(", "), b, F.lit(" / "), c, F.lit(", "), d), F.lit("-"))
+
+
+def indexing_mode(mode: Column) -> Column:
+    return F.when(mode == "m3no", "M3NO").otherwise("QuadTree")
+
+
 def tile_type(parent_id: Column, child_count: Column) -> Column:
     return F.when(parent_id.isNull(), "root").when(child_count > 0, "intermediate").otherwise("leaf")
 

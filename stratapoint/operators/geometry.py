@@ -57,13 +57,41 @@ def render_positions(points: DataFrame, tile: str = "tile_id", exaggeration: flo
     return rows.join(anchors, tile).withColumns({"rel_x": (x - ax).cast("float"), "rel_y": (y - ay).cast("float")}).drop("_lng", "_lat")
 
 
+def box_anchor(edges: DataFrame, by: list[str]) -> DataFrame:
+    """The mean place of the corners of boxes (as `boxes` gives them): every corner ends three edges, so that the ends' mean is theirs."""
+    x, y = unit_mercator(F.col("c.lng"), F.col("c.lat"))
+    ends = edges.select(*by, F.explode(F.array(*(F.struct(*(F.col(f"{end}_{c}").alias(c) for c in ("lng", "lat", "height"))) for end in "ab"))).alias("c"))
+    return ends.groupBy(*by).agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg("c.height").alias("height"))
+
+
+def transformed(matrix: list[float], x: Column, y: Column, z: Column) -> Column:
+    """A 4 x 4 matrix, column by column, times a point, in single precision; coordinates that are null count as 0."""
+    at = [F.coalesce(c, F.lit(0.0)) for c in (x, y, z)]
+    rows = [sum((at[c] * float(matrix[4 * c + r]) for c in range(3)), F.lit(0.0)) + float(matrix[12 + r]) for r in range(4)]
+    return F.array(*(v.cast("float") for v in rows))
+
+
+def with_terrain(points: DataFrame, terrain: DataFrame, cell: float) -> DataFrame:
+    """points (mx, my) with `elevation` of the terrain cell (cell_x, cell_y, elevation) below each, 0 where there is none."""
+    keyed = points.withColumns({"_cx": F.floor(F.col("mx") / cell), "_cy": F.floor(F.col("my") / cell)})
+    ground = terrain.select(F.col("cell_x").alias("_cx"), F.col("cell_y").alias("_cy"), "elevation")
+    return keyed.join(ground, ["_cx", "_cy"], "left").withColumn("elevation", F.coalesce("elevation", F.lit(0.0))).drop("_cx", "_cy")
+
+
+def legend(spark) -> DataFrame:
+    """Every class with its colour from 0 to 255, the fallback last."""
+    rows = [(i, str(k), n, *(c * 255 for c in rgb[:3]), rgb[3]) for i, (k, n, rgb) in enumerate(CLASSES)]
+    rows.append((len(rows), "Other", "Other classifications", *(c * 255 for c in OTHER_CLASS[1][:3]), OTHER_CLASS[1][3]))
+    return spark.createDataFrame(rows, "position int, code string, label string, red double, green double, blue double, alpha double")
+
+
 def class_table(spark) -> DataFrame:
     """The fixed classes: classification, label, red, green, blue, alpha."""
     return spark.createDataFrame([(k, n, *map(float, c)) for k, n, c in CLASSES], "classification int, label string, red double, green double, blue double, alpha double")
 
 
 def coloured(points: DataFrame, classes: DataFrame) -> DataFrame:
-    """points with the label and colour of their class, or of the fallback. The class table has 32 rows at most."""
-    out = points.join(F.broadcast(classes.limit(32)), "classification", "left")
+    """points with the label and colour of their class, or of the fallback. Of the class table the first 32 rows by class count."""
+    out = points.join(F.broadcast(classes.orderBy("classification").limit(32)), "classification", "left")
     other = dict(zip(("red", "green", "blue", "alpha"), OTHER_CLASS[1]))
     return out.withColumns({"label": F.coalesce("label", F.lit(OTHER_CLASS[0])), **{k: F.coalesce(k, F.lit(v)) for k, v in other.items()}})

@@ -132,6 +132,27 @@ def pending_parents(pending: DataFrame, tiles: DataFrame, expanded: DataFrame) -
     return found.select(F.col("near.ancestor").alias("id")).distinct()
 
 
+def highlighted(tiles: DataFrame, pending: DataFrame) -> DataFrame:
+    """The tiles to draw a box around: those in pending."""
+    return tiles.join(pending.select("id"), "id", "left_semi")
+
+
+def renderable(described: DataFrame, payload: DataFrame, resident: DataFrame) -> DataFrame:
+    """Tiles that can be drawn: those whose payload (id, points) has points, and those already resident under the same key."""
+    have = payload.select("id", F.col("points").alias("_points"))
+    same = resident.select("id", "render_key", F.lit(True).alias("_same"))
+    out = described.join(have, "id", "left").join(same, ["id", "render_key"], "left")
+    return out.where((F.coalesce("_points", F.lit(0)) > 0) | F.col("_same")).withColumn("points", F.coalesce("_points", F.lit(0))).drop("_points", "_same")
+
+
+def with_crs_of_file(tiles: DataFrame, files: DataFrame) -> DataFrame:
+    """tiles with the CRS of their file, or their own where the file has no row. files: file_index, crs_kind, crs_code, crs_zone, crs_northern; as many rows as files."""
+    names = ("crs_kind", "crs_code", "crs_zone", "crs_northern")
+    known = files.select("file_index", *(F.col(n).alias(f"_{n}") for n in names), F.lit(True).alias("_known"))
+    out = tiles.join(known, "file_index", "left")
+    return out.withColumns({n: F.when(F.col("_known"), F.col(f"_{n}")).otherwise(F.col(n)) for n in names}).drop("_known", *(f"_{n}" for n in names))
+
+
 def active_totals(described: DataFrame, by: list[str]) -> DataFrame:
     """Points drawn and points available in an active set; available counts overlap across levels."""
     return described.groupBy(*by).agg(F.count(F.lit(1)).alias("tiles"), F.sum("render_count").alias("rendered"), F.sum("source_point_count").alias("available"))

@@ -23,13 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    own = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
-    n = F.row_number().over(own)
+def unnumbered_points(lines: DataFrame, *more) -> DataFrame:
+    """file_index and raw coordinates of a point for each row of lineitem."""
     return lines.select(
         F.expr("cast(l_suppkey % 2 as int)").alias("file_index"),
-        (F.col("l_orderkey") * 1000 + n - 1).alias("point_index"),
+        *more,
         F.expr("cast((l_partkey * 7919L + l_orderkey * 104729L) % 400000 as int)").alias("raw_x"),
         F.expr("cast((l_suppkey * 6151L + l_orderkey * 15485863L) % 400000 as int)").alias("raw_y"),
         F.expr("cast((cast(l_quantity as bigint) * 977 + l_linenumber * 131) % 30000 as int)").alias("raw_z"),
@@ -37,6 +35,11 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
+    return unnumbered_points(table(spark, sf_dir, "lineitem"), (F.col("l_orderkey") * 1000 + F.row_number().over(own) - 1).alias("point_index"))
+
+
 def decoded(points: DataFrame) -> DataFrame:
     """Scale and offset, as a reader of point records applies them."""
     return points.withColumns({

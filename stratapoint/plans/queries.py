@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from stratapoint.functions import camera as cam, crs, labels, projection as pr
 from stratapoint.operators import geometry, sampling, selection, stats, tiling
 from stratapoint.plans import cloud, oracles as o
-from stratapoint.sources.tiles import in_order, latest
+from stratapoint.sources.scratch import stored
+from stratapoint.sources.tiles import latest
 from stratapoint.streaming.progress import debounced, progressive_tiles, snapshots
 
 QUERIES: dict = {}
@@ -33,15 +34,31 @@ def joined(c: Column | str) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
+_TILES: dict[tuple[str, str], DataFrame] = {}
+
+
 def quad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = tiling.pyramid(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH)
-    return tiling.tile_records(tiles, cloud.FLAT, cloud.DEPTH, cloud.CONFIG, cloud.CRS)
+    """The quadtree's records, stored once in a session, as a load does; queries read the table."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _TILES:
+        tiles = tiling.pyramid(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH)
+        _TILES[key] = stored(tiling.tile_records(tiles, cloud.FLAT, cloud.DEPTH, cloud.CONFIG, cloud.CRS), "quadtree")
+    return _TILES[key]
 
 
-def octo(spark: SparkSession, sf_dir: str, samples: DataFrame | None = None) -> DataFrame:
-    tiles = tiling.pyramid(cloud.points(spark, sf_dir), cloud.SOLID, cloud.DEPTH)
-    samples = samples if samples is not None else spark.createDataFrame([], "id string, arrived long, sampled long")
-    return tiling.tile_records(tiles, cloud.SOLID, cloud.DEPTH, cloud.CONFIG, cloud.CRS, samples)
+def grid_levels(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """All levels and cells of the octree's samples, each level stored."""
+    return sampling.grid_levels(cloud.points(spark, sf_dir), cloud.SOLID, cloud.DEPTH, cloud.CONFIG.grid_cells, lambda level, df: stored(df, f"level-{level}"))
+
+
+def octo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The octree's records with what arrived at each tile and what its sample keeps, stored once in a session."""
+    key = spark.sparkContext.applicationId, f"{sf_dir}#octree"
+    if key not in _TILES:
+        counts = stored(sampling.grid_counts(grid_levels(spark, sf_dir)), "sample-counts")
+        tiles = tiling.pyramid(cloud.points(spark, sf_dir), cloud.SOLID, cloud.DEPTH)
+        _TILES[key] = stored(tiling.tile_records(tiles, cloud.SOLID, cloud.DEPTH, cloud.CONFIG, cloud.CRS, counts), "octree")
+    return _TILES[key]
 
 
 # Points and projections
@@ -273,11 +290,6 @@ def q_tile_type(spark, sf_dir):
     return quad(spark, sf_dir).select("id", labels.tile_type(F.col("parent_id"), F.size("child_ids")).alias("type"))
 
 
-@query(o.with_(o.POINTS, o.tiles(False), final="SELECT id, file_index, depth, n FROM tiles", recursive=True))
-def q_all_tiles(spark, sf_dir):
-    return in_order(quad(spark, sf_dir)).select("id", "file_index", "depth", F.col("original_point_count").alias("n"))
-
-
 # Samples
 
 
@@ -317,7 +329,9 @@ def q_m3no_counts(spark, sf_dir):
     return sampling.grid_counts(levels)
 
 
-@query(None)
+@query(o.with_(o.POINTS, "h AS (SELECT classification, count(*) AS n FROM points GROUP BY 1)",
+  "steps AS (SELECT classification, j, row_number() OVER (ORDER BY j / sqrt(n), classification) AS place FROM h, range(1, 1000) r(j) WHERE j < n)",
+  final="SELECT classification, 1 + (SELECT count(*) FROM steps s WHERE s.classification = h.classification AND place <= 1000 - (SELECT count(*) FROM h)) AS n FROM h"))
 def q_class_budget(spark, sf_dir):
     order = F.md5(F.col("point_index").cast("string").cast("binary"))
     return sampling.by_class(cloud.points(spark, sf_dir), 1000, order).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
@@ -399,18 +413,6 @@ def q_lod_hysteresis(spark, sf_dir):
     return selection.select_for_cameras(tiles, cameras, cloud.LOD, False, before).where("active").select("camera_id", "id")
 
 
-SECOND = """again AS (SELECT s.*, coalesce(p.expanded, false) AS was FROM seen2 s LEFT JOIN (SELECT camera_id, id, expanded FROM picked) p USING (camera_id, id))"""
-
-
-@query(None)
-def q_lod_sequence(spark, sf_dir):
-    """Each camera zooms out a little: what was open stays open down to the lower threshold."""
-    tiles, cameras = quad(spark, sf_dir), cloud.cameras(spark, sf_dir)
-    first = selection.select_for_cameras(tiles, cameras, cloud.LOD, False).where("expanded").select("camera_id", "id")
-    out = cameras.withColumn("zoom", F.col("zoom") - 0.1)
-    return selection.select_for_cameras(tiles, out, cloud.LOD, False, first).where("active").select("camera_id", "id")
-
-
 @query(o.with_(o.POINTS, o.tiles(False), o.described("tiles"), final="SELECT id, source, render_count, render_key FROM drawn", recursive=True))
 def q_render_descriptor(spark, sf_dir):
     return selection.descriptors(quad(spark, sf_dir)).select("id", "source", "render_count", "render_key")
@@ -456,17 +458,6 @@ def q_active_totals(spark, sf_dir):
     return selection.active_totals(selection.descriptors(_picked(spark, sf_dir).where("active")), ["camera_id"])
 
 
-@query(o.with_(*SEEN, o.selected(False), o.digits(False, src="(SELECT * FROM points)").replace("lv", "pv"),
-  "p AS (SELECT unnest([id0, id1, id2, id3, id4, id5, id6]) AS id, point_index FROM pv6)",
-  final="SELECT a.camera_id, a.id, count(p.point_index) AS points, min(p.point_index) AS first FROM picked a JOIN p USING (id) WHERE a.active AND a.n_children = 0 GROUP BY 1, 2", recursive=True))
-def q_active_payload(spark, sf_dir):
-    """The full points of active leaves. The selection is a small table, so its keys go to the points."""
-    active = selection.descriptors(_picked(spark, sf_dir).where("active")).where("source = 'full'").select("camera_id", F.col("id").alias("tile_id"))
-    payload = tiling.leaf_points(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH).select("tile_id", "point_index")
-    per_tile = payload.groupBy("tile_id").agg(F.count("point_index").alias("points"), F.min("point_index").alias("first"))
-    return active.join(per_tile, "tile_id").select("camera_id", F.col("tile_id").alias("id"), "points", "first")
-
-
 @query(o.with_(o.POINTS, o.tiles(False), """climb AS (
   SELECT id AS start, parent_id AS up FROM tiles WHERE n_children = 0 AND first_point % 5 = 0
   UNION ALL
@@ -490,22 +481,6 @@ def q_upsert_latest(spark, sf_dir):
     return latest(more[0].union(more[1]).union(more[2]))
 
 
-@query(o.with_(o.POINTS, o.digits(False), final="SELECT id6 AS tile_id, point_index, z, classification FROM lv6 WHERE id6 = (SELECT id6 FROM lv6 GROUP BY 1 ORDER BY count(*) DESC, id6 LIMIT 1)"))
-def q_tile_get(spark, sf_dir):
-    """The points of the fullest leaf."""
-    leaves = tiling.leaf_points(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH)
-    fullest = leaves.groupBy("tile_id").count().orderBy(F.desc("count"), "tile_id").limit(1)
-    return leaves.join(fullest.select("tile_id"), "tile_id", "left_semi").select("tile_id", "point_index", "z", "classification")
-
-
-@query(o.with_(o.POINTS, o.digits(False), final="SELECT id6 AS tile_id, count(*) AS n, sum(point_index)::BIGINT AS s FROM lv6 WHERE id6 IN (SELECT id6 FROM lv6 GROUP BY 1 HAVING min(point_index) % 7 = 0) GROUP BY 1"))
-def q_tile_multiget(spark, sf_dir):
-    """Wanted: leaves by their first point, and one id that does not exist."""
-    leaves = tiling.leaf_points(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH)
-    wanted = leaves.groupBy("tile_id").agg(F.min("point_index").alias("f")).where("f % 7 = 0").select("tile_id").union(spark.range(1).select(F.lit("9:r.0").alias("tile_id")))
-    return leaves.join(wanted, "tile_id", "left_semi").groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_index").alias("s"))
-
-
 # Figures and reports
 
 
@@ -546,7 +521,7 @@ def q_point_center(spark, sf_dir):
 def q_max_altitude(spark, sf_dir):
     """The highest drawn point of each tile of depth 2 over every n-th of its points."""
     rows = tiling.with_digits(cloud.points(spark, sf_dir), cloud.FLAT, 2).withColumn("tile_id", tiling.tile_id(cloud.FLAT, ["d1", "d2"]))
-    few = sampling.stride(rows, ["tile_id"], ["point_index"])
+    few = sampling.stride(rows, ["tile_id"], "point_index")
     high = F.greatest(F.max(F.col("z") * 1.5 + 2.0), F.lit(0.0))
     return few.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.round(high, 4).alias("max_altitude"))
 
@@ -676,14 +651,9 @@ def q_progressive_snapshots(spark, sf_dir):
     return snapshots(numbered, cloud.FLAT, 2, SNAPSHOT).select("id", "step", "count", "is_final")
 
 
-def _arrivals(points: DataFrame, width: int = 1_000_000) -> DataFrame:
-    """The rank of each point in its file from 0, by buckets of the index and the counts before each bucket."""
-    rows = points.withColumn("_b", F.floor(F.col("point_index") / width))
-    counts = rows.groupBy("file_index", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("file_index").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("file_index", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("file_index", "_b").orderBy("point_index")
-    return rows.withColumn("_r", F.row_number().over(own)).join(counts, ["file_index", "_b"]).withColumn("arrival", F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
+def _arrivals(points: DataFrame) -> DataFrame:
+    """The rank of each point in its file from 0."""
+    return sampling.places(points, ["file_index"], "point_index", 1_000_000, "arrival").drop("group_size")
 
 
 @query(o.with_(o.POINTS, o.tiles(False), final="SELECT id, n AS full_count FROM tiles", recursive=True))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import files, small  # noqa: F401  (they register their queries)
 from .queries import ORACLES, QUERIES, _picked
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

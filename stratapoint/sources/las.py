@@ -19,8 +19,11 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from stratapoint.functions import crs
+
 POINTS_PER_PARTITION = 2_000_000
 CHUNK = 65_536
 
@@ -90,39 +93,39 @@ def geo_keys(data: bytes) -> dict[int, int]:
     return {key: value for key, location, _, value in entries if location == 0}
 
 
-def is_utm(code: int) -> bool:
-    return 32601 <= code <= 32660 or 32701 <= code <= 32760 or 25801 <= code <= 25860
-
-
 def epsg_in(words: str) -> int | None:
     codes = [int(x) for x in re.findall(r"\d{4,5}", words)]
-    for good in (is_utm, lambda c: c in (4326, 3857), lambda c: True):
+    for good in (crs.is_utm, lambda c: c in (crs.GEOGRAPHIC, crs.MERCATOR), lambda c: True):
         for code in filter(good, codes):
             return code
     return None
 
 
 def crs_of(code: int, source: str) -> dict:
+    """The same descriptor that functions.crs makes of a column; a code that cannot be projected is refused."""
     label = f"EPSG:{code}"
-    if code in (4326, 3857):
-        return {"kind": "geographic" if code == 4326 else "web-mercator", "code": code, "zone": None, "northern": None, "label": f"{label} ({source})"}
-    if not is_utm(code):
+    if code in (crs.GEOGRAPHIC, crs.MERCATOR):
+        return {"kind": "geographic" if code == crs.GEOGRAPHIC else "web-mercator", "code": code, "zone": None, "northern": None, "label": f"{label} ({source})"}
+    if not crs.is_utm(code):
         raise ValueError(f"EPSG:{code} is neither geographic, Web Mercator nor UTM")
-    zone, north = code % 100, code < 32700
+    zone, north = code % 100, code < crs.SOUTHERN
     return {"kind": "utm", "code": code, "zone": zone, "northern": north, "label": f"{label} UTM zona {zone}{'N' if north else 'S'} ({source})"}
 
 
+#: How a guessed code is explained.
+GUESSES = {
+    crs.GEOGRAPHIC: "inferred from coordinate range",
+    crs.MERCATOR: "inferred from coordinate range",
+    crs.CANARY_ZONE: "inferred UTM 28N for the Canary Islands",
+    crs.ELSEWHERE: "default assumption: Iberian Peninsula in Spain",
+}
+
+
 def guessed_crs(x: float, y: float) -> dict:
-    if abs(x) <= 180 and abs(y) <= 90:
-        return crs_of(4326, "inferred from coordinate range")
-    limit, radius = 20037508.342789244, 6378137.0
-    if abs(x) <= limit and abs(y) <= limit:
-        lng, lat = np.degrees(x / radius), np.degrees(2 * np.arctan(np.exp(y / radius)) - np.pi / 2)
-        if -18 < lng < -13 and 26 < lat < 30:
-            return crs_of(3857, "inferred from coordinate range")
-    if 100_000 <= x <= 900_000 and 2_500_000 <= y <= 4_000_000:
-        return crs_of(32628, "inferred UTM 28N for the Canary Islands")
-    return crs_of(25830, "default assumption: Iberian Peninsula in Spain")
+    radius = crs.MERCATOR_LIMIT / np.pi
+    lng, lat = np.degrees(x / radius), np.degrees(2 * np.arctan(np.exp(np.clip(y / radius, -50, 50))) - np.pi / 2)
+    code = crs.guess(x, y, lng, lat, lambda c, a, b: a if c else b)
+    return crs_of(code, GUESSES[code])
 
 
 def detect_crs(vlrs: list[dict], first: tuple[float, float]) -> dict:
@@ -158,8 +161,8 @@ def inspect(path: str) -> tuple[Header, list[dict], dict, int]:
         if len(raw) < 12:
             raise ValueError("the LAS file holds no points")
         x, y, _ = struct.unpack("<3i", raw)
-    crs = detect_crs(vlrs, (x * header.scale_x + header.offset_x, y * header.scale_y + header.offset_y))
-    return header, vlrs, crs, min(header.point_count, (size - header.point_offset) // header.record_length)
+    found = detect_crs(vlrs, (x * header.scale_x + header.offset_x, y * header.scale_y + header.offset_y))
+    return header, vlrs, found, min(header.point_count, (size - header.point_offset) // header.record_length)
 
 
 @dataclass
@@ -196,8 +199,8 @@ class LasReader(DataSourceReader):
     def partitions(self) -> list[PointRange]:
         out = []
         for i, path in enumerate(self.paths):
-            header, _, crs, whole = inspect(path)
-            out += [PointRange(i, path, a, min(a + self.step, whole), asdict(header), crs) for a in range(0, whole, self.step)]
+            header, _, found, whole = inspect(path)
+            out += [PointRange(i, path, a, min(a + self.step, whole), asdict(header), found) for a in range(0, whole, self.step)]
         return out
 
     def read(self, partition: PointRange) -> Iterator[pa.RecordBatch]:
@@ -212,18 +215,30 @@ class LasReader(DataSourceReader):
                 points = np.frombuffer(f.read(n * header.record_length), record)
                 x, y, z = (points[a] * getattr(header, f"scale_{a}") + getattr(header, f"offset_{a}") for a in "xyz")
                 kinds = points["class"] if at == 16 else points["class"] & 0x1F
-                crs = [pa.array([partition.crs[k]] * n, t) for k, t in (("kind", pa.string()), ("code", pa.int32()), ("zone", pa.int32()), ("northern", pa.bool_()), ("label", pa.string()))]
-                columns = [pa.array(np.full(n, partition.file_index, np.int32)), pa.array(np.arange(first, first + n)), *map(pa.array, (x, y, z)), pa.array(kinds.astype(np.int32)), *crs]
+                system = [pa.array([partition.crs[k]] * n, t) for k, t in (("kind", pa.string()), ("code", pa.int32()), ("zone", pa.int32()), ("northern", pa.bool_()), ("label", pa.string()))]
+                columns = [pa.array(np.full(n, partition.file_index, np.int32)), pa.array(np.arange(first, first + n)), *map(pa.array, (x, y, z)), pa.array(kinds.astype(np.int32)), *system]
                 names = ["file_index", "point_index", "x", "y", "z", "classification", "crs_kind", "crs_code", "crs_zone", "crs_northern", "crs_label"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def headers(spark, paths: list[str]):
-    """A row for each file: its header, its records' ids and its CRS."""
+def read_las(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """The points of files; those of other kinds than .las are left out."""
+    spark.dataSource.register(LasSource)
+    return spark.read.format("las").options(paths=json.dumps(paths), **options).load()
+
+
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row for each file: its header, its records' ids, its CRS and how many whole points it holds."""
     rows = []
     for i, path in enumerate(p for p in paths if is_las(p)):
-        header, vlrs, crs, whole = inspect(path)
-        rows.append((i, path, *asdict(header).values(), [v["record_id"] for v in vlrs], crs["label"], whole))
+        header, vlrs, found, whole = inspect(path)
+        rows.append((i, path, *asdict(header).values(), [v["record_id"] for v in vlrs], *(found[k] for k in ("kind", "code", "zone", "northern", "label")), whole))
     kinds = {"str": "string", "int": "long", "float": "double"}
     fields = ", ".join(f"{k} {kinds[t]}" for k, t in Header.__annotations__.items())
-    return spark.createDataFrame(rows, f"file_index int, path string, {fields}, vlr_ids array<long>, crs_label string, whole_points long")
+    system = "crs_kind string, crs_code int, crs_zone int, crs_northern boolean, crs_label string"
+    return spark.createDataFrame(rows, f"file_index int, path string, {fields}, vlr_ids array<long>, {system}, whole_points long")
+
+
+def class_histogram(points: DataFrame) -> DataFrame:
+    """How many points of each class, as read, whether or not they can be projected."""
+    return points.groupBy("classification").count()

@@ -27,9 +27,16 @@ class TileStore:
 
     def save(self, tiles: DataFrame, points: DataFrame) -> None:
         """points: file_index, kind (sample or full), depth, tile_id and the points' own columns."""
-        tiles.withColumn("batch", F.lit(0).cast("long")).write.mode("overwrite").parquet(f"{self.path}/tiles")
+        self._write(tiles, points, "overwrite")
+
+    def add(self, tiles: DataFrame, points: DataFrame) -> None:
+        """Another file's tiles and points beside those that are there."""
+        self._write(tiles, points, "append")
+
+    def _write(self, tiles: DataFrame, points: DataFrame, mode: str) -> None:
+        tiles.withColumn("batch", F.lit(0).cast("long")).write.mode(mode).parquet(f"{self.path}/tiles")
         dealt = points.repartition("file_index", "kind", "depth", F.pmod(F.xxhash64("tile_id"), F.lit(16))).sortWithinPartitions("tile_id", "point_index")
-        dealt.write.mode("overwrite").partitionBy("file_index", "kind", "depth").parquet(f"{self.path}/points")
+        dealt.write.mode(mode).partitionBy("file_index", "kind", "depth").parquet(f"{self.path}/points")
 
     def upsert(self, tiles: DataFrame, batch: int) -> None:
         tiles.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(f"{self.path}/tiles")

@@ -30,10 +30,15 @@ def progressive_tiles(points: DataFrame, bounds: Bounds, depth: int) -> DataFram
     return tiles.groupBy("file_index", "depth", "id").agg(F.count(F.lit(1)).alias("full_count"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
 
 
-def start_progressive(points: DataFrame, bounds: Bounds, depth: int, on_tiles: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "300 milliseconds") -> StreamingQuery:
-    """Hands the tiles that changed to on_tiles at each interval, for an upsert into a store, say."""
-    tiles = progressive_tiles(points, bounds, depth)
-    return tiles.writeStream.outputMode("update").foreachBatch(on_tiles).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+def start_progressive(
+    points: DataFrame, bounds: Bounds, depth: int, on_tiles: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "300 milliseconds"
+) -> StreamingQuery:
+    """Hands the tiles that changed to on_tiles at each interval, for an upsert into a store, say; without an interval all that is there, then it ends.
+
+    Batches are handed over in order, and an error of on_tiles ends the query.
+    """
+    writer = progressive_tiles(points, bounds, depth).writeStream.outputMode("update").foreachBatch(on_tiles).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
 def snapshots(points: DataFrame, bounds: Bounds, depth: int, every: int = SNAPSHOT_POINTS) -> DataFrame:
@@ -50,6 +55,19 @@ def snapshots(points: DataFrame, bounds: Bounds, depth: int, every: int = SNAPSH
     return per_step.withColumn("count", F.sum("added").over(running)).join(F.broadcast(last), "file_index").withColumn("is_final", F.col("step") == F.col("_last")).drop("_last")
 
 
+def progress_events(files: DataFrame, every: int = 5_000) -> DataFrame:
+    """After how many points each file's load reports: at every `every` points and at its end. files: file_index, n."""
+    steps = F.when(F.col("n") >= every, F.sequence(F.lit(every).cast("long"), F.col("n"), F.lit(every).cast("long"))).otherwise(F.array().cast("array<long>"))
+    told = F.array_distinct(F.concat(steps, F.array("n")))
+    return files.select("file_index", F.explode(told).alias("processed"), "n").withColumn("is_final", F.col("processed") == F.col("n"))
+
+
+def not_stale(results: DataFrame, session: str, refresh: str, order: list[str]) -> DataFrame:
+    """Results that no newer one of their session came before, in order of arrival: a late answer to an old request is dropped."""
+    before = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return results.withColumn("_newest", F.max(refresh).over(before)).where(F.col("_newest").isNull() | (F.col(refresh) >= F.col("_newest"))).drop("_newest")
+
+
 class Selector:
     """Selections that remember which tiles were open, one camera of each session at a time.
 
