@@ -7,7 +7,7 @@ from .lines import OP5_SQL, op5_line_dedup
 from .neighbours import op8_neighbours
 from .pii import op10_pii
 from .quality import op1_quality
-from .sharding import op7_sharding
+from .sharding import OP7_SQL, op7_sharding
 from .simhash import op2_simhash
 from .training_order import op9_training_order
 
@@ -18,4 +18,4 @@ QUERIES = {
         op6_decontamination, op7_sharding, op8_neighbours, op9_training_order, op10_pii,
     )
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_sharding": OP7_SQL}

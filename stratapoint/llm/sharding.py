@@ -8,6 +8,9 @@ Ranks come from counts: rows fall into buckets by a prefix of the sort key, runn
 bucket counts give each bucket's first rank, and only the rows of one bucket are sorted together.
 No source, however large, is sorted in one task.
 
+The key is a hash of doc_id and of the text's checksum, for rows without a doc_id also of their place in the input, so that
+even a third of all rows without one are spread over all buckets.
+
 Nulls: a null source is a source of its own, a null text has no bytes, a null doc_id sorts first.
 Repeated rows each take a slot. An empty table gives an empty result. Other columns are ignored.
 """
@@ -61,7 +64,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_r
             F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"),
             (utf8_bytes("text") + 8).cast("long").alias("size"),
             F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("_key"),
+            F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string")), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("string")).cast("binary")).alias("_key"),
         ),
         "shard-rows",
     )
@@ -72,7 +75,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_r
     rows = ranked(rows, ["_source"], "_bucket", ties, "_rank")
     sizes = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_of"))
     # Each source begins at a place of its own, or sources of one size would come in lumps.
-    phase = (F.pmod(F.xxhash64("_source", F.lit(seed)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    phase = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_source").cast("binary")), 1, 5), 16, 10).cast("double") + 0.5) / float(1 << 20)
     rows = rows.join(sizes, "_source").withColumn("_fraction", (F.col("_rank") - phase) / F.col("_of"))
     rows = rows.withColumn("_part", F.floor(F.col("_fraction") * buckets))
     rows = ranked(rows, [], "_part", ["_fraction", "_source", *ties], "_at")
@@ -92,3 +95,28 @@ def op7_sharding(spark, sf_dir):
 
     out = interleave(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+#: crc32 over the bytes of a text, which the other engine has no function for: the remainder of each byte, then a fold over the bytes.
+OP7_SQL = f"""
+WITH bits AS (
+  SELECT list(list_reduce(range(0, 8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b) ORDER BY b) AS remainders
+  FROM (SELECT unnest(range(0, 256)) AS b)
+), raw AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS s FROM documents
+), hashed AS (
+  SELECT doc_id, s, octet_length(encode(t)) + 8 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::BIGINT),
+      lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM raw, bits
+), keyed AS (
+  SELECT *, md5('{SEED}:' || doc_id || ':' || text_crc32) AS k, (('0x' || substr(md5('{SEED}:' || s), 1, 5))::BIGINT + 0.5::DOUBLE) / 1048576 AS phase FROM hashed
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, doc_id) AS r, count(*) OVER (PARTITION BY s) AS of_source FROM keyed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (r - phase) / of_source, s, k, doc_id) - 1 AS place, count(*) OVER () AS n FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * {SHARDS} // n)::INT AS shard, place - ((place * {SHARDS} // n) * n + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INT AS grown_shard,
+  CASE WHEN s <> '' THEN substr(s, 2) END AS source
+FROM placed
+"""

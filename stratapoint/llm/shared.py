@@ -14,11 +14,11 @@ ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none is a local one set."""
+    """The folder all executors share. Only where the session names none is one set, below the warehouse, which they share as well."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
         at = sc.getCheckpointDir()
     return at.rstrip("/")
 
