@@ -72,6 +72,7 @@ def test_batches_come_in_order_and_an_error_ends_the_stream(spark, tmp_path):
     def fail(tiles, batch):
         if batch == 1:
             raise RuntimeError("the store is full")
+        tiles.collect()
         seen.append(batch)
 
     seen.clear()
