@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import stored
+from .shared import forget, stored
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -34,7 +34,10 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     edges = stored(edges, "edges")
     sign = _sign(edges)
     for _ in range(rounds):
-        edges = stored(_star(stored(_star(edges, True), "large-star"), False), "small-star")
+        larger = stored(_star(edges, True), "large-star")
+        before, edges = edges, stored(_star(larger, False), "small-star")
+        forget(before)
+        forget(larger)
         if (now := _sign(edges)) == sign:
             break
         sign = now

@@ -30,13 +30,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import slices, stored
+from .shared import forget, slices, stored
 
 NEIGHBOURS, REVERSE = 20, 12
 #: Rounds end once a round changes no more than this share of the list entries.
 CHANGED = 0.01
 #: Hyperplane trees, and nodes of a group, about.
-TREES, GROUP = 6, 256
+TREES, GROUP = 8, 512
 #: Vectors on which the hyperplanes' positions are chosen, about, and entry nodes of a band.
 SAMPLE_ROWS, ENTRIES = 16_384, 256
 #: Nodes a search keeps, and nodes it looks at in a step.
@@ -249,7 +249,8 @@ def search(state: DataFrame, links: DataFrame, buckets: int, width: int, beam: i
     while not state.where("open = 1").isEmpty():  # a node is looked at once, so a search ends
         asked = state.where("open = 1").mapInArrow(ask, "at long, query string, v binary").withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)))
         found = asked.groupBy("bucket").cogroup(links.groupBy("bucket")).applyInPandas(score, FOUND)
-        state = stored(state.groupBy(group).cogroup(found.groupBy(group)).applyInPandas(merge, state.schema), "search")
+        before, state = state, stored(state.groupBy(group).cogroup(found.groupBy(group)).applyInPandas(merge, state.schema), "search")
+        forget(before)
     return state.select("query", "ids", "scores")
 
 
@@ -302,7 +303,8 @@ def nearest(
     buckets = max(1, -(-total // BUCKET))
     graph = stored(first_neighbours(nodes, totals, wide, k, trees, group, sample_rows, buckets), "graph")
     for draw in itertools.count() if total > 1 else ():
-        graph = stored(descend(graph, nodes.select("node", "v"), wide, k, reverse, buckets, draw), "graph")
+        before, graph = graph, stored(descend(graph, nodes.select("node", "v"), wide, k, reverse, buckets, draw), "graph")
+        forget(before)
         if share_changed(graph) <= changed:
             break
     pairs = gathered(graph, reverse).select("center", "member").distinct().join(nodes.select(F.col("node").alias("member"), "v"), "member")

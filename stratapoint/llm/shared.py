@@ -34,6 +34,15 @@ def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.startswith(shared_dir(spark)):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or with underscores before it until df has no such column, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import slices, stored
+from .shared import forget, slices, stored
 
 SHINGLE = 3
 RADIUS = 3
@@ -184,7 +184,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, sample_rows: int = SAM
         large = sizes.where((F.col("n_home") > TOO_MANY * shard_rows) & ~F.col("shard").endswith("!"))
         if large.isEmpty():
             break
-        routed = stored(split(routed, large, radius, shard_rows, own_sample, portion), "routed-fingerprints")
+        before, routed = routed, stored(split(routed, large, radius, shard_rows, own_sample, portion), "routed-fingerprints")
+        forget(before)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fp")
