@@ -129,6 +129,31 @@ def q_haversine(spark, sf_dir):
     return cloud.camera_events(spark, sf_dir).select("camera_id", F.round(pr.haversine(F.col("lng"), F.col("lat"), *home), 3).alias("metres"))
 
 
+PLACES = {
+    "x": "case c_custkey % 4 when 0 then -15.45 + (c_custkey % 50) * 0.001 when 1 then -1720000.0 + c_custkey % 900 else 456000.0 + c_custkey % 900 end",
+    "y": "case c_custkey % 4 when 0 then 28.1 + (c_custkey % 70) * 0.001 when 1 then 3260000.0 + c_custkey % 700 when 2 then 3110000.0 + c_custkey % 700 else 6890000.0 + c_custkey % 700 end",
+}
+KIND = "case c_custkey % 4 when 0 then 'geographic' when 1 then 'web-mercator' else 'utm' end"
+MERCATOR_X, MERCATOR_Y = "radians(lng) * 6378137", "6378137 * ln(tan(pi() / 4 + radians(lat) / 2))"
+
+
+@query(o.with_(f"places AS (SELECT c_custkey, {KIND} AS kind, c_custkey % 4 AS k, ({PLACES['x']})::DOUBLE AS x, ({PLACES['y']})::DOUBLE AS y FROM customer)",
+  "shifted AS (SELECT c_custkey, kind, k, x AS gx, y AS gy, x, CASE WHEN k = 3 THEN y - 10000000 ELSE y END AS y FROM places)", o.inverse("shifted", "u"),
+  "w AS (SELECT c_custkey, kind, k, gx, gy, CASE k WHEN 0 THEN gx WHEN 1 THEN degrees(gx / 6378137) ELSE lng END AS lng, CASE k WHEN 0 THEN gy WHEN 1 THEN degrees(2 * atan(exp(gy / 6378137)) - pi() / 2) ELSE lat END AS lat FROM u)",
+  o.forward("w", "fw"),
+  final=f"""SELECT c_custkey, round(lng, 6) AS lng, round(lat, 6) AS lat, round(CASE k WHEN 0 THEN {MERCATOR_X} ELSE gx END, 2) AS mx, round(CASE k WHEN 0 THEN {MERCATOR_Y} ELSE gy END, 2) AS my,
+  round(CASE WHEN k >= 2 THEN ux ELSE {MERCATOR_X} END, 2) AS back_x, round(CASE WHEN k = 3 THEN uy + 10000000 WHEN k = 2 THEN uy ELSE {MERCATOR_Y} END, 2) AS back_y FROM fw"""))
+def q_project_kinds(spark, sf_dir):
+    """Degrees, Mercator metres, and UTM of both hemispheres: to degrees, to the tiles' plane, and from degrees back to it."""
+    kind, zone, north = F.expr(KIND), F.when(F.expr("c_custkey % 4 >= 2"), 28), F.expr("c_custkey % 4 <> 3")
+    rows = cloud.table(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"), zone.alias("zone"), north.alias("north"), *(F.expr(PLACES[a]).cast("double").alias(a) for a in "xy"))
+    c = F.col
+    rows = rows.withColumns({"at": pr.to_lnglat(c("x"), c("y"), c("kind"), c("zone"), c("north")), "m": pr.metric_of_file(c("x"), c("y"), c("kind"))})
+    rows = rows.withColumn("back", pr.to_metric(c("at.lng"), c("at.lat"), c("kind"), c("zone"), c("north")))
+    two = {"mx": "m.x", "my": "m.y", "back_x": "back.x", "back_y": "back.y"}
+    return rows.select("c_custkey", r6(c("at.lng")).alias("lng"), r6(c("at.lat")).alias("lat"), *(F.round(v, 2).alias(k) for k, v in two.items()))
+
+
 # Coordinate reference systems
 
 CODES_SQL = "codes AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 4326 WHEN p_partkey % 4 = 1 THEN 3857 WHEN p_partkey % 4 = 2 THEN 32601 + p_partkey % 160 ELSE 25801 + p_partkey % 70 END::INT AS code FROM part)"
@@ -318,6 +343,7 @@ def q_m3no_root_sample(spark, sf_dir):
 
 @query(o.with_(o.POINTS, o.grid_levels(GRID_DEPTH, GRID_CELLS), final="SELECT tile_id, depth, point_index FROM kept"))
 def q_m3no_sample(spark, sf_dir):
+    """Few cells, so that points are displaced through all levels; the octree's own depth and cells are in q_m3no_full_sample."""
     levels = sampling.grid_levels(cloud.points(spark, sf_dir), cloud.SOLID, GRID_DEPTH, GRID_CELLS)
     return sampling.grid_samples(levels).select("tile_id", "depth", "point_index")
 
@@ -348,6 +374,15 @@ def q_camera_altitude(spark, sf_dir):
     return cloud.camera_events(spark, sf_dir).select("camera_id", r6(cam.metres_per_pixel(c("lat"), c("zoom"))).alias("mpp"), F.round(alt, 4).alias("altitude"))
 
 
+@query(o.with_(o.EVENT_CAMERAS, "optics AS (SELECT *, 600 + camera_id % 500 AS high, 20.0::DOUBLE + camera_id % 60 AS fov FROM cams)",
+  f"a AS (SELECT camera_id, {o.ALTITUDE.replace(' * 900 /', ' * high /').replace(o.FOV, 'radians(fov)')} AS alt FROM optics)", final="SELECT camera_id, round(alt, 4) AS altitude FROM a"))
+def q_camera_optics(spark, sf_dir):
+    """Views of many heights and angles."""
+    c = F.col
+    rows = cloud.camera_events(spark, sf_dir).withColumns({"high": F.expr("600 + camera_id % 500"), "fov": F.expr("20.0D + camera_id % 60")})
+    return rows.select("camera_id", F.round(cam.altitude(c("lat"), c("zoom"), c("pitch"), c("high"), c("fov")), 4).alias("altitude"))
+
+
 @query(o.with_(o.EVENT_CAMERAS, o.cameras_at(), final="SELECT camera_id, round(px, 3) AS x, round(py, 3) AS y, round(alt, 3) AS z FROM eye"))
 def q_camera_position(spark, sf_dir):
     c = F.col
@@ -535,14 +570,15 @@ def _g(x: str) -> str:
     return f"regexp_replace(reverse(regexp_replace(reverse(({x})::VARCHAR), '([0-9]{{3}})', '\\1,', 'g')), '^,', '')"
 
 
-@query(o.with_(o.POINTS, o.tiles(False), o.COUNTED.format("tiles"), STATS, final=f"""SELECT unnest(['Files', 'Nodes', 'LAS points', 'Max / node', 'Avg / node', 'Max sampled / node', 'Max full / leaf', 'CRS', 'Total', 'Read', 'Angular threshold', 'Hysteresis']) AS label,
+@query(o.with_(o.POINTS, o.tiles(False), o.COUNTED.format("tiles"), STATS, final=f"""SELECT unnest(['Files', 'Nodes', 'LAS points', 'Max / node', 'Avg / node', 'Max sampled / node', 'Max full / leaf', 'CRS', 'Total', 'Read', 'Angular threshold', 'Hysteresis',
+    'Type', 'Active nodes', 'Min node diagonal', 'Max tree depth', 'Valid projected', 'Rendered now', 'Visible source', 'Kinds', 'EPSG', 'Index', 'Store', 'Rate']) AS label,
   unnest([files::VARCHAR, {_g('tile_count')}, {_g('n')}, {_g('max_points')}, {_g('floor(avg_points * 10 + 0.5)::BIGINT // 10')} || '.' || (floor(avg_points * 10 + 0.5)::BIGINT % 10)::VARCHAR, {_g('max_sampled')}, {_g('max_full')},
-    '{cloud.LABEL}', {o.dec('files * 3420.0 / 1000', 2)} || ' s', (files * 120)::VARCHAR || ' ms', '15.00 deg', '10%']) AS value FROM totals, ps""", recursive=True))
+    '{cloud.LABEL}', {o.dec('files * 3420.0 / 1000', 2)} || ' s', (files * 120)::VARCHAR || ' ms', '15.00 deg', '10%',
+    'QuadTree', '12', '100 m', '8', {_g('n')}, '3,456', '7,890', 'utm', 'EPSG:32628', {o.dec('files * 2500.0 / 1000', 2)} || ' s', {o.dec('files * 800.0 / 1000', 2)} || ' s',
+    {_g('floor(n / (files * 2.5::DOUBLE) * 100 + 0.5)::BIGINT // 100')} || '.' || lpad((floor(n / (files * 2.5::DOUBLE) * 100 + 0.5)::BIGINT % 100)::VARCHAR, 2, '0') || ' pts/s']) AS value FROM totals, ps""", recursive=True))
 def q_stats_report(spark, sf_dir):
     figures = stats.cloud_stats(quad(spark, sf_dir), _files(spark, sf_dir))
-    rows = stats.report(figures, F.lit("QuadTree"), F.lit(0), F.lit(0), F.lit(0), cloud.CONFIG, cloud.LOD)
-    shown = ["Files", "Nodes", "LAS points", "Max / node", "Avg / node", "Max sampled / node", "Max full / leaf", "CRS", "Total", "Read", "Angular threshold", "Hysteresis"]
-    return rows.where(F.col("label").isin(shown)).select("label", "value")
+    return stats.report(figures, F.lit("QuadTree"), F.lit(12), F.lit(3456), F.lit(7890), cloud.CONFIG, cloud.LOD).select("label", "value")
 
 
 @query(o.with_(o.POINTS, o.tiles(False), o.corners(), f"b AS (SELECT min(lng) AS a, max(lng) AS z, min(lat) AS s, max(lat) AS n FROM ring)",
@@ -572,14 +608,15 @@ def q_tile_labels(spark, sf_dir):
     return _seen(spark, sf_dir).select("camera_id", "id", _label().alias("label"))
 
 
-@query(o.with_(o.POINTS, o.tiles(False), o.corners(), o.COUNTED.format("tiles"), """r AS (SELECT id, array_agg([round(lng, 5), round(lat, 5)] ORDER BY k) AS ring FROM ring GROUP BY 1)""",
-  final="SELECT id, greatest(sampled, full_n) AS points, 5 AS n_ring, round(ring[1][1], 5) AS lng, round(ring[1][2], 5) AS lat FROM counted JOIN r USING (id)", recursive=True))
+@query(o.with_(o.POINTS, o.tiles(False), o.corners(), o.COUNTED.format("tiles"), "closed AS (SELECT id, k, lng, lat FROM ring UNION ALL SELECT id, 4, lng, lat FROM ring WHERE k = 0)",
+  final=f"SELECT id, greatest(sampled, full_n) AS points, {TYPE} AS label, k::INT AS corner, round(lng, 5) AS lng, round(lat, 5) AS lat FROM counted JOIN closed USING (id)", recursive=True))
 def q_tile_geojson(spark, sf_dir):
-    """The GeoJSON of each tile, read back: points, corners of the closed ring, and its first corner."""
+    """The GeoJSON of each tile, read back: points, label and the corners of its closed ring."""
     kind = "type string, properties struct<id: string, pointCount: bigint, detailLabel: string>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
-    made = geometry.outlines(quad(spark, sf_dir), F.lit("")).select(F.from_json("feature", kind).alias("f"))
-    ring = F.col("f.geometry.coordinates")[0]
-    return made.select(F.col("f.properties.id").alias("id"), F.col("f.properties.pointCount").alias("points"), F.size(ring).alias("n_ring"), F.round(ring[4][0], 5).alias("lng"), F.round(ring[4][1], 5).alias("lat"))
+    label = labels.tile_type(F.col("parent_id"), F.size("child_ids"))
+    made = geometry.outlines(quad(spark, sf_dir), label).select(F.from_json("feature", kind).alias("f")).where("f.type = 'Feature' AND f.geometry.type = 'Polygon'")
+    made = made.select("f.properties.*", F.posexplode(F.col("f.geometry.coordinates")[0]).alias("corner", "c"))
+    return made.select("id", F.col("pointCount").alias("points"), F.col("detailLabel").alias("label"), "corner", F.round(F.col("c")[0], 5).alias("lng"), F.round(F.col("c")[1], 5).alias("lat"))
 
 
 CLASS_ROWS = ", ".join(f"({k}, '{n}', {c[0]}, {c[1]}, {c[2]})" for k, n, c in labels.CLASSES)
