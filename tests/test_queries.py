@@ -1,6 +1,5 @@
-"""Every query against its SQL on the smallest tables; FULL_TESTS=1 adds the slow ones."""
+"""Every query against its SQL on the smallest tables."""
 
-import os
 import sys
 from pathlib import Path
 
@@ -12,16 +11,7 @@ from compare import same_rows  # noqa: E402
 
 from stratapoint.plans.registry import ORACLES, QUERIES, flagship  # noqa: E402
 
-#: One query for each kind of operator; the rest take minutes.
-QUICK = {
-    "q_point_decode", "q_project_points", "q_lnglat_to_utm", "q_web_mercator", "q_haversine", "q_crs_from_epsg", "q_epsg_parse", "q_crs_infer",
-    "q_root_bounds", "q_max_depth", "q_octree_assign", "q_octree_pyramid", "q_tile_bounds", "q_tile_corners", "q_pack_points", "q_reservoir_sample",
-    "q_m3no_cells", "q_m3no_sample", "q_camera_position", "q_behind_camera", "q_lod_quadtree", "q_residency_diff",
-}
-CHOSEN = [n for n in ORACLES if n in QUICK or os.environ.get("FULL_TESTS")]
-
-
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf, name):
     same_rows(QUERIES[name](spark, sf), ORACLES[name], sf)
 

@@ -81,6 +81,19 @@ def test_batches_come_in_order_and_an_error_ends_the_stream(spark, tmp_path):
     assert seen == [0]
 
 
+def test_bursts_of_a_stream_end_with_their_last_event(spark, tmp_path):
+    from stratapoint.streaming.progress import debounced
+
+    schema = "user long, ts timestamp, what string"
+    for i, rows in enumerate([[(1, 0, "a"), (1, 50, "b"), (2, 10, "x")], [(1, 100, "c"), (1, 400, "d"), (2, 2000, "y")], [(3, 90_000, "z")]]):
+        one = spark.createDataFrame([(u, ms, w) for u, ms, w in rows], "user long, ms long, what string")
+        one.select("user", F.timestamp_millis(F.col("ms") + 1_700_000_000_000).alias("ts"), "what").coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={i}"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")).withWatermark("ts", "1 second")
+    run = debounced(events, "user", "ts", "80 milliseconds", "what").writeStream.outputMode("append").format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "state"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.user, r.what, r.events) for r in spark.table("bursts").collect()) == [(1, "c", 3), (1, "d", 1), (2, "x", 1), (2, "y", 1)]
+
+
 def bought_one_by_one(counts, budget):
     """Each class has a point; then always the cheapest next one."""
     paid = dict.fromkeys(counts, 1)
