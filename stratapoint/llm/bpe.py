@@ -40,13 +40,15 @@ COMMON_WORDS, COMMON_BYTES = 200_000, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Bytes of text whose words a task replays together.
-GROUP_BYTES = 24_000_000
+GROUP_BYTES = 32_000_000
 #: Bytes of other words and their ids that a worker remembers; beyond them it begins anew.
-CACHE_BYTES = 80_000_000
+CACHE_BYTES = 120_000_000
 #: What Python needs to hold a word and its ids beside their bytes, about.
 ENTRY_BYTES = 200
 #: Words are replayed together in portions of about so many bytes.
 REPLAY_BYTES = 4_000_000
+#: Parts that are laid out at once.
+LAID_OUT = 250_000
 #: Bits of a token id; ids that stand for no token.
 SHIFT, BETWEEN, GONE = 20, -1, -2
 
@@ -64,6 +66,35 @@ def latin_pattern(pattern: str) -> str:
     return out
 
 
+class Pieces:
+    """Byte strings side by side, of items of one kind, to be laid out in any order."""
+
+    def __init__(self, parts: list[bytes], kind: str):
+        self.flat = np.frombuffer(b"".join(parts), kind)
+        self.lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // self.flat.itemsize
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def laid_out(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of the parts numbered in `at`, and where each part ends."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, self.flat.dtype)
+        for a in range(0, len(at), LAID_OUT):
+            own = slice(a, a + LAID_OUT)
+            n = lengths[own]
+            first = int(ends[a] - n[0])
+            last = int(ends[own][-1])
+            out[first:last] = self.flat[np.repeat(self.starts[at[own]] - (ends[own] - n - first), n) + np.arange(last - first)]
+        return out, ends
+
+
+def cut(items: np.ndarray, ends: np.ndarray, counts: list[int]) -> list[bytes]:
+    """The bytes of texts whose so many parts end at `ends`."""
+    stops = np.concatenate(([0], ends))[np.cumsum([0, *counts])] * items.itemsize
+    data = items.tobytes()
+    return [data[a:b] for a, b in itertools.pairwise(stops.tolist())]
+
+
 class Numbers(dict):
     """Words and their numbers, given in the order in which words are first asked for."""
 
@@ -135,11 +166,13 @@ class MergeReplay:
         while heap:
             rank = heapq.heappop(heap)
             listed = index.pop(rank)
-            at = np.unique(np.concatenate(listed))
+            at = listed[0] if len(listed) == 1 else np.concatenate(listed)
             at = at[pair[at] == rank]
             if not len(at):
                 continue
             if len(at) > 1:
+                at.sort()  # a place may be listed more than once
+                at = at[np.concatenate(([True], at[1:] != at[:-1]))]
                 # Of pairs that overlap, every other one from the left.
                 chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
                 order = np.arange(len(at))
@@ -177,6 +210,7 @@ class MergeReplay:
         """Begins anew with words whose ids are known."""
         self.common, self.held = common, 0
         self.numbers, self.ids = Numbers(common), list(common.values())
+        self.pieces = Pieces(self.ids, "<u4")
 
     def numbered(self, text: str | None) -> array:
         """The numbers of the text's words; words not met before wait to be learned."""
@@ -193,16 +227,20 @@ class MergeReplay:
                 ids[i] = found
             self.ids += ids
             self.held += sum(map(len, raw)) + sum(map(len, ids)) + ENTRY_BYTES * len(raw)
+        if new:
+            self.pieces = Pieces(self.ids, "<u4")
         new.clear()
 
-    def joined(self, numbers: array) -> bytes:
-        return b"".join(map(self.ids.__getitem__, numbers))
+    def joined(self, numbers: list[array]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The ids of texts in one array, where each word's end, and the words of each text."""
+        at = np.frombuffer(b"".join(n.tobytes() for n in numbers), np.intc)
+        return *self.pieces.laid_out(at), [len(n) for n in numbers]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned numbers of 32 bits."""
         numbers = [self.numbered(t) for t in texts]
         self.learn()
-        return [self.joined(n) for n in numbers]
+        return cut(*self.joined(numbers))
 
 
 def _cuts(words: list[str]) -> Iterator[tuple[int, int]]:
@@ -243,8 +281,13 @@ def replay_of(path: str, pattern: str) -> MergeReplay:
 
 
 @functools.lru_cache(2)
-def tokens_of(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in ranks_in(path).items()}
+def tokens_of(path: str) -> Pieces:
+    """The bytes of each id."""
+    ranks = ranks_in(path)
+    parts = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        parts[rank] = token
+    return Pieces(parts, "u1")
 
 
 def common_words(docs: DataFrame, path: str, pattern: str, text: str = "text", most: int = COMMON_WORDS) -> DataFrame:
@@ -312,29 +355,26 @@ def encode(
             numbers = [[model.numbered(t) for t in batch.column(text).to_pylist()] for batch in group]
             model.learn()
             for batch, own in zip(group, numbers):
-                ids = [model.joined(n) for n in own]
-                new = [pa.array(ids if width == 4 else [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids], pa.binary())]
+                ids, ends, words = model.joined(own)
+                new = [pa.array(cut(ids.astype(f"<u{width}"), ends, words), pa.binary())]
                 if decoded:
-                    token = tokens_of(path).__getitem__
-                    new.append(pa.array([_decoded(x, token) for x in ids], pa.binary()))
+                    counts = np.diff(np.concatenate(([0], ends))[np.cumsum([0, *words])]).tolist()
+                    new.append(pa.array(cut(*tokens_of(path).laid_out(ids), counts), pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
 
 
-def _decoded(ids: bytes | None, token) -> bytes:
-    return b"".join(map(token, np.frombuffer(ids or b"", "<u4").tolist()))
-
-
 def decode(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded", rows: int = 1024) -> DataFrame:
     """docs with the bytes that the ids stand for, in column `out`; null ids decode to no bytes."""
 
     docs = docs.drop(out)
 
     def run(batches):
-        token = tokens_of(path).__getitem__
-        for batch in slices(batches, rows):
-            data = [_decoded(x, token) for x in batch.column(ids).to_pylist()]
+        token = tokens_of(path)
+        for batch in portions(batches, ids, rows, 4_000_000):
+            raw = [x or b"" for x in batch.column(ids).to_pylist()]
+            data = cut(*token.laid_out(np.frombuffer(b"".join(raw), "<u4")), [len(x) // 4 for x in raw])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -42,7 +42,7 @@ ROUNDS = 6
 #: Partitions that write shards, at most.
 WRITERS = 10_000
 #: The compression level of stored ids and of pieces on their way.
-LEVEL = 9
+LEVEL = 4
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
