@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -58,7 +59,8 @@ LOOSE = {
 #: The same matches as BASE["ip"]: a match begins and ends where a run of digits does, so no shorter run need be tried.
 FAST_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 MARK = re.compile(r"[@0-9]|[(\[{]at[)\]}]").search
-LETTER = re.compile("[0-9A-Za-z._%+-]*$")
+#: The characters of an address before its @.
+LETTERS = string.digits + string.ascii_letters + "._%+-"
 ASSIGNED = re.compile(r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|auth|credential)\w*\W{0,2}\s?[:=]\s?\W?$").search
 
 TRAIN_DOCS = 20_000
@@ -97,9 +99,10 @@ def base_emails(text: str) -> list[Span]:
     """What the email pattern finds from left to right, sought from each @ backwards: no run without an @ is tried at every place."""
     out, end, at = [], 0, text.find("@")
     while at >= 0:
-        start = at - len(LETTER.search(text[max(end, at - 4096) : at])[0])
-        if start == at - 4096 > end:  # a longer run than looked at
-            start = end + len(text[end:at]) - len(LETTER.search(text[end:at])[0])
+        near = max(end, at - 4096)
+        start = near + len(text[near:at].rstrip(LETTERS))
+        if start == near > end:  # a longer run than looked at
+            start = end + len(text[end:at].rstrip(LETTERS))
         found = BASE["email"].match(text, start) if start < at else None
         if found:
             out.append(found.span())
