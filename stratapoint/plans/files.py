@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratapoint.operators import load, sampling, selection, stats
 from stratapoint.plans import cloud, oracles as o
-from stratapoint.plans.queries import SEEN, _picked, grid_levels, octo, quad, query
+from stratapoint.plans.queries import SEEN, _g, _picked, grid_levels, octo, quad, query
 from stratapoint.sources.las import class_histogram, headers, read_las, store_of
 from stratapoint.sources.scratch import shared_path, stored
 from stratapoint.sources.tiles import TileStore
@@ -215,7 +215,7 @@ def q_progressive_stream(spark, sf_dir):
     return store.all_tiles().select("id", "full_count", F.round("min_z", 2).alias("min_z"), F.round("max_z", 2).alias("max_z"))
 
 
-@query(o.with_(*SEEN, o.selected(False), o.described("picked"), final="""SELECT 'QuadTree - 2 files - ' || count(*) || ' active' AS status, camera_id FROM drawn WHERE active GROUP BY camera_id""", recursive=True))
+@query(o.with_(*SEEN, o.selected(False), o.described("picked"), final=f"""SELECT 'QuadTree - 2 files - ' || {_g('count(*)')} || ' active' AS status, camera_id FROM drawn WHERE active GROUP BY camera_id""", recursive=True))
 def q_selection_status(spark, sf_dir):
     """The selection from cameras to the line that tells of it."""
     totals = selection.active_totals(selection.descriptors(_picked(spark, sf_dir).where("active")), ["camera_id"])

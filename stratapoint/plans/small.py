@@ -8,7 +8,7 @@ from stratapoint.config import clamped
 from stratapoint.functions import labels
 from stratapoint.operators import geometry, payload, selection, stats, tiling
 from stratapoint.plans import cloud, oracles as o
-from stratapoint.plans.queries import DRAWN, _described, _files, _resident, octo, quad, query, r6
+from stratapoint.plans.queries import DRAWN, _described, _files, _g, _resident, octo, quad, query, r6
 from stratapoint.streaming.progress import not_stale, progress_events
 
 # Payloads
@@ -117,10 +117,6 @@ def q_mode_label(spark, sf_dir):
     return rows.select("p_partkey", labels.indexing_mode(F.col("mode")).alias("label"))
 
 
-def _g(x: str) -> str:
-    return f"regexp_replace(reverse(regexp_replace(reverse(({x})::VARCHAR), '([0-9]{{3}})', '\\1,', 'g')), '^,', '')"
-
-
 @query(o.with_(o.POINTS, o.tiles(False), o.COUNTED.format("tiles"), final=f"""SELECT 'QuadTree - ' || count(DISTINCT file_index) || ' files - ' || {_g('count(*) FILTER (WHERE depth = 2)')} || ' active / ' || {_g('count(*)')} || ' tiles - ' ||
   {_g('sum(sampled) FILTER (WHERE depth = 2)')} || ' sampled points rendered from ' || {_g('sum(n) FILTER (WHERE depth = 0)')} || ' source points - {cloud.LABEL}' AS status FROM counted""", recursive=True))
 def q_status_line(spark, sf_dir):
