@@ -7,7 +7,7 @@ index from the rank of a token pair to the positions where the pair stands. The
 replayed in rank order over the whole index: each touches only the positions listed for it, and only
 the two neighbours of a merged pair enter the index anew. A second pass puts documents together from the words'
 ids. Joining every occurrence of a word with its ids would shuffle several times the corpus, so the common words are
-sent to all tasks (no more than about 30 MB), and the rare rest of a task's words, each of which is in few texts, is replayed in the same
+sent to all tasks (no more than about 15 MB), and the rare rest of a task's words, each of which is in few texts, is replayed in the same
 way beside the texts that hold it.
 
 All places of a pair in a word are merged at once, up to one whose merge makes a pair of lower rank, which goes first; a run of
@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .shared import portions, slices, stored
 
 #: The most words merged once for the whole corpus, and UTF-8 bytes of the longest of them.
-COMMON_WORDS, COMMON_BYTES = 200_000, 64
+COMMON_WORDS, COMMON_BYTES = 100_000, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Bytes of text whose words a task replays together.
-GROUP_BYTES = 32_000_000
+GROUP_BYTES = 16_000_000
 #: Bytes of other words and their ids that a worker remembers; beyond them it begins anew.
-CACHE_BYTES = 120_000_000
+CACHE_BYTES = 60_000_000
 #: What Python needs to hold a word and its ids beside their bytes, about.
 ENTRY_BYTES = 200
 #: Words are replayed together in portions of about so many bytes.
@@ -259,7 +259,7 @@ def groups(batches: Iterator[pa.RecordBatch], text: str, rows: int) -> Iterator[
     """Slices of batches, in lists of about GROUP_BYTES of text."""
     group: list[pa.RecordBatch] = []
     held = 0
-    for batch in portions(batches, text, rows, 4_000_000):
+    for batch in portions(batches, text, rows, 2_000_000):
         group.append(batch)
         held += batch.column(text).nbytes
         if held >= GROUP_BYTES:
