@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
 from .bpe import op4_byte_bpe
+from .clusters import OP12_SQL, op12_clusters
 from .decontaminate import op6_decontamination
 from .language import op3_language_id
 from .lines import OP5_SQL, op5_line_dedup
 from .neighbours import op8_neighbours
+from .phrases import OP11_SQL, op11_phrases
 from .pii import op10_pii
 from .quality import op1_quality
 from .sharding import OP7_SQL, op7_sharding
@@ -16,6 +18,7 @@ QUERIES = {
     for f in (
         op1_quality, op2_simhash, op3_language_id, op4_byte_bpe, op5_line_dedup,
         op6_decontamination, op7_sharding, op8_neighbours, op9_training_order, op10_pii,
+        op11_phrases, op12_clusters,
     )
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_sharding": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_sharding": OP7_SQL, "op11_phrases": OP11_SQL, "op12_clusters": OP12_SQL}
