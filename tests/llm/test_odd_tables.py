@@ -37,7 +37,7 @@ def tables(spark, request, tmp_path_factory):
 
 
 #: Queries that return a row for each document.
-BY_ROW = ["op1_quality", "op2_simhash", "op3_language_id", "op4_byte_bpe", "op5_line_dedup", "op7_sharding", "op10_pii"]
+BY_ROW = ["op1_quality", "op2_simhash", "op3_language_id", "op4_byte_bpe", "op5_line_dedup", "op7_sharding", "op10_pii", "op13_lm_scoring"]
 
 
 @pytest.mark.parametrize("name", BY_ROW)
@@ -52,6 +52,8 @@ def test_other_queries(spark, tables):
     assert [r.doc_id for r in found] == ([7] if n else [])
     near = registry.QUERIES["op8_neighbours"](spark, folder).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in near) == ([(0, 1, 20), (0, 2, 5), (20, 1, 0), (20, 2, 5)] if n else [])
+    assert not registry.QUERIES["op12_clusters"](spark, folder).collect()  # no vector has 64 components
+    assert [r.lang for r in registry.QUERIES["op11_phrases"](spark, folder).collect()].count("en") == (24 if n else 0)
     places = registry.QUERIES["op9_training_order"](spark, folder).collect()
     assert {r.doc_id for r in places} == ({r[0] for r in ODD["documents"]} if n else set())
 
