@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ COMMON, SLOT_BITS, SEGMENT = 1 << 18, 21, 1 << 16
 SMOOTHING = 0.1
 STRETCH, PORTION = 50_000, 300_000
 #: Decisions after which a text's own weights move, and how far; the same for the shared weights of the gates.
-BLOCK, OWN_RATE, RATE = 256, 0.002, 0.02
+BLOCK, OWN_RATE, RATE = 512, 0.002, 0.02
 #: Steps of the final refinement: from -8 to 8 by quarters.
 STEPS = 64
 PRIOR, SCALE, NEVER = 0.4, 15.0, -128
@@ -48,6 +50,7 @@ END, ESCAPE = 0, 1
 STOP = 256
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 WORD_CONTEXTS, BYTE_CONTEXTS = 5, 5
+NOTHING = np.uint32(0)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -96,16 +99,19 @@ class Code:
 
 
 def slots(place: np.ndarray, context: np.ndarray) -> np.ndarray:
-    h = (place ^ context) * _B
-    return (h ^ (h >> np.uint32(15))) * _C >> np.uint32(32 - SLOT_BITS)
+    h = place ^ context
+    h *= _B
+    h ^= h >> np.uint32(15)
+    h *= _C
+    h >>= np.uint32(32 - SLOT_BITS)
+    return h
 
 
-def word_contexts(hashes: np.ndarray) -> list[np.ndarray]:
-    """Of each word: the contexts before it. hashes: of three words before the first one, then of the words."""
-    a, b, c = hashes[2:-1], hashes[1:-2], hashes[:-3]
+def word_contexts(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray | None]:
+    """Of each word: its contexts, from the hashes of the last word before it, the one before that, and the third."""
     one = (a + np.uint32(1)) * _C
     two = (one ^ b) * _A + np.uint32(2)
-    return [np.zeros(len(a), np.uint32), one, two, (two ^ c) * _B + np.uint32(3), (b + np.uint32(4)) * _A]
+    return [None, one, two, (two ^ c) * _B + np.uint32(3), (b + np.uint32(4)) * _A]
 
 
 def spelling(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -129,18 +135,29 @@ def spelling(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarr
 class Tables:
     """Counts of zeros and ones in every slot of every context."""
 
-    def __init__(self, contexts: int):
+    def __init__(self, code: Code, contexts: int):
+        self.code = code
         self.counts = [np.zeros(2 << SLOT_BITS, np.uint32) for _ in range(contexts)]
+        self.symbols = np.zeros(len(code.start), np.int64)
 
-    def add(self, code: Code, symbols: np.ndarray, contexts: list[np.ndarray], weights: np.ndarray | None = None) -> None:
-        at, n = code.decisions(symbols)
-        place, bit = code.place[at], code.bit[at]
+    def add(self, symbols: np.ndarray, contexts: list[np.ndarray], weights: np.ndarray | None = None) -> None:
+        """contexts[0] is None where nothing before a symbol counts: then its decisions follow from how often it occurs."""
+        at, n = self.code.decisions(symbols)
+        place, bit = self.code.place[at], self.code.bit[at]
         by = np.uint32(1) if weights is None else np.repeat(weights, n).astype(np.uint32)
         for counts, context in zip(self.counts, contexts):
-            np.add.at(counts, (slots(place, np.repeat(context, n)) << np.uint32(1)) | bit, by)
+            if context is None:
+                np.add.at(self.symbols, symbols, 1 if weights is None else weights)
+                continue
+            at = slots(place, np.repeat(context, n))
+            at <<= np.uint32(1)
+            at |= bit
+            np.add.at(counts, at, by)
 
     def parts(self) -> Iterator[pa.RecordBatch]:
         """Context, segment and packed counts of every segment that has any."""
+        code = self.code
+        np.add.at(self.counts[0], slots(code.place, NOTHING) << np.uint32(1) | code.bit, np.repeat(self.symbols, code.length).astype(np.uint32))
         for k, counts in enumerate(self.counts):
             for s in range(0, len(counts), SEGMENT):
                 if (part := counts[s : s + SEGMENT]).any():
@@ -188,17 +205,22 @@ class Mixer:
         middle = 1 / (1 + np.exp(-((np.arange(STEPS) + 0.5) / 4 - 8)))
         return cls(code, tables, np.full((gates, contexts), 0.4, np.float32), np.tile(middle, (gates, 1)).astype(np.float32))
 
+    @cached_property
+    def alone(self) -> np.ndarray:
+        """What the first table says of every decision where nothing before it counts."""
+        return self.tables[0][slots(self.code.place, NOTHING)]
+
     def inputs(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each decision: the stretched predictions, the gate and the outcome; and decisions of each symbol."""
         at, n = self.code.decisions(symbols)
-        place, gate = self.code.place[at], self.code.depth[at].astype(np.int32)
+        place, gate = self.code.place[at], self.code.depth[at]
         x = np.empty((len(self.tables), len(at)), np.float32)
         for k, (table, context) in enumerate(zip(self.tables, contexts)):
-            got = table[slots(place, np.repeat(context, n))]
+            got = self.alone[at] if context is None else table[slots(place, np.repeat(context, n))]
             seen = got != NEVER
             np.multiply(got, seen, out=x[k], casting="unsafe")
             if k:
-                gate += seen.astype(np.int32) << (k + 2)
+                gate += seen.view(np.uint8) << np.uint8(k + 2)
         x *= np.float32(1 / SCALE)
         return x, gate, self.code.bit[at], n
 
@@ -211,8 +233,11 @@ class Mixer:
     def log10(self, z: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Of the outcome of each decision."""
         step = np.clip((z + 8) * 4, 0, STEPS - 1).astype(np.int32)
-        p = (1 / (1 + np.exp(-z)) + self.refined.reshape(-1)[gate * STEPS + step]) / 2
-        p = np.clip(p, 1e-4, 1 - 1e-4)
+        step += gate.astype(np.int32) * STEPS
+        p = self.refined.reshape(-1)[step]
+        p += 1 / (1 + np.exp(-z))
+        p *= np.float32(0.5)
+        np.clip(p, 1e-4, 1 - 1e-4, out=p)
         return np.log10(np.where(bit, p, 1 - p))
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, seen: np.ndarray) -> None:
@@ -226,27 +251,35 @@ class Mixer:
             for k in range(len(x)):
                 self.weights[:, k] += RATE * np.bincount(g, error * own[k], gates) / often
             step = np.clip((z + 8) * 4, 0, STEPS - 1).astype(np.int32)
-            seen += np.bincount((g * STEPS + step) * 2 + b, minlength=2 * gates * STEPS)
+            seen += np.bincount((g.astype(np.int32) * STEPS + step) * 2 + b, minlength=2 * gates * STEPS)
 
 
-def adapted(x: np.ndarray, z: np.ndarray, bit: np.ndarray, begin: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
+def adapted(x: np.ndarray, z: np.ndarray, bit: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Sums with each text's own weights added, which move after every block by the errors in it.
 
-    Texts are rows that begin at `begin` with `size` decisions each; own (texts, contexts) holds their weights and is left as they end.
+    Texts follow each other with `size` decisions each; own (texts, contexts) holds their weights and is left as they end. For blocks to be copied whole, each
+    text is laid out from the beginning of a block on, nothing (inputs of zero) behind its end.
     """
-    out, order = z.copy(), np.argsort(-size, kind="stable")
     blocks = -(-size // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    at = np.arange(len(z)) + np.repeat(first * BLOCK - (np.cumsum(size) - size), size)
+    total = int(blocks.sum()) * BLOCK
+    laid = np.zeros((len(x) + 2, total), np.float32)
+    for row, values in zip(laid, (*x, z, bit)):
+        row[at] = values
+    laid = laid.reshape(len(laid), -1, BLOCK)
+    order = np.argsort(-blocks, kind="stable")
+    falling = -blocks[order]
     for step in range(int(blocks.max(initial=0))):
-        texts = order[: np.searchsorted(-blocks[order], -step, "left")]
-        at = begin[texts, None] + step * BLOCK + np.arange(BLOCK)
-        inside = at < (begin + size)[texts, None]
-        at = np.where(inside, at, 0)
-        part = x[:, at] * inside
-        now = z[at] + np.einsum("ktb,tk->tb", part, own[texts])
-        out[at[inside]] = now[inside]
-        error = (bit[at] - 1 / (1 + np.exp(-now))) * inside
-        own[texts] += OWN_RATE * np.einsum("ktb,tb->tk", part, error)
-    return out
+        texts = order[: np.searchsorted(falling, -step, "left")]
+        here = first[texts] + step
+        part = laid[:, here]
+        inputs, now = part[:-2], part[-2]
+        now += np.einsum("ktb,tk->tb", inputs, own[texts])
+        laid[-2, here] = now
+        error = part[-1] - 1 / (1 + np.exp(-now))
+        own[texts] += OWN_RATE * np.einsum("ktb,tb->tk", inputs, error)
+    return laid[-2].reshape(-1)[at]
 
 
 @dataclass
@@ -283,26 +316,27 @@ class Reader:
 
     def __init__(self, numbers: dict[bytes, int]):
         self.numbers, self.last = numbers, np.zeros(3, np.uint32)
-
-    def read(self, group: list[tuple[int, list[bytes], bool, bool]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[bytes]]:
-        """Symbols and contexts of all words and ends, how many each text has, and the distinct words (number i is word i)."""
-        local: dict[bytes, int] = {}
-        ids, sizes, context = [], [], []
-        for _, words, begins, ends in group:
-            own = np.fromiter((local.setdefault(w, len(local)) for w in words), np.int64, len(words))
-            ids.append(own + 1)
-            if ends:
-                ids.append(np.zeros(1, np.int64))
+        self.hashes = np.array([0, 0, *map(xxhash.xxh32_intdigest, numbers)], np.uint32)  # numbers count from ESCAPE + 1 on
+
+    def read(self, group: list[tuple[int, list[bytes], bool, bool]]) -> tuple[np.ndarray, list[np.ndarray | None], np.ndarray, list[list[bytes]]]:
+        """Symbols and contexts of all words and ends, how many each text has, and its words outside the tree."""
+        symbols, hashes, sizes, rare = [], [], [], []
+        for _, words, _, ends in group:
+            own = np.fromiter(map(self.numbers.get, words, repeat(ESCAPE)), np.int64, len(words))
+            hashed, at = self.hashes[own], np.flatnonzero(own == ESCAPE).tolist()
+            rare.append([words[i] for i in at])
+            hashed[at] = list(map(xxhash.xxh32_intdigest, rare[-1]))
+            symbols += [own, np.zeros(int(ends), np.int64)]
+            hashes += [hashed, np.zeros(int(ends), np.uint32)]
             sizes.append(len(words) + ends)
-        symbol = np.array([END, *(self.numbers.get(w, ESCAPE) for w in local)], np.int64)
-        hashed = np.array([0, *(xxhash.xxh32_intdigest(w) for w in local)], np.uint32)
-        flat = np.concatenate(ids)
-        at = 0
-        for (_, _, begins, _), n in zip(group, sizes):
-            before = np.concatenate((np.zeros(3, np.uint32) if begins else self.last, hashed[flat[at : at + n]]))
-            context.append(word_contexts(before))
-            self.last, at = before[-3:], at + n
-        return symbol[flat], [np.concatenate(c) for c in zip(*context)], np.array(sizes), list(local), flat
+        sizes = np.array(sizes)
+        at = np.arange(sizes.sum()) + 3 * np.repeat(np.arange(1, len(group) + 1), sizes)
+        way = np.zeros(len(at) + 3 * len(group), np.uint32)  # three words before each text
+        way[at] = np.concatenate(hashes)
+        if not group[0][2]:
+            way[:3] = self.last
+        self.last = way[-3:].copy()
+        return np.concatenate(symbols), word_contexts(way[at - 1], way[at - 2], way[at - 3]), sizes, rare
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -377,9 +411,9 @@ def learn_words(docs: DataFrame, numbers: dict[bytes, int], code: Code) -> Mixer
         reader, tables = Reader(numbers), None
         for batch in portions(batches, "text", 1 << 12, PORTION):
             for group in stretches(batch.column("text").to_pylist()):
-                tables = tables or Tables(WORD_CONTEXTS)
+                tables = tables or Tables(code, WORD_CONTEXTS)
                 symbols, contexts, *_ = reader.read(group)
-                tables.add(code, symbols, contexts)
+                tables.add(symbols, contexts)
         yield from tables.parts() if tables else ()
 
     parts = docs.where((F.col("part") != HELD_OUT) & (F.col("part") != LESSONS)).select("text").mapInArrow(count, PARTS)
@@ -422,9 +456,9 @@ def learn_spelling(rare: DataFrame, code: Code) -> Mixer:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
         for own, n in words(batches, False):
-            tables = tables or Tables(BYTE_CONTEXTS)
+            tables = tables or Tables(sent.value, BYTE_CONTEXTS)
             symbols, contexts, sizes = spelling(own)
-            tables.add(sent.value, symbols, contexts, np.repeat(n, sizes))
+            tables.add(symbols, contexts, np.repeat(n, sizes))
         yield from tables.parts() if tables else ()
 
     tables = sc.broadcast(stretched(known.mapInArrow(count, PARTS), BYTE_CONTEXTS))
@@ -477,7 +511,7 @@ def scored_words(docs: DataFrame, language: Language, mixer: Mixer) -> DataFrame
             rare: list[Counter[str]] = [Counter() for _ in texts]
             own = np.zeros((1, WORD_CONTEXTS), np.float32)
             for group in stretches(texts):
-                symbols, contexts, sizes, words, flat = reader.read(group)
+                symbols, contexts, sizes, words = reader.read(group)
                 x, gate, bit, n = mixer.inputs(symbols, contexts)
                 ends = np.cumsum(sizes)
                 decided = np.concatenate(([0], np.cumsum(n)))
@@ -485,7 +519,7 @@ def scored_words(docs: DataFrame, language: Language, mixer: Mixer) -> DataFrame
                 carried = np.zeros((len(group), WORD_CONTEXTS), np.float32)
                 if not group[0][2]:
                     carried[0] = own
-                z = adapted(x, mixer.sums(x, gate), bit, begin, held, carried)
+                z = adapted(x, mixer.sums(x, gate), bit, held, carried)
                 own = carried[-1]
                 logs = np.concatenate(([0.0], np.cumsum(mixer.log10(z, gate, bit), dtype=float)))
                 is_rare = symbols == ESCAPE
@@ -498,7 +532,7 @@ def scored_words(docs: DataFrame, language: Language, mixer: Mixer) -> DataFrame
                     base_score[row] += float(common[b] - common[a])
                     score[row] += float(logs[begin[i] + held[i]] - logs[begin[i]])
                     size[row] += sum(map(len, own_words)) + b - a
-                    rare[row].update(words[j - 1].decode() for j in flat[a:b][is_rare[a:b]].tolist())
+                    rare[row].update(map(bytes.decode, words[i]))
             listed = pa.array([[{"word": w, "times": k} for w, k in c.items()] for c in rare], RARE)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, pa.int64()) for c in (tokens, known)), *(pa.array(c, pa.float64()) for c in (base_score, score)), pa.array(size, pa.int64()), listed],

@@ -125,13 +125,13 @@ def test_own_weights_look_back_only():
     n = 5 * mixing.BLOCK
     x, bit = rng.normal(size=(3, n)).astype(np.float32), rng.integers(0, 2, n).astype(np.uint8)
     z = x.sum(axis=0)
-    whole = mixing.adapted(x, z, bit, np.array([0, 2 * mixing.BLOCK]), np.array([2 * mixing.BLOCK, 3 * mixing.BLOCK]), np.zeros((2, 3), np.float32))
-    alone = mixing.adapted(x[:, 2 * mixing.BLOCK :], z[2 * mixing.BLOCK :], bit[2 * mixing.BLOCK :], np.array([0]), np.array([3 * mixing.BLOCK]), np.zeros((1, 3), np.float32))
+    whole = mixing.adapted(x, z, bit, np.array([2 * mixing.BLOCK, 3 * mixing.BLOCK]), np.zeros((2, 3), np.float32))
+    alone = mixing.adapted(x[:, 2 * mixing.BLOCK :], z[2 * mixing.BLOCK :], bit[2 * mixing.BLOCK :], np.array([3 * mixing.BLOCK]), np.zeros((1, 3), np.float32))
     assert np.allclose(whole[2 * mixing.BLOCK :], alone, atol=1e-5)
     other = bit.copy()
     other[4 * mixing.BLOCK :] ^= 1
-    again = mixing.adapted(x, z, other, np.array([0]), np.array([n]), np.zeros((1, 3), np.float32))
-    once = mixing.adapted(x, z, bit, np.array([0]), np.array([n]), np.zeros((1, 3), np.float32))
+    again = mixing.adapted(x, z, other, np.array([n]), np.zeros((1, 3), np.float32))
+    once = mixing.adapted(x, z, bit, np.array([n]), np.zeros((1, 3), np.float32))
     assert np.array_equal(again[: 4 * mixing.BLOCK], once[: 4 * mixing.BLOCK])
 
 
@@ -141,7 +141,7 @@ def test_stretches_hand_contexts_on():
     parts = [mixing.Reader(numbers).read(g) for g in mixing.stretches([text, None])]
     reader = mixing.Reader(numbers)
     cut = [reader.read(g) for g in mixing.stretches([text, None], 30)]
-    for k in range(mixing.WORD_CONTEXTS):
+    for k in range(1, mixing.WORD_CONTEXTS):
         assert np.array_equal(np.concatenate([p[1][k] for p in parts]), np.concatenate([p[1][k] for p in cut]))
     assert np.array_equal(np.concatenate([p[0] for p in parts]), np.concatenate([p[0] for p in cut]))
     assert sum(p[2].sum() for p in cut) == 102
