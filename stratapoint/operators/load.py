@@ -9,14 +9,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratapoint.config import Bounds, IndexConfig
+from stratapoint.functions.camera import length
 from stratapoint.functions.projection import metric_of_file, to_lnglat, valid_lnglat
-from stratapoint.sources.las import headers, read_las
+from stratapoint.sources.las import headers, points_of
+from stratapoint.sources.progress import reported
 from stratapoint.sources.tiles import TileStore
 
-from .sampling import grid_counts, grid_levels, grid_samples, reservoir
-from .tiling import digit_columns, leaf_points, pyramid, tile_id, tile_records, with_digits
+from .sampling import bottom_samples, grid_counts, grid_levels, grid_samples
+from .tiling import CRS_COLUMNS, Forest, leaf_points, pyramid, tile_records
 
 CRS = tuple[str, int, int | None, bool | None, str]
+#: The order that stands for chance.
+SEED = 7
 POINT = ["tile_id", "file_index", "depth", "point_index", "mx", "my", "z", "classification"]
 
 
@@ -30,40 +34,54 @@ class Index:
     preview: DataFrame | None
 
 
-def seeded(seed: int = 7):
-    """An order that stands for chance."""
-    return F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col("point_index").cast("string")).cast("binary")), "point_index")
-
-
-def tile_samples(points: DataFrame, bounds: Bounds, depth: int, size: int) -> DataFrame:
+def tile_samples(points: DataFrame, bounds: Bounds | Forest, depth: int, size: int, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """A reservoir of each quadtree tile on every level, out of all points below it."""
-    digits = digit_columns(depth)
-    ids = F.array(*(tile_id(bounds, digits[:level]) for level in range(depth + 1)))
-    rows = with_digits(points, bounds, depth).select(F.posexplode(ids).alias("depth", "tile_id"), *(c for c in POINT if c not in ("tile_id", "depth")))
-    return reservoir(rows, ["tile_id"], size, seeded()).select(*POINT)
+    hashed = points.withColumn("_hash", F.md5(F.concat(F.lit(f"{SEED}:"), F.col("point_index").cast("string")).cast("binary")))
+    return bottom_samples(hashed, bounds, depth, size, "_hash", store).select(*POINT)
 
 
-def build_index(points: DataFrame, mode: str, bounds: Bounds, config: IndexConfig, crs: CRS, store: Callable[[DataFrame, str], DataFrame], preview: bool = True) -> Index:
-    """mode "m3no" grows an octree with grid samples, any other a quadtree with reservoirs. points: file_index, point_index, mx, my, z, classification.
+def build_index(
+    points: DataFrame, mode: str, bounds: Bounds | Forest, config: IndexConfig, crs: CRS | None, store: Callable[[DataFrame, str], DataFrame], preview: bool = True
+) -> Index:
+    """mode "m3no" grows octrees with grid samples, any other quadtrees with reservoirs. points: file_index, point_index, mx, my, z, classification.
 
-    `store` materialises what later steps read again.
+    One box and `crs` for all files, or a Forest. `store` materialises what later steps read again.
     """
-    solid = mode == "m3no"
-    depth = config.depth_for(bounds.diagonal)
-    full = leaf_points(points, bounds, depth).withColumn("depth", F.lit(depth)).select(*POINT)
-    if solid:
+    depth = bounds.depth if isinstance(bounds, Forest) else config.depth_for(bounds.diagonal)
+    full = leaf_points(points, bounds, depth)
+    full = full.withColumn("depth", F.size(F.split("tile_id", r"\.")) - 1).select(*POINT)
+    if mode == "m3no":
         levels = grid_levels(points, bounds, depth, config.grid_cells, lambda level, df: store(df, f"level-{level}"))
         samples, counts = grid_samples(levels).select(*POINT), store(grid_counts(levels), "sample-counts")
     else:
-        samples, counts = tile_samples(points, bounds, depth, config.tile_sample_points), None
+        samples, counts = tile_samples(points, bounds, depth, config.tile_sample_points, store), None
     tiles = tile_records(pyramid(points, bounds, depth), bounds, depth, config, crs, counts)
     return Index(tiles, samples, full, samples.where("depth = 0") if preview else None)
 
 
-def root_bounds(header, solid: bool) -> tuple[tuple[float, float], tuple[float, float], float | None, float | None]:
-    """South-west, north-east and heights of a file, from its header, in the file's own coordinates."""
-    heights = (header["min_z"], header["max_z"]) if solid else (None, None)
-    return (header["min_x"], header["min_y"]), (header["max_x"], header["max_y"]), *heights
+def roots_of(headers: DataFrame, solid: bool, config: IndexConfig) -> DataFrame:
+    """The root of each file from its header: box in the plane of its tiles (limits in order, an axis without extent widened by a centimetre each way) and depth."""
+    kind = F.col("crs_kind")
+    ends = {e: metric_of_file(F.col(f"{e}_x"), F.col(f"{e}_y"), kind) for e in ("min", "max")}
+    rows = headers.select("file_index", *CRS_COLUMNS, *(ends[e][a].alias(f"_{e}_{a}") for e in ends for a in "xy"), F.col("min_z").alias("_min_z"), F.col("max_z").alias("_max_z"))
+    sides = []
+    for a in "xyz":
+        low, high = F.least(f"_min_{a}", f"_max_{a}"), F.greatest(f"_min_{a}", f"_max_{a}")
+        wide = F.when(low == high, 0.01).otherwise(0.0)
+        rows = rows.withColumns({f"min_{a}": low - wide, f"max_{a}": high + wide})
+        sides.append(F.col(f"max_{a}") - F.col(f"min_{a}"))
+    if not solid:
+        rows = rows.withColumns({f"{e}_z": F.lit(None).cast("double") for e in ("min", "max")})
+    diagonal, depth = length(*sides[: 3 if solid else 2]), F.lit(config.max_depth)
+    for k in range(config.max_depth - 1, -1, -1):
+        depth = F.when(diagonal / 2**k <= config.min_diagonal, k).otherwise(depth)
+    return rows.select("file_index", *(f"{e}_{a}" for a in "xyz" for e in ("min", "max")), depth.cast("int").alias("depth"), *CRS_COLUMNS)
+
+
+def forest_of(headers: DataFrame, solid: bool, config: IndexConfig, store: Callable[[DataFrame, str], DataFrame]) -> Forest:
+    roots = store(roots_of(headers, solid, config), "roots")
+    files, depth = roots.agg(F.count(F.lit(1)), F.coalesce(F.max("depth"), F.lit(0))).first()
+    return Forest(roots, depth, files, solid)
 
 
 def placed(points: DataFrame) -> DataFrame:
@@ -76,38 +94,53 @@ def placed(points: DataFrame) -> DataFrame:
 
 def load_files(
     spark: SparkSession, paths: list[str], store: TileStore, mode: str, config: IndexConfig, scratch: Callable[[DataFrame, str], DataFrame],
-    on_header: Callable[[dict], None] | None = None, on_progress: Callable[[int, str, int], None] | None = None,
+    on_header: Callable[[dict], None] | None = None, on_progress: Callable[[str, int, int], None] | None = None,
 ) -> DataFrame:
-    """Reads LAS files one after the other into the store, which is emptied first, and returns a row of figures for each.
+    """Reads LAS files into the store, all in one plan, and returns a row of figures for each.
 
-    Each file's header is reported before its points are read. A file without any point that can be projected ends the load.
+    Headers are read in tasks and reported, in order, before any point is. What the store held is replaced in one commit once all is
+    written; a file that cannot be read, or has no point that can be projected, ends the load and leaves the store as it was.
+    Times are those of the whole load, shared out by the files' points. on_progress gets the step, the points it has done and all points, from the running job.
     """
-    store.clear()
-    figures = []
-    for header in headers(spark, paths).orderBy("file_index").collect():  # a row for each file
-        i = header["file_index"]
-        if on_header:
-            on_header(header.asDict())
-        began = time.monotonic()
-        points = scratch(placed(read_las(spark, [header["path"]]).withColumn("file_index", F.lit(i))), "points")
-        valid = points.count()
-        if not valid:
-            raise ValueError(f"no valid points in {header['path']}")
-        read = time.monotonic()
-        (west, south), (east, north), low, high = root_bounds(header, mode == "m3no")
-        corners = spark.range(1).select(*(metric_of_file(F.lit(x), F.lit(y), F.lit(header["crs_kind"])).alias(n) for n, x, y in (("a", west, south), ("b", east, north)))).first()
-        bounds = Bounds(corners.a.x, corners.a.y, corners.b.x, corners.b.y, low, high)
-        crs = tuple(header[c] for c in ("crs_kind", "crs_code", "crs_zone", "crs_northern", "crs_label"))
-        index = build_index(points, mode, bounds, config, crs, scratch)
-        tiles = scratch(index.tiles, "tiles")
-        indexed = time.monotonic()
-        if on_progress:
-            on_progress(i, "indexed", valid)
-        store.add(tiles, index.samples.withColumn("kind", F.lit("sample")).unionByName(index.full.withColumn("kind", F.lit("full"))))
-        saved = time.monotonic()
-        if on_progress:
-            on_progress(i, "saved", valid)
-        spent = [1000 * (b - a) for a, b in ((began, read), (read, indexed), (indexed, saved))]
-        figures.append((header["path"].rpartition("/")[2], i, header["whole_points"], valid, *spent, header["crs_kind"], header["crs_code"], header["crs_label"]))
-    schema = "name string, file_index int, source_point_count long, valid_point_count long, read_ms double, index_ms double, save_ms double, crs_kind string, crs_code int, crs_label string"
-    return spark.createDataFrame(figures, schema)
+    head = scratch(headers(spark, paths), "headers")
+    if on_header:
+        for row in head.orderBy("file_index").toLocalIterator():
+            on_header(row.asDict())
+    total = head.agg(F.coalesce(F.sum("whole_points"), F.lit(0))).first()[0]
+    began = time.monotonic()
+    with reported(spark, "read", total, on_progress) as counter:
+        points = scratch(placed(points_of(head, counter=counter)), "points")
+    counts = points.groupBy("file_index").agg(F.count(F.lit(1)).alias("valid_point_count"))
+    counts = scratch(head.select("file_index", "path", "whole_points", *CRS_COLUMNS).join(counts, "file_index", "left").fillna(0, ["valid_point_count"]), "valid-counts")
+    if empty := counts.where("valid_point_count = 0").orderBy("file_index").first():
+        raise ValueError(f"no valid points in {empty.path}")
+    read = time.monotonic()
+    index = build_index(points, mode, forest_of(head, mode == "m3no", config, scratch), config, None, scratch)
+    tiles = scratch(index.tiles, "tiles")
+    indexed = time.monotonic()
+    if on_progress:
+        on_progress("indexed", total, total)
+    store.save(tiles, index.samples.withColumn("kind", F.lit("sample")).unionByName(index.full.withColumn("kind", F.lit("full"))))
+    saved = time.monotonic()
+    if on_progress:
+        on_progress("saved", total, total)
+    part = F.col("whole_points") / max(1, total)
+    spent = {f"{name}_ms": part * (1000 * (b - a)) for name, a, b in (("read", began, read), ("index", read, indexed), ("save", indexed, saved))}
+    return counts.select(
+        F.substring_index("path", "/", -1).alias("name"), "file_index", F.col("whole_points").alias("source_point_count"), "valid_point_count",
+        *(c.alias(n) for n, c in spent.items()), "crs_kind", "crs_code", "crs_label",
+    )
+
+
+def grown_samples(samples: DataFrame, again: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The samples of a grown tree: those of the tiles that points reached, from `levels`, in place of the stored ones."""
+    reached = levels[0].select("tile_id")
+    for level in levels[1:]:
+        reached = reached.union(level.select("tile_id"))
+    return samples.join(reached.distinct(), "tile_id", "left_anti").unionByName(again)
+
+
+def grown_counts(counts: DataFrame, again: DataFrame) -> DataFrame:
+    """id, arrived and sampled of a grown tree: arrivals add up, a reached tile's sample counts anew."""
+    both = counts.select("id", "arrived", "sampled", F.lit(0).alias("_load")).union(again.select("id", "arrived", "sampled", F.lit(1)))
+    return both.groupBy("id").agg(F.sum("arrived").alias("arrived"), F.max_by("sampled", "_load").alias("sampled"))

@@ -16,15 +16,19 @@ from stratapoint.sources.scratch import shared_path, stored
 from stratapoint.sources.tiles import TileStore
 from stratapoint.streaming.progress import Selector, start_progressive
 
-WKT = b'PROJCS["WGS 84 / UTM zone 28N",AUTHORITY["EPSG","32628"]]'
 #: Points of a file that a task writes, at most.
 FILE_POINTS = 200_000
+SCALE, OFFSET = (0.01,) * 3, (456000.0, 3110000.0, 0.0)
 
 
-def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, kinds: np.ndarray) -> bytes:
-    """A LAS 1.2 file of point format 0 for raw coordinates of a centimetre, in UTM 28N."""
-    n, scale, offset = len(x), (0.01,) * 3, (456000.0, 3110000.0, 0.0)
-    vlr = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(WKT), b"wkt") + WKT
+def wkt(epsg: int) -> bytes:
+    return f'PROJCS["a system",AUTHORITY["EPSG","{epsg}"]]'.encode()
+
+
+def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, kinds: np.ndarray, scale=SCALE, offset=OFFSET, system: bytes = wkt(32628)) -> bytes:
+    """A LAS 1.2 file of point format 0 for raw coordinates."""
+    n = len(x)
+    vlr = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(system), b"wkt") + system
     limits = [v for raw, s, o_ in zip((x, y, z), scale, offset) for v in (raw.max() * s + o_, raw.min() * s + o_)]
     head = bytearray(227)
     head[:4], head[24:26] = b"LASF", bytes([1, 2])
@@ -36,33 +40,38 @@ def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, kinds: np.ndarray) ->
     return bytes(head) + vlr + record.tobytes()
 
 
-def las_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The cloud's points as LAS files, several to each file_index, named <file_index>-<number>.las. Classes keep five bits."""
+def las_files(spark: SparkSession, points: DataFrame, parts: int = 1, shape=lambda i: (SCALE, OFFSET, wkt(32628))) -> list[str]:
+    """points (file_index, point_index, raw_x, raw_y, raw_z, classification) as LAS files, `parts` to each file_index, in that order, named <file_index>-<part>.las.
+
+    shape: scale, offset and WKT of a file_index. Classes keep five bits.
+    """
     folder = shared_path(spark, "las")
-    points = cloud.raw_points(spark, sf_dir)
-    parts = max(1, -(-points.count() // FILE_POINTS))
-    dealt = points.repartition(2 * parts, "file_index", F.pmod(F.xxhash64("point_index"), F.lit(parts)))
+    dealt = points.withColumn("part", F.pmod(F.xxhash64("point_index"), F.lit(parts)).cast("int"))
+    dealt = dealt.repartition("file_index", "part").select("file_index", "part", "raw_x", "raw_y", "raw_z", "classification")
 
     def write(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         for batch in batches:
             columns = [batch.column(c).to_numpy() for c in ("raw_x", "raw_y", "raw_z", "classification")]
-            index = batch.column("file_index").to_numpy()
-            for i in np.unique(index).tolist():
-                held.setdefault(i, []).append([c[index == i] for c in columns])
-        from pyspark import TaskContext
-
+            key = batch.column("file_index").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy()
+            for i in np.unique(key).tolist():
+                held.setdefault((i >> 32, i & 0xFFFFFFFF), []).append([c[key == i] for c in columns])
         out = []
-        for i, pieces in held.items():
-            path = f"{folder}/{i}-{TaskContext.get().partitionId()}.las"
+        for (i, part), pieces in held.items():
+            path = f"{folder}/{i}-{part}.las"
             store, name = store_of(path)
             store.create_dir(name.rpartition("/")[0], recursive=True)
             with store.open_output_stream(name) as f:
-                f.write(las_bytes(*(np.concatenate(c) for c in zip(*pieces))))
-            out.append(path)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["path"])
+                f.write(las_bytes(*(np.concatenate(c) for c in zip(*pieces)), *shape(i)))
+            out.append((i, part, path))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.string()))], ["i", "part", "path"])
 
-    return sorted(r.path for r in dealt.mapInArrow(write, "path string").collect())  # as many rows as files
+    return [r.path for r in dealt.mapInArrow(write, "i int, part int, path string").orderBy("i", "part").collect()]  # as many rows as files
+
+
+def _cloud_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    points = cloud.raw_points(spark, sf_dir)
+    return las_files(spark, points, max(1, -(-points.count() // FILE_POINTS)))
 
 
 def _named(spark, paths: list[str]) -> DataFrame:
@@ -72,7 +81,7 @@ def _named(spark, paths: list[str]) -> DataFrame:
 @query(o.with_(o.RAW, final="SELECT file_index, classification % 32 AS classification, count(*) AS n, sum(raw_x)::BIGINT AS sx, sum(raw_y)::BIGINT AS sy, sum(raw_z)::BIGINT AS sz FROM raw GROUP BY ALL"))
 def q_las_points(spark, sf_dir):
     """Written as LAS files and read by the data source: many files as one table."""
-    paths = las_files(spark, sf_dir)
+    paths = _cloud_files(spark, sf_dir)
     rows = read_las(spark, paths, points_per_partition="10000").join(F.broadcast(_named(spark, paths)), "file_index")
     back = [F.round((F.col(c) - at) * 100).cast("long") for c, at in (("x", 456000.0), ("y", 3110000.0), ("z", 0.0))]
     sums = [F.sum(b).alias(f"s{c}") for b, c in zip(back, "xyz")]
@@ -81,7 +90,7 @@ def q_las_points(spark, sf_dir):
 
 @query(o.with_(o.POINTS, final=f"""SELECT file_index, count(*) AS points, round(min(x), 2) AS min_x, round(max(x), 2) AS max_x, round(min(z), 2) AS min_z, round(max(z), 2) AS max_z, '{cloud.LABEL}' AS crs_label FROM points GROUP BY 1"""))
 def q_las_header(spark, sf_dir):
-    paths = las_files(spark, sf_dir)
+    paths = _cloud_files(spark, sf_dir)
     rows = headers(spark, paths).join(_named(spark, paths), "file_index").where("version = '1.2' AND point_format = 0 AND record_length = 20 AND array_contains(vlr_ids, 2112)")
     ends = [f(c).alias(c) for c in ("min_x", "max_x", "min_z", "max_z") for f in ((lambda c: F.round(F.min(c), 2)) if c.startswith("min") else (lambda c: F.round(F.max(c), 2)),)]
     return rows.groupBy(F.col("cloud").alias("file_index")).agg(F.sum("whole_points").alias("points"), *ends, F.max("crs_label").alias("crs_label"))
@@ -89,7 +98,7 @@ def q_las_header(spark, sf_dir):
 
 @query(o.with_(o.RAW, final="SELECT classification % 32 AS classification, count(*) AS n FROM raw GROUP BY 1"))
 def q_las_class_histogram(spark, sf_dir):
-    return class_histogram(read_las(spark, las_files(spark, sf_dir))).withColumnRenamed("count", "n")
+    return class_histogram(read_las(spark, _cloud_files(spark, sf_dir))).withColumnRenamed("count", "n")
 
 
 _STORES: dict[tuple[str, str], TileStore] = {}
@@ -135,7 +144,7 @@ ranked AS (SELECT tile_id, point_index, row_number() OVER (PARTITION BY tile_id
 @query(o.with_(o.POINTS, o.digits(False), RESERVOIRS, final="SELECT tile_id, count(*) AS n, sum(point_index)::BIGINT AS s FROM ranked WHERE rn <= 25000 GROUP BY 1"))
 def q_tile_samples(spark, sf_dir):
     """The reservoir of every tile on every level, 25,000 points at most."""
-    out = load.tile_samples(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH, cloud.CONFIG.tile_sample_points)
+    out = load.tile_samples(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH, cloud.CONFIG.tile_sample_points, stored)
     return out.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_index").alias("s"))
 
 
@@ -174,7 +183,7 @@ def q_octree_records(spark, sf_dir):
 @query(o.with_(o.RAW, final="SELECT file_index, count(*) AS source_points, count(*) AS valid_points, count(*) AS root_points FROM raw GROUP BY 1"))
 def q_load_files(spark, sf_dir):
     """LAS files to a store; the valid points and those of the root tiles, by file."""
-    paths = las_files(spark, sf_dir)
+    paths = _cloud_files(spark, sf_dir)
     store = TileStore(spark, shared_path(spark, "loaded"))
     figures = load.load_files(spark, paths, store, "quadtree", cloud.CONFIG, stored)
     roots = store.all_tiles().where("parent_id IS NULL").select("file_index", F.col("original_point_count").alias("n"))
@@ -183,6 +192,48 @@ def q_load_files(spark, sf_dir):
     return both.groupBy(F.col("cloud").alias("file_index")).agg(*sums)
 
 
+#: CRS, scale of the plane, offset and width in steps of the files of q_load_boxes, by file_index modulo eight.
+BOXES = [
+    (32628, 0.01, 456000.0, 3110000.0, 50_000), (32728, 0.01, 300000.0, 6890000.0, 90_000), (25830, 0.02, 500000.0, 4400000.0, 110_000), (3857, 0.01, -1720000.0, 3260000.0, 400_000),
+    (4326, 1e-7, -15.5, 28.0, 350_000), (32629, 0.001, 200000.0, 4100000.0, 300_000), (25829, 0.05, 600000.0, 4700000.0, 70_000), (32601, 0.01, 450000.0, 100000.0, 1_000),
+]
+FILES_OF_BOXES = "8 * greatest(1, ceil(count(*) / 1600000))"
+
+
+def _boxes_sql() -> str:
+    """CTEs: flat(id): a row for each point and level of its file's tree."""
+    values = ", ".join(f"({k}, {e}, {o.d(s)}, {o.d(x)}, {o.d(y)}, {w})" for k, (e, s, x, y, w) in enumerate(BOXES))
+    digit = "CASE WHEN mx >= (lo_x + hi_x) / 2 THEN 1 ELSE 0 END + CASE WHEN my >= (lo_y + hi_y) / 2 THEN 2 ELSE 0 END"
+    half = ", ".join(f"CASE WHEN m{a} >= (lo_{a} + hi_{a}) / 2 THEN (lo_{a} + hi_{a}) / 2 ELSE lo_{a} END AS lo_{a}, CASE WHEN m{a} >= (lo_{a} + hi_{a}) / 2 THEN hi_{a} ELSE (lo_{a} + hi_{a}) / 2 END AS hi_{a}" for a in "xy")
+    levels = ["t0 AS (SELECT *, file_index || ':r' AS id0 FROM rooted)"]
+    for k in range(1, 9):
+        levels.append(f"t{k} AS (SELECT * EXCLUDE (lo_x, hi_x, lo_y, hi_y), CASE WHEN {k} <= levels THEN id{k - 1} || '.' || ({digit})::VARCHAR END AS id{k}, {half} FROM t{k - 1})")
+    metric = "CASE WHEN epsg = 4326 THEN radians(x) * 6378137 ELSE x END AS mx, CASE WHEN epsg = 4326 THEN 6378137 * ln(tan(pi() / 4 + radians(y) / 2)) ELSE y END AS my"
+    return f"""files AS (SELECT ({FILES_OF_BOXES})::INT AS files FROM raw), shapes(k, epsg, s, ox, oy, w) AS (VALUES {values}),
+pts AS (SELECT point_index % files AS file_index, epsg, (raw_x % w) * s + ox AS x, (raw_y % w) * s + oy AS y FROM (SELECT * EXCLUDE (point_index), point_index // 1000 AS point_index FROM raw), files, shapes WHERE k = (point_index % files) % 8),
+planed AS (SELECT file_index, epsg, {metric} FROM pts),
+box AS (SELECT file_index, min(mx) AS lo_x, max(mx) AS hi_x, min(my) AS lo_y, max(my) AS hi_y FROM planed GROUP BY 1),
+deep AS (SELECT *, coalesce((SELECT min(k) FROM range(0, 8) r(k) WHERE sqrt((hi_x - lo_x) * (hi_x - lo_x) + (hi_y - lo_y) * (hi_y - lo_y)) / pow(2, k) <= 100), 8) AS levels FROM box),
+rooted AS (SELECT planed.*, lo_x, hi_x, lo_y, hi_y, levels FROM planed JOIN deep USING (file_index)),
+{", ".join(levels)},
+flat AS (SELECT file_index, epsg, unnest([id0, id1, id2, id3, id4, id5, id6, id7, id8]) AS id FROM t8)"""
+
+
+@query(o.with_(o.RAW, _boxes_sql(), final="SELECT id, any_value(file_index)::INT AS file_index, any_value(epsg)::INT AS epsg, count(*) AS n FROM flat WHERE id IS NOT NULL GROUP BY id"))
+def q_load_boxes(spark, sf_dir):
+    """Files of eight systems, sizes and depths, more of them the more points there are, loaded in one plan: the tiles of all their trees."""
+    points = cloud.raw_points(spark, sf_dir).withColumn("_line", F.expr("point_index div 1000"))
+    files = int(points.select(F.expr(FILES_OF_BOXES)).first()[0])
+    points = points.withColumn("file_index", (F.col("_line") % files).cast("int"))
+    width = F.element_at(F.array(*(F.lit(b[4]) for b in BOXES)), F.col("file_index") % 8 + 1)
+    points = points.withColumns({"raw_x": F.col("raw_x") % width, "raw_y": F.col("raw_y") % width})
+    shapes = [((s, s, 0.01), (x, y, 0.0), wkt(e)) for e, s, x, y, _ in BOXES]
+    paths = las_files(spark, points, 1, lambda i: shapes[i % 8])
+    store = TileStore(spark, shared_path(spark, "boxes"))
+    load.load_files(spark, paths, store, "quadtree", cloud.CONFIG, stored)
+    return store.tiles().select("id", "file_index", F.col("crs_code").alias("epsg"), F.col("original_point_count").alias("n"))
+
+
 AGAIN = """cams2 AS (SELECT * REPLACE (zoom - 0.1::DOUBLE AS zoom) FROM cams)"""
 
 
