@@ -13,8 +13,9 @@ queries at once, one join for each step, until the best `beam` nodes have all be
 longest vector could still beat the `count` best so far (the norm bounds the product) are then searched from sampled entry
 nodes. The best nodes found are scored once more in double precision on the original vectors.
 
-The graph is approximate by design (k neighbours, sampled reverse neighbours); every node is in it, and
-recall is held against brute force in tests. Vectors that are null or zero or hold null or non-finite
+The graph is approximate by design (k neighbours, sampled reverse neighbours), and how wide a search must be depends on the vectors and grows with the table. So every run
+measures itself: about CHECKED queries are compared with all vectors in one scan, and while the searches have found less than TARGET of what is
+nearest to these, all are searched again with WIDER times the beam, up to the whole table. The share reached is told in the column `sampled_recall`. Vectors that are null or zero or hold null or non-finite
 components take no part, nor do those of another length than most (of lengths equally frequent the shortest counts).
 Repeated vec_ids are separate candidates, except for a query of the same vec_id. Fewer rows than asked for give
 all candidates found. An empty table gives an empty result. Columns other than id and vector are ignored.
@@ -33,6 +34,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .shared import forget, slices, stored
 
 NEIGHBOURS, REVERSE = 20, 12
+#: Reverse neighbours that a search follows, at most.
+FOLLOWED = 40
+#: Queries whose nearest are sought among all vectors, about; the share that searches must reach of them; how much wider they become if not.
+CHECKED, TARGET, WIDER = 64, 0.95, 4
 #: Rounds end once a round changes no more than this share of the list entries.
 CHANGED = 0.01
 #: Hyperplane trees, and nodes of a group, about.
@@ -261,13 +266,48 @@ def measured(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "x", F.size("x").alias("n"), norm.alias("norm"))
 
 
+def nearest_of_all(firsts: DataFrame, queries: list, count: int) -> dict[int, set[int]]:
+    """The `count` nodes of largest product with each of a few queries (node, x), themselves left out: one scan, in which a task keeps the best of what it reads."""
+    if not queries:
+        return {}
+    names, q = [r.node for r in queries], np.array([r.x for r in queries], float)
+    sent = firsts.sparkSession.sparkContext.broadcast((np.array(names, np.int64), q / np.abs(q).max(axis=1, keepdims=True)))
+
+    def best(batches):
+        names, q = sent.value
+        held = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+        for batch in slices(batches, 4096):
+            ids, s = batch.column("node").to_numpy(), np.array(batch.column("x").to_pylist(), float) @ q.T
+            for i, name in enumerate(names.tolist()):
+                other = ids != name
+                held[i] = best_of(np.concatenate([held[i][0], ids[other]]), np.concatenate([held[i][1], s[other, i]]), count)
+        rows = [(name, n, v) for name, (ids, scores) in zip(names.tolist(), held) for n, v in zip(ids.tolist(), scores.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["query", "node", "score"])
+
+    found = firsts.select("node", "x").mapInArrow(best, "query long, node long, score double")
+    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))).where(F.col("_n") <= count)
+    out: dict[int, set[int]] = {}
+    for r in ranked.collect():
+        out.setdefault(r.query, set()).add(r.node)
+    return out
+
+
+def share_found(found: DataFrame, truth: dict[int, set[int]], kept: int) -> float:
+    """The share of the nearest in truth that the first `kept` found of a search hold."""
+    lists: dict[int, set[int]] = {}
+    for r in found.where(F.col("node").isin(list(truth))).select("node", F.slice("ids", 1, kept + 1).alias("ids")).collect() if truth else []:
+        lists.setdefault(r.node, set()).update(r.ids)
+    wanted = sum(map(len, truth.values()))
+    return sum(len(t & lists.get(q, set())) for q, t in truth.items()) / wanted if wanted else 1.0
+
+
 def nearest(
     vectors: DataFrame, is_query, count: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEIGHBOURS, reverse: int = REVERSE, changed: float = CHANGED,
     trees: int = TREES, group: int = GROUP, sample_rows: int = SAMPLE_ROWS, beam: int = BEAM, width: int = WIDTH,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the `count` rows found nearest to each row whose vec_id meets is_query, a function of a column."""
     spark = vectors.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
+    empty = "query_id long, rank int, vec_id long, score double, sampled_recall double"
     rows = measured(usable(vectors, vec_id, embedding))
     lengths = rows.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.max("norm").alias("most")).orderBy(F.desc("c"), "n").first()
     if lengths is None:
@@ -307,7 +347,7 @@ def nearest(
         forget(before)
         if share_changed(graph) <= changed:
             break
-    pairs = gathered(graph, reverse).select("center", "member").distinct().join(nodes.select(F.col("node").alias("member"), "v"), "member")
+    pairs = gathered(graph, max(reverse, FOLLOWED)).select("center", "member").distinct().join(nodes.select(F.col("node").alias("member"), "v"), "member")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -322,13 +362,18 @@ def nearest(
     parts = max(1, buckets // 8)
     query = F.concat_ws(":", F.col("node").cast("string"), F.col("band").cast("string")).alias("query")
     begun = starts.select(query, "v", F.array("node").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("scores"))
-    found = search(begun, links, buckets, wide, beam, width, parts)
     if len(totals) > 1:
         # Products with the query's direction: those of a band are at most its largest norm.
         entry = [r for b, n in totals.items() for r in nodes.where((F.col("band") == b) & drawn("node", ENTRIES / n, 11)).select("node", "band", "v").collect()]  # about ENTRIES of each band
         entries = {b: ([r.node for r in entry if r.band == b], b"".join(bytes(r.v) for r in entry if r.band == b)) for b in totals}
         sent = spark.sparkContext.broadcast(entries)
 
+    def searched(beam: int, width: int) -> DataFrame:
+        """node and ids, the best found in each band."""
+        found = search(begun, links, buckets, wide, beam, width, parts)
+        if len(totals) == 1:
+            return found.select(F.split_part("query", F.lit(":"), F.lit(1)).cast("long").alias("node"), "ids")
+
         def others(batches):
             points = {b: (np.array(i, np.int64), np.frombuffer(v, "f2").reshape(-1, wide).astype(np.float32)) for b, (i, v) in sent.value.items()}
             for batch in slices(batches):
@@ -344,7 +389,16 @@ def nearest(
         kth = found.select("query", F.coalesce(F.try_element_at("scores", F.lit(count + 1)), F.lit(float("-inf"))).alias("kth"))
         rest = starts.withColumn("query", query).join(kth, "query").mapInArrow(others, "query string, v binary, ids array<long>, scores array<float>")
         found = found.union(search(rest, links, buckets, wide, beam, width, parts))
-    found = found.select(F.split_part("query", F.lit(":"), F.lit(1)).cast("long").alias("node"), "ids")
+        return found.select(F.split_part("query", F.lit(":"), F.lit(1)).cast("long").alias("node"), "ids")
+
+    checked = stored(asked.select("node").distinct().where(drawn("node", CHECKED / max(1, starts.count()), 17)).join(firsts.select("node", "x"), "node"), "checked")
+    truth = nearest_of_all(firsts, checked.select("node", "x").collect(), count)
+    while True:
+        found = searched(beam, width)
+        recall = share_found(found, truth, 3 * count)
+        if recall >= TARGET or beam >= total:
+            break
+        beam, width = beam * WIDER, width * WIDER
 
     # Exact scores of the best nodes, and of the query's own, for its copies.
     tops = found.select(F.col("node").alias("query"), F.explode(F.concat(F.array("node"), F.slice("ids", 1, 3 * count))).alias("node")).distinct()
@@ -362,7 +416,7 @@ def nearest(
     # _query_row tells queries with the same vec_id apart.
     expanded = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"), "_query_row").join(scored, "query").join(members, "node")
     ranked = expanded.where("vec_id <> query_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= count)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(recall).alias("sampled_recall"))
 
 
 def op8_neighbours(spark, sf_dir):

@@ -76,3 +76,23 @@ def test_many_copies_of_one_vector(spark):
     for q in (0, 100, 200):
         got = sorted((r["rank"], r.vec_id) for r in out if r.query_id == q)
         assert [i for _, i in got] == [i for i in range(22) if i != q][:20]
+
+
+def test_spread_out_vectors_with_the_parameters_of_the_query(spark, tmp_path):
+    """30,000 vectors of no structure at all: searches widen until the sampled recall is reached."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 30_000
+    x = np.random.default_rng(3).standard_normal((n, 64)).astype("f4")
+    for i in range(8):
+        own = np.arange(n)[i::8]
+        pq.write_table(pa.table({"vec_id": own, "embedding": pa.array(list(x[own]), pa.list_(pa.float32()))}), tmp_path / f"{i}.parquet")
+    out = neighbours.nearest(spark.read.parquet(str(tmp_path)), lambda v: v % 200 == 0).toPandas()
+    assert out.sampled_recall.iloc[0] >= neighbours.TARGET
+    hits = 0
+    for q, rows in out.groupby("query_id"):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hits += len(set(np.argpartition(-score, 20)[:20].tolist()) & set(rows.vec_id))
+    assert hits / (20 * out.query_id.nunique()) >= 0.9
