@@ -1,40 +1,127 @@
 """Which tiles a camera needs: visibility, refinement with hysteresis, the active set and what it lacks.
 
-The recursive descent has a closed form. A tile is reached if every ancestor exists, is visible and is refined; so one
-row for each (tile, ancestor) and a conjunction over them replaces the recursion.
+`descend` goes down level by level: only the pairs (camera, tile) that are still open join the children of their tiles, so
+that nothing below a tile that lies behind a camera or is small enough is ever read for it. The descent also has a closed form, `select_tiles`: a tile is
+reached if every ancestor exists, is visible and is refined; one row for each (tile, ancestor) and a conjunction over them replace the
+recursion, for trees whose levels are not known.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapoint.config import LodConfig
 from stratapoint.functions import camera as cam
 from stratapoint.functions.projection import to_metric
 
 
+#: Rows that are sent to all tasks, at most.
+SENT_ROWS = 100_000
+PLANE = ["crs_kind", "crs_zone", "crs_northern"]
+#: Digits of a child's position among its siblings.
+POSITION = 2
+
+
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(SENT_ROWS + 1)) <= SENT_ROWS else df
+
+
+def placed(cameras: DataFrame, planes: DataFrame) -> DataFrame:
+    """Cameras in the plane of each CRS in use (there are few): position `_at`, and where they look, `_fx` and `_fy`."""
+    z = cam.altitude(F.col("lat"), F.col("zoom"), F.col("pitch"), F.col("viewport_height"), F.col("fov_degrees"))
+    at = cameras.join(sent_if_few(planes)).withColumn("_z", z).withColumn("_c", to_metric(F.col("lng"), F.col("lat"), *(F.col(c) for c in PLANE)))
+    at = at.withColumn("_at", cam.ground_position(F.col("_c.x"), F.col("_c.y"), F.col("_z"), F.col("pitch"), F.col("bearing")))
+    return at.select("camera_id", "pitch", "_at", (F.col("_c.x") - F.col("_at.x")).alias("_fx"), (F.col("_c.y") - F.col("_at.y")).alias("_fy"), *PLANE)
+
+
+def looked_at(both: DataFrame) -> DataFrame:
+    """Rows of a tile and a placed camera with distance, diagonal, angle and whether the tile lies behind."""
+    b, at = F.col("bounds"), F.col("_at")
+    out = both.withColumns({
+        "distance": cam.distance(at, b, F.col("min_z"), F.col("max_z")),
+        "diagonal": cam.diagonal(b, F.col("min_z"), F.col("max_z")),
+        "behind": F.when(F.col("pitch") <= 1, False).otherwise(cam.behind(b, at["x"], at["y"], F.col("_fx"), F.col("_fy"))),
+    })
+    return out.withColumn("angle", cam.angular_size(F.col("diagonal"), F.col("distance")))
+
+
+CAMERA = ["pitch", "_at", "_fx", "_fy"]
+
+
 def seen_by(tiles: DataFrame, cameras: DataFrame) -> DataFrame:
     """Each tile for each camera: distance, angle and whether it lies behind.
 
-    cameras: camera_id, lng, lat, zoom, pitch, bearing, viewport_height, fov_degrees, a few rows; every tile is tested against
+    cameras: camera_id, lng, lat, zoom, pitch, bearing, viewport_height, fov_degrees; every tile is tested against
     every camera. A camera is placed in the plane of the tile's own file, once for each CRS in use.
     """
-    planes = tiles.select("crs_kind", "crs_zone", "crs_northern").distinct()
-    z = cam.altitude(F.col("lat"), F.col("zoom"), F.col("pitch"), F.col("viewport_height"), F.col("fov_degrees"))
-    placed = cameras.crossJoin(planes).withColumn("_z", z).withColumn("_c", to_metric(F.col("lng"), F.col("lat"), F.col("crs_kind"), F.col("crs_zone"), F.col("crs_northern")))
-    placed = placed.withColumn("_at", cam.ground_position(F.col("_c.x"), F.col("_c.y"), F.col("_z"), F.col("pitch"), F.col("bearing")))
-    placed = placed.select("camera_id", "pitch", "_at", (F.col("_c.x") - F.col("_at.x")).alias("_fx"), (F.col("_c.y") - F.col("_at.y")).alias("_fy"), "crs_kind", "crs_zone", "crs_northern")
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("crs_kind", "crs_zone", "crs_northern")]
-    both = tiles.alias("t").join(F.broadcast(placed).alias("p"), same[0] & same[1] & same[2])
-    b = F.col("t.bounds")
-    out = both.select(
-        "p.camera_id",
-        "t.*",
-        cam.distance(F.col("p._at"), b, F.col("t.min_z"), F.col("t.max_z")).alias("distance"),
-        cam.diagonal(b, F.col("t.min_z"), F.col("t.max_z")).alias("diagonal"),
-        F.when(F.col("p.pitch") <= 1, False).otherwise(cam.behind(b, F.col("p._at.x"), F.col("p._at.y"), F.col("p._fx"), F.col("p._fy"))).alias("behind"),
-    )
-    return out.withColumn("angle", cam.angular_size(F.col("diagonal"), F.col("distance")))
+    at = placed(cameras, tiles.select(*PLANE).distinct()).withColumnsRenamed({c: f"_p_{c}" for c in PLANE})
+    same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in PLANE]
+    both = tiles.join(sent_if_few(at), reduce(Column.__and__, same)).select("camera_id", *tiles.columns, *CAMERA)
+    return looked_at(both).drop(*CAMERA)
+
+
+def by_level(tiles: DataFrame) -> Callable[[int], DataFrame]:
+    """The tiles of one depth of a table."""
+    return lambda depth: tiles.where(F.col("depth") == depth)
+
+
+def descend(
+    level: Callable[[int], DataFrame], cameras: DataFrame, config: LodConfig, accumulate: bool, store: Callable[[DataFrame, str], DataFrame],
+    previous: DataFrame | None = None, on_level: Callable[[int, int, int], None] | None = None,
+) -> DataFrame:
+    """The tiles that each camera reaches, with distance, angle, `expanded`, `active` and `way`, by which they sort in the order of a depth-first walk.
+
+    level: gives the tiles of a depth, as TileStore.tiles does. Roots meet all cameras; below them only the pairs still open join the next level's tiles by
+    their parent. previous: camera_id and id of the tiles that were open before; they stay open a little longer. on_level is told
+    the depth, the open pairs that asked and the tiles that were read for them.
+    """
+    roots = level(0)
+    at = store(placed(cameras, roots.select(*PLANE).distinct()), "cameras").withColumnsRenamed({c: f"_p_{c}" for c in PLANE})
+    same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in PLANE]
+    first = sent_if_few(roots.where("parent_id IS NULL"))
+    pairs = at.join(first, reduce(Column.__and__, same)).drop(*(f"_p_{c}" for c in PLANE)).withColumn("way", F.lpad(F.col("file_index").cast("string"), 10, "0"))
+    levels, depth = [], 0
+    while True:
+        pairs = looked_at(pairs)
+        if previous is not None:
+            before = previous.select("camera_id", "id").distinct().withColumn("_was", F.lit(True))
+            pairs = pairs.join(before, ["camera_id", "id"], "left")
+            was = F.coalesce("_was", F.lit(False))
+        else:
+            was = F.lit(False)
+        open_ = F.coalesce(refined(F.col("angle"), was, config), F.lit(False)) & ~F.col("behind") & (F.size("child_ids") > 0)
+        pairs = store(pairs.withColumn("_open", open_).drop("_was"), f"pairs-{depth}")
+        levels.append(pairs)
+        asked = pairs.where("_open").select("camera_id", F.col("id").alias("parent_id"), *CAMERA, F.col("way").alias("_way"), F.col("child_ids").alias("_siblings"))
+        if asked.isEmpty():
+            break
+        depth += 1
+        wanted = level(depth).join(asked.select("parent_id").distinct(), "parent_id", "left_semi")
+        if on_level:
+            on_level(depth, asked.count(), wanted.count())
+        place = F.lpad((F.array_position("_siblings", F.col("id")) - 1).cast("string"), POSITION, "0")
+        pairs = asked.join(wanted, "parent_id").withColumn("way", F.concat_ws(".", "_way", place)).drop("_way", "_siblings")
+    out = []
+    for k, own in enumerate(levels):
+        if k + 1 < len(levels):
+            kids = levels[k + 1].groupBy("camera_id", F.col("parent_id").alias("id")).agg(F.bool_or(~F.col("behind")).alias("_kid"))
+            own = own.join(kids, ["camera_id", "id"], "left")
+        else:
+            own = own.withColumn("_kid", F.lit(None).cast("boolean"))
+        own = own.withColumn("expanded", F.col("_open") & F.col("_kid").isNotNull())
+        stays = F.lit(True) if accumulate else ~F.col("expanded") | ~F.col("_kid")
+        out.append(own.withColumn("active", ~F.col("behind") & stays).drop("_open", "_kid", *CAMERA))
+    return reduce(DataFrame.unionByName, out)
+
+
+def ranked(picked: DataFrame) -> DataFrame:
+    """The active tiles of each camera with `rank`, their place from 1 in a depth-first walk; the tiles of one camera are a bounded set."""
+    order = Window.partitionBy("camera_id").orderBy("way")
+    return picked.where("active").withColumn("rank", F.row_number().over(order))
 
 
 def refined(angle: Column, was_expanded: Column, config: LodConfig) -> Column:
@@ -95,6 +182,50 @@ def select_for_cameras(tiles: DataFrame, cameras: DataFrame, config: LodConfig,
     return select_tiles(seen, ~F.col("behind"), refined(F.col("angle"), was, config), accumulate, ["camera_id"])
 
 
+def fetched(store, wanted: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """id and points of what the store holds of wanted (id, source), beside what is known already."""
+    got = store.get_many(wanted).groupBy(F.col("tile_id").alias("id")).agg(F.count(F.lit(1)).alias("points"))
+    return got if known is None else known.unionByName(got)
+
+
+def refresh(
+    store, cameras: DataFrame, config: LodConfig, accumulate: bool, keep: Callable[[DataFrame, str], DataFrame], resident: DataFrame | None = None, previous: DataFrame | None = None,
+    again: Callable[[], None] = lambda: None, fetch: Callable[..., DataFrame] = fetched,
+) -> dict[str, DataFrame]:
+    """One refresh of what each camera shows, from the tiles and points of a store to what is drawn.
+
+    Selects by descent, describes the active tiles, fetches those not resident under the same key, fetches what is missing once more after `again` (a pause, say), and
+    reconciles. resident: camera_id, id, render_key and points of what is drawn now; previous: camera_id and id of the open tiles. Returns tables: `drawn`, the next resident;
+    `actions` (camera_id, id, action: keep, replace, create or delete); `missing` (camera_id, id); `pending` (camera_id, id), the open parents over what is missing; `totals` by camera;
+    `open`, the next previous.
+    """
+    spark = cameras.sparkSession
+    resident = resident if resident is not None else spark.createDataFrame([], f"camera_id {cameras.schema['camera_id'].dataType.simpleString()}, id string, render_key string, points long")
+    picked = keep(descend(store.tiles, cameras, config, accumulate, keep, previous), "picked")
+    described = keep(descriptors(ranked(picked)).select("camera_id", "id", "parent_id", "rank", "source", "render_count", "render_key", "source_point_count"), "described")
+    held = resident.select("camera_id", "id", "render_key", F.col("points").alias("_held"))
+    state = described.join(held, ["camera_id", "id", "render_key"], "left")
+    wanted = keep(state.where("_held IS NULL").select("id", "source").distinct(), "wanted")
+    payload = keep(fetch(store, wanted), "payload")
+    left = wanted.join(payload.select("id"), "id", "left_anti")
+    if not left.isEmpty():
+        again()
+        payload = keep(fetch(store, left, payload), "payload-again")
+    state = keep(state.join(payload, "id", "left").withColumn("points", F.coalesce("points", "_held")).drop("_held"), "state")
+    drawn = keep(state.where("points > 0").select("camera_id", "id", "render_key", "points"), "drawn")
+    both = drawn.select("camera_id", "id", F.col("render_key").alias("_new")).join(resident.select("camera_id", "id", F.col("render_key").alias("_old")), ["camera_id", "id"], "full_outer")
+    action = F.when(F.col("_new").isNull(), "delete").when(F.col("_old").isNull(), "create").when(F.col("_new") == F.col("_old"), "keep").otherwise("replace")
+    missing_now = state.where("points IS NULL").select("camera_id", "id", "parent_id")
+    totals = state.groupBy("camera_id").agg(F.count(F.lit(1)).alias("tiles"), F.coalesce(F.sum("points"), F.lit(0)).alias("rendered"), F.sum("source_point_count").alias("available"))
+    opened = picked.where("expanded").select("camera_id", "id")
+    # What is missing was reached, so all above it are open: its nearest open ancestor is its parent.
+    pending = missing_now.where("parent_id IS NOT NULL").select("camera_id", F.col("parent_id").alias("id")).distinct()
+    return {
+        "drawn": drawn, "actions": both.select("camera_id", "id", action.alias("action")), "missing": missing_now.select("camera_id", "id"), "pending": pending,
+        "totals": totals, "open": opened,
+    }
+
+
 def descriptors(tiles: DataFrame, full_resolution: bool = True) -> DataFrame:
     """What to draw of each tile: its full points if it is a leaf that has them, else its sample."""
     full = F.lit(full_resolution) & (F.size("child_ids") <= 0) & (F.col("full_point_count") > 0)

@@ -425,13 +425,54 @@ def q_visible_tiles(spark, sf_dir):
 
 def _picked(spark, sf_dir, accumulate=False, previous=None):
     tiles = (octo if accumulate else quad)(spark, sf_dir)
-    return selection.select_for_cameras(tiles, cloud.cameras(spark, sf_dir), cloud.LOD, accumulate, previous)
+    return selection.descend(selection.by_level(tiles), cloud.cameras(spark, sf_dir), cloud.LOD, accumulate, stored, previous)
 
 
-@query(o.with_(*SEEN, o.selected(False), final="SELECT camera_id, id, depth, n AS points, expanded, active FROM picked WHERE active OR expanded", recursive=True))
+WALK = """walked AS (
+  SELECT id, lpad(file_index::VARCHAR, 10, '0') AS way FROM tiles WHERE parent_id IS NULL
+  UNION ALL
+  SELECT t.id, w.way || '.' || lpad((list_position(string_split(p.child_ids, ','), t.id) - 1)::VARCHAR, 2, '0') FROM walked w JOIN tiles p ON p.id = w.id JOIN tiles t ON t.parent_id = p.id
+)"""
+
+
+@query(o.with_(*SEEN, o.selected(False), WALK, final="""SELECT camera_id, id, depth, n AS points, expanded, active,
+  CASE WHEN active THEN (row_number() OVER (PARTITION BY camera_id, active ORDER BY way))::INT END AS rank FROM picked JOIN walked USING (id) WHERE active OR expanded""", recursive=True))
 def q_lod_quadtree(spark, sf_dir):
-    out = _picked(spark, sf_dir).where("active OR expanded")
-    return out.select("camera_id", "id", "depth", F.col("original_point_count").alias("points"), "expanded", "active")
+    """rank: the order in which a depth-first walk finds the active tiles."""
+    picked = stored(_picked(spark, sf_dir).where("active OR expanded"), "picked")
+    out = picked.join(selection.ranked(picked).select("camera_id", "id", "rank"), ["camera_id", "id"], "left")
+    return out.select("camera_id", "id", "depth", F.col("original_point_count").alias("points"), "expanded", "active", "rank")
+
+
+#: Expressions of all cameras of events, and the frontier of their descent by recursion.
+ALL_SEEN = f"""roots_ AS (SELECT * FROM tiles WHERE parent_id IS NULL),
+walk AS (
+  SELECT e.camera_id, e.pitch, e.ux, e.uy, e.alt, e.px, e.py, t.*, {{seen}} FROM eye e CROSS JOIN roots_ t
+  UNION ALL
+  SELECT w.camera_id, w.pitch, w.ux, w.uy, w.alt, w.px, w.py, t.*, {{below}} FROM walk w JOIN tiles t ON t.parent_id = w.id WHERE NOT w.behind AND w.angle >= 15
+)"""
+
+
+def _frontier() -> str:
+    dots = ", ".join(f"({x} - px) * (ux - px) + ({y} - py) * (uy - py)" for x in ("t.lo_x", "t.hi_x") for y in ("t.lo_y", "t.hi_y"))
+    distance = o.hypot(o.hypot("greatest(t.lo_x - px, px - t.hi_x, 0)", "greatest(t.lo_y - py, py - t.hi_y, 0)"), "greatest(t.min_z - alt, alt - t.max_z, 0)")
+    diagonal = o.hypot("t.hi_x - t.lo_x", "t.hi_y - t.lo_y", "t.max_z - t.min_z")
+    angle = f"CASE WHEN NOT {diagonal} > 0 THEN 0 WHEN {distance} = 0 THEN 'Infinity'::DOUBLE ELSE degrees(2 * atan({diagonal} / (2 * {distance}))) END"
+    seen = f"pitch > 1 AND (ux <> px OR uy <> py) AND greatest({dots}) <= 0 AS behind, {angle} AS angle"
+    return ALL_SEEN.format(seen=seen, below=seen)
+
+
+@query(o.with_(o.POINTS, o.tiles(False), o.EVENT_CAMERAS, o.cameras_at(), _frontier(),
+  "kids_ AS (SELECT camera_id, parent_id AS id, bool_or(NOT behind) AS kid FROM walk WHERE parent_id IS NOT NULL GROUP BY ALL)",
+  final="""SELECT camera_id, count(*) FILTER (WHERE NOT behind AND (k.id IS NULL OR NOT kid)) AS active, coalesce(sum(n) FILTER (WHERE NOT behind AND (k.id IS NULL OR NOT kid)), 0)::BIGINT AS points,
+  count(*) AS reached, count(k.id) AS expanded FROM walk LEFT JOIN kids_ k USING (camera_id, id) GROUP BY 1""", recursive=True))
+def q_lod_all_cameras(spark, sf_dir):
+    """A camera for each event, all at once: what each reaches, opens and shows."""
+    picked = selection.descend(selection.by_level(quad(spark, sf_dir)), cloud.camera_events(spark, sf_dir), cloud.LOD, False, stored)
+    shown = F.col("active")
+    return picked.groupBy("camera_id").agg(
+        F.count_if(shown).alias("active"), F.coalesce(F.sum(F.when(shown, F.col("original_point_count"))), F.lit(0)).alias("points"), F.count(F.lit(1)).alias("reached"), F.count_if("expanded").alias("expanded")
+    )
 
 
 @query(o.with_(*SEEN_SOLID, o.selected(True), final="SELECT camera_id, id, depth, n AS points, expanded, active FROM picked WHERE active OR expanded", recursive=True))
@@ -444,8 +485,8 @@ def q_lod_m3no(spark, sf_dir):
 def q_lod_hysteresis(spark, sf_dir):
     """As if every tile of an even depth had been open before."""
     tiles, cameras = quad(spark, sf_dir), cloud.cameras(spark, sf_dir)
-    before = tiles.where("depth % 2 = 0").select("id").crossJoin(F.broadcast(cameras.select("camera_id")))
-    return selection.select_for_cameras(tiles, cameras, cloud.LOD, False, before).where("active").select("camera_id", "id")
+    before = tiles.where("depth % 2 = 0").select("id").join(selection.sent_if_few(cameras.select("camera_id")))
+    return selection.descend(selection.by_level(tiles), cameras, cloud.LOD, False, stored, before).where("active").select("camera_id", "id")
 
 
 @query(o.with_(o.POINTS, o.tiles(False), o.described("tiles"), final="SELECT id, source, render_count, render_key FROM drawn", recursive=True))
