@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapoint.operators import load, sampling, selection, stats
+from stratapoint.operators import load, sampling, selection, stats, tiling
 from stratapoint.plans import cloud, oracles as o
 from stratapoint.plans.queries import SEEN, _g, _picked, grid_levels, octo, quad, query
 from stratapoint.sources.las import class_histogram, headers, read_las, store_of
@@ -115,6 +115,17 @@ def tile_store(spark: SparkSession, sf_dir: str) -> TileStore:
     return _STORES[key]
 
 
+def octree_store(spark: SparkSession, sf_dir: str) -> TileStore:
+    """The octree's records and its leaves' full points in a store. Loaded once in a session."""
+    key = spark.sparkContext.applicationId, f"{sf_dir}#octree"
+    if key not in _STORES:
+        store = TileStore(spark, shared_path(spark, "octree"))
+        full = tiling.leaf_points(cloud.points(spark, sf_dir), cloud.SOLID, cloud.DEPTH).withColumns({"depth": F.lit(cloud.DEPTH), "kind": F.lit("full")})
+        store.save(octo(spark, sf_dir), full)
+        _STORES[key] = store
+    return _STORES[key]
+
+
 @query(o.with_(o.POINTS, o.tiles(False), final="SELECT id, file_index, depth, n FROM tiles", recursive=True))
 def q_all_tiles(spark, sf_dir):
     return tile_store(spark, sf_dir).all_tiles().select("id", "file_index", "depth", F.col("original_point_count").alias("n"))
@@ -255,6 +266,36 @@ def q_lod_sequence(spark, sf_dir):
     return selector.select(cameras.withColumn("zoom", F.col("zoom") - 0.1)).where("active").select("camera_id", "id")
 
 
+@query(o.with_(*SEEN, o.selected(False), AGAIN, _second(o.seen(False).replace("FROM cams", "FROM cams2")),
+  "memory AS (SELECT s.*, coalesce(p.expanded, false) AS was FROM seen_b s LEFT JOIN (SELECT camera_id, id, expanded FROM picked) p USING (camera_id, id))",
+  _second(o.selected(False, "memory", "was")), o.described("picked_b"),
+  "a1 AS (SELECT camera_id, id, true AS first FROM picked WHERE active), a2 AS (SELECT camera_id, id, render_count, greatest(n, full_n, sampled) AS source, true AS second FROM drawn WHERE active)",
+  final="""SELECT camera_id, count(*) FILTER (WHERE first AND second) AS kept, 0::BIGINT AS replaced, count(*) FILTER (WHERE first IS NULL) AS created, count(*) FILTER (WHERE second IS NULL) AS deleted,
+  count(second) AS tiles, sum(render_count)::BIGINT AS rendered, sum(source)::BIGINT AS available FROM a1 FULL JOIN a2 USING (camera_id, id) GROUP BY 1""", recursive=True))
+def q_refresh(spark, sf_dir):
+    """Two refreshes from the store, the second as each camera zooms out a little: what is kept, created and deleted, and the totals."""
+    store, cameras = tile_store(spark, sf_dir), cloud.cameras(spark, sf_dir)
+    first = selection.refresh(store, cameras, cloud.LOD, False, stored)
+    second = selection.refresh(store, cameras.withColumn("zoom", F.col("zoom") - 0.1), cloud.LOD, False, stored, first["drawn"], first["open"])
+    counts = [F.count_if(F.col("action") == a).alias(n) for a, n in (("keep", "kept"), ("replace", "replaced"), ("create", "created"), ("delete", "deleted"))]
+    return second["actions"].groupBy("camera_id").agg(*counts).join(second["totals"], "camera_id", "left")
+
+
+HEIGHTS, KINDS = (40.0, 90.0), (3, 5)
+
+
+@query(o.with_(o.POINTS, o.tiles(True), "hit AS (SELECT id FROM tiles WHERE n_children = 0 AND min_z <= 90 AND max_z >= 40 AND len(list_filter(string_split(classes, ','), lambda c: c IN ('3', '5'))) > 0)",
+  o.digits(True, src="(SELECT * FROM points)").replace("lv", "pv"),
+  final="SELECT id6 AS tile_id, count(*) AS n, sum(point_index)::BIGINT AS s, (SELECT count(*) FROM hit) AS leaves_read, (SELECT count(*) FROM tiles WHERE n_children = 0) AS leaves FROM pv6 WHERE z >= 40 AND z <= 90 AND classification IN (3, 5) GROUP BY 1", recursive=True))
+def q_height_class(spark, sf_dir):
+    """Points of a range of heights and a set of classes from the octree's store: the zone maps of the leaves say which are read at all."""
+    store = octree_store(spark, sf_dir)
+    found, read = store.where(*HEIGHTS, KINDS)
+    leaves = store.tiles().where("size(child_ids) = 0").count()
+    out = found.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_index").alias("s"))
+    return out.withColumns({"leaves_read": F.lit(read.count()).cast("long"), "leaves": F.lit(leaves).cast("long")})
+
+
 @query(o.with_(o.POINTS, o.tiles(False), final="SELECT id, n AS full_count, round(min_z, 2) AS min_z, round(max_z, 2) AS max_z FROM tiles", recursive=True))
 def q_progressive_stream(spark, sf_dir):
     """A stream of points into a store, batch by batch; the last version of every tile."""

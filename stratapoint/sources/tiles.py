@@ -226,3 +226,15 @@ class TileStore:
         """The points of the tiles in wanted (id, source); ids unknown give none. Spark sends a small list to every task."""
         keys = wanted.select(F.col("id").alias("tile_id"), F.col("source").alias("kind"), F.substring_index("id", ":", 1).cast("int").alias("file_index"), (F.size(F.split("id", r"\.")) - 1).alias("depth"))
         return self.points().join(keys, ["file_index", "kind", "depth", "tile_id"], "left_semi")
+
+    def where(self, low: float, high: float, classes: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+        """Full points of a range of heights and a set of classes, and the leaves (id) that were read for them.
+
+        A leaf whose zone map (heights, classes) rules it out is not asked for; what is left prunes partitions by file and depth, and row groups by the points' own
+        statistics of tile_id and z.
+        """
+        zone = F.col("attribute_indexes")
+        may_hold = (zone["altitude"]["min"] <= high) & (zone["altitude"]["max"] >= low) & F.arrays_overlap(zone["classification_bins"], F.array(*map(F.lit, classes)))
+        leaves = self.tiles().where((F.size("child_ids") <= 0) & (F.col("full_point_count") > 0) & may_hold).select("id")
+        points = self._points((F.col("kind") == "full") & F.col("z").between(low, high) & F.col("classification").isin(*classes))
+        return points.join(leaves.withColumnRenamed("id", "tile_id"), "tile_id", "left_semi"), leaves
