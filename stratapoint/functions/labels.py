@@ -109,3 +109,11 @@ def hsl_to_rgb(hue: Column, saturation: Column, lightness: Column) -> Column:
         return lightness + span * (F.least(F.greatest(away, F.lit(0.0)), F.lit(1.0)) - 0.5)
 
     return F.struct(channel(0).alias("red"), channel(4).alias("green"), channel(2).alias("blue"))
+
+
+def clamped_value(given: Column, fallback: float, low: float | None = None, high: float | None = None) -> Column:
+    """config.clamped of a column: a number given as text or number, between the limits; the fallback for what is no finite number."""
+    number = given.try_cast("double")
+    held = number if low is None else F.greatest(number, F.lit(float(low)))
+    held = held if high is None else F.least(held, F.lit(float(high)))
+    return F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), F.lit(float(fallback))).otherwise(held)

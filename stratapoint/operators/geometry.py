@@ -85,6 +85,14 @@ def legend(spark) -> DataFrame:
     return spark.createDataFrame(rows, "position int, code string, label string, red double, green double, blue double, alpha double")
 
 
+def legend_of(points: DataFrame) -> DataFrame:
+    """The legend with the number of points of each of its rows."""
+    listed = F.col("classification").isin([k for k, _, _ in CLASSES])
+    counts = points.groupBy("classification").agg(F.count(F.lit(1)).alias("_n"))  # 256 classes at most
+    counts = counts.groupBy(F.when(listed, F.col("classification").cast("string")).otherwise("Other").alias("code")).agg(F.sum("_n").alias("points"))
+    return legend(points.sparkSession).join(counts, "code", "left").fillna(0, ["points"])
+
+
 def class_table(spark) -> DataFrame:
     """The fixed classes: classification, label, red, green, blue, alpha."""
     return spark.createDataFrame([(k, n, *map(float, c)) for k, n, c in CLASSES], "classification int, label string, red double, green double, blue double, alpha double")

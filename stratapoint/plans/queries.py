@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratapoint.functions import camera as cam, crs, labels, projection as pr
-from stratapoint.operators import geometry, sampling, selection, stats, tiling
+from stratapoint.operators import geometry, payload, sampling, selection, stats, tiling
 from stratapoint.plans import cloud, oracles as o
 from stratapoint.sources.scratch import stored
 from stratapoint.sources.tiles import latest
@@ -297,12 +297,13 @@ def q_leaf_full_points(spark, sf_dir):
     return out.select("tile_id", F.lit("full").alias("kind"), "point_index", "z", "classification")
 
 
-@query(o.with_(o.POINTS, o.digits(False), final="SELECT id6 AS tile_id, count(*) AS n, string_agg(point_index::VARCHAR || ':' || classification::VARCHAR, ',' ORDER BY point_index) AS packed FROM lv6 GROUP BY 1"))
+@query(o.with_(o.POINTS, o.digits(False), f"parted AS (SELECT id6 AS tile_id, ((row_number() OVER (PARTITION BY id6 ORDER BY point_index) - 1) // {payload.PART_POINTS})::INT AS part, point_index, classification FROM lv6)",
+  final="SELECT tile_id, part, count(*) AS n, string_agg(point_index::VARCHAR || ':' || classification::VARCHAR, ',' ORDER BY point_index) AS packed FROM parted GROUP BY 1, 2"))
 def q_pack_points(spark, sf_dir):
-    """A leaf's points side by side in arrays: leaves end where tiles are small, so an array holds a leaf and no more."""
-    leaves = tiling.leaf_points(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH)
-    packed = leaves.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("point_index", "mx", "my", "z", "classification"))).alias("p"))
-    return packed.select("tile_id", "n", F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["point_index"].cast("string"), p["classification"].cast("string"))), ",").alias("packed"))
+    """A leaf's points side by side in arrays, a part of the leaf in each."""
+    leaves = payload.parted(tiling.leaf_points(cloud.points(spark, sf_dir), cloud.FLAT, cloud.DEPTH), ["tile_id"], "point_index")
+    packed = leaves.groupBy("tile_id", "part").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("point_index", "mx", "my", "z", "classification"))).alias("p"))
+    return packed.select("tile_id", "part", "n", F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["point_index"].cast("string"), p["classification"].cast("string"))), ",").alias("packed"))
 
 
 @query(o.with_(o.POINTS, o.tiles(False), final="SELECT id, file_index, n FROM tiles WHERE parent_id IS NULL", recursive=True))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratapoint.config import clamped
 from stratapoint.functions import labels
 from stratapoint.operators import geometry, payload, selection, stats, tiling
 from stratapoint.plans import cloud, oracles as o
@@ -22,19 +21,19 @@ def _payloads(spark, sf_dir):
 @query(o.with_(o.POINTS, o.digits(False), final="SELECT id6 AS tile_id, row_number() OVER (PARTITION BY id6 ORDER BY point_index) - 1 AS place, x AS mx, y AS my, z, classification FROM lv6"))
 def q_payload_unpack(spark, sf_dir):
     """Packed side by side, and unpacked again as rows."""
-    return payload.unpacked(_payloads(spark, sf_dir), ["tile_id"]).withColumn("place", F.col("place").cast("long"))
+    return payload.unpacked(_payloads(spark, sf_dir), ["tile_id"])
 
 
-@query(o.with_(o.POINTS, o.digits(False), "n AS (SELECT id6 AS tile_id, count(*) AS n FROM lv6 GROUP BY 1)",
-  final="SELECT tile_id, CASE WHEN n % 2 = 0 THEN n ELSE 0 END AS packed, n % 2 = 0 AS is_stored, CASE WHEN n % 2 = 0 THEN n ELSE 0 END AS listed, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS single FROM n"))
+@query(o.with_(o.POINTS, o.digits(False), f"p AS (SELECT id6 AS tile_id, (row_number() OVER (PARTITION BY id6 ORDER BY point_index) - 1) // {payload.PART_POINTS} AS part FROM lv6)", "n AS (SELECT tile_id, part, count(*) AS n FROM p GROUP BY ALL)",
+  final="SELECT tile_id, sum(CASE WHEN n % 2 = 0 THEN n ELSE 0 END)::BIGINT AS packed, bool_or(n % 2 = 0) AS is_stored, sum(CASE WHEN n % 2 = 0 THEN n ELSE 0 END)::BIGINT AS listed, count(*) FILTER (WHERE n % 2 = 0) AS single FROM n GROUP BY 1"))
 def q_point_counts(spark, sf_dir):
-    """Counts of payloads, lists and single points; leaves of odd counts hold none, and a payload without points is not stored."""
+    """Counts of payloads, lists and single points; parts of odd counts hold none, and a payload without points is not stored."""
     rows = _payloads(spark, sf_dir).withColumn("p", F.col("payload"))
     even = F.col("p.point_count") % 2 == 0
     some = F.when(even, F.col("p.point_count")).otherwise(0)
     rows = rows.select("tile_id", payload.payload(some, F.col("p.coordinates"), F.col("p.classifications")).alias("kept"), F.when(even, F.col("p.classifications")).alias("list"), F.when(even, F.col("p.coordinates")[0]).alias("one"))
-    counts = [payload.point_count(F.col(c), rows.schema[c].dataType).alias(n) for c, n in (("kept", "packed"), ("list", "listed"), ("one", "single"))]
-    return rows.select("tile_id", F.col("kept").isNotNull().alias("is_stored"), *counts)
+    counts = [F.sum(payload.point_count(F.col(c), rows.schema[c].dataType)).alias(n) for c, n in (("kept", "packed"), ("list", "listed"), ("one", "single"))]
+    return rows.groupBy("tile_id").agg(F.bool_or(F.col("kept").isNotNull()).alias("is_stored"), *counts)
 
 
 # Look-ups and filters
@@ -133,9 +132,15 @@ def q_status_line(spark, sf_dir):
 LEGEND = ", ".join(f"({i}, '{k}', '{n}', {c[0]}, {c[1]}, {c[2]}, {c[3]})" for i, (k, n, c) in enumerate([*labels.CLASSES, ("Other", "Other classifications", labels.OTHER_CLASS[1])]))
 
 
-@query(f"SELECT position, code, label, round(r * 255::DOUBLE, 6) AS red, round(g * 255::DOUBLE, 6) AS green, round(b * 255::DOUBLE, 6) AS blue, alpha::DOUBLE AS alpha FROM (VALUES {LEGEND}) v(position, code, label, r, g, b, alpha)")
+CODES = ", ".join(str(k) for k, _, _ in labels.CLASSES)
+
+
+@query(o.with_(o.RAW, f"n AS (SELECT CASE WHEN classification IN ({CODES}) THEN classification::VARCHAR ELSE 'Other' END AS code, count(*) AS points FROM raw GROUP BY 1)",
+  final=f"SELECT position, code, label, round(r * 255::DOUBLE, 6) AS red, round(g * 255::DOUBLE, 6) AS green, round(b * 255::DOUBLE, 6) AS blue, alpha::DOUBLE AS alpha, coalesce(points, 0)::BIGINT AS points FROM (VALUES {LEGEND}) v(position, code, label, r, g, b, alpha) LEFT JOIN n USING (code)"))
 def q_legend(spark, sf_dir):
-    return geometry.legend(spark).select("position", "code", "label", *(r6(F.col(c)).alias(c) for c in ("red", "green", "blue")), "alpha")
+    """The legend of the cloud: every class with its colour and its points, those of no class under the fallback."""
+    out = geometry.legend_of(cloud.raw_points(spark, sf_dir))
+    return out.select("position", "code", "label", *(r6(F.col(c)).alias(c) for c in ("red", "green", "blue")), "alpha", "points")
 
 
 @query(o.with_(o.RAW, "f AS (SELECT file_index, count(*) AS n FROM raw GROUP BY 1)", final="""SELECT file_index, p AS processed, p = n AS is_final FROM f, range(1, 1000000) r(k), LATERAL (SELECT k * 5000 AS p) WHERE p < n
@@ -153,13 +158,15 @@ def q_stale_results(spark, sf_dir):
     return not_stale(answers, "user_id", "refresh", ["ts", "event_id"]).select("event_id", "user_id")
 
 
-#: A control's limits as given by hand, for values as they come: numbers, text, nothing.
+#: A control's limits, for values as they come: numbers, text, nothing.
 LIMITS = (1.0, 90.0, 15.0)
+GIVEN = "CASE event_id % 6 WHEN 0 THEN cast(user_id - 40 AS {s}) WHEN 1 THEN 'wide' WHEN 2 THEN NULL WHEN 3 THEN cast(event_id % 100 AS {s}) || '.25' WHEN 4 THEN '1e999' ELSE '' END"
 
 
-@query(f"SELECT event_type, greatest({LIMITS[0]}, least({LIMITS[1]}, count(*)::DOUBLE)) AS threshold FROM events GROUP BY 1")
+@query(f"""SELECT event_id, CASE WHEN v IS NULL OR isinf(v) OR isnan(v) THEN {LIMITS[2]}::DOUBLE ELSE greatest({LIMITS[0]}::DOUBLE, least({LIMITS[1]}::DOUBLE, v)) END AS threshold
+  FROM (SELECT event_id, try_cast({GIVEN.format(s='VARCHAR')} AS DOUBLE) AS v FROM events)""")
 def q_clamped_settings(spark, sf_dir):
-    """A threshold from the number of events of each type, as many rows as types."""
-    rows = cloud.table(spark, sf_dir, "events").groupBy("event_type").count().collect()
+    """A threshold from what each event gives."""
     low, high, fallback = LIMITS
-    return spark.createDataFrame([(r["event_type"], clamped(str(r["count"]), fallback, low, high)) for r in rows], "event_type string, threshold double")
+    given = F.expr(GIVEN.format(s="string"))
+    return cloud.table(spark, sf_dir, "events").select("event_id", labels.clamped_value(given, fallback, low, high).alias("threshold"))

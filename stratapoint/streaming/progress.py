@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratapoint.config import Bounds, LodConfig
-from stratapoint.operators.selection import select_for_cameras
+from stratapoint.operators.selection import by_level, descend
 from stratapoint.operators.tiling import digit_columns, tile_id, with_digits
 
 SNAPSHOT_POINTS = 100_000
@@ -84,7 +84,7 @@ class Selector:
 
     def select(self, cameras: DataFrame) -> DataFrame:
         """cameras: one row for each camera_id, the session's camera now."""
-        out = self.store(select_for_cameras(self.tiles, cameras, self.config, self.accumulate, self.open))
+        out = self.store(descend(by_level(self.tiles), cameras, self.config, self.accumulate, lambda df, _: self.store(df), self.open))
         now = out.where("expanded").select("camera_id", "id")
         self.open = now if self.open is None else now.union(self.open.join(cameras.select("camera_id"), "camera_id", "left_anti"))
         self.open = self.store(self.open)

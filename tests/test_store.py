@@ -217,3 +217,14 @@ def test_files_that_a_filter_rules_out_are_not_opened(spark, tmp_path):
     assert rows.where("z > 1000.0").count() == 0
     assert rows.where("x >= 456000.0 AND x <= 456010.0").count() == read_las(spark, paths).where("x >= 456000.0 AND x <= 456010.0").count()
     assert rows.where("file_index IN (0, 2)").count() == 202
+
+
+def test_large_payloads_are_parts(spark):
+    from stratapoint.operators import payload
+
+    rows = [(t, 7 * i + 3, float(i), float(-i), 1.0, i % 5) for t in ("a", "b") for i in range(250 if t == "a" else 3)]
+    points = spark.createDataFrame(rows, "tile_id string, point_index long, mx double, my double, z double, classification int").repartition(5)
+    parts = payload.packed(points, ["tile_id"], "point_index", size=100)
+    assert sorted((r.tile_id, r.part, r.payload.point_count) for r in parts.collect()) == [("a", 0, 100), ("a", 1, 100), ("a", 2, 50), ("b", 0, 3)]
+    back = sorted(tuple(r) for r in payload.unpacked(parts, ["tile_id"], size=100).collect())
+    assert back == sorted((t, (i - 3) // 7, x, y, z, k) for t, i, x, y, z, k in rows)
