@@ -15,7 +15,7 @@ nodes. The best nodes found are scored once more in double precision on the orig
 
 The graph is approximate by design (k neighbours, sampled reverse neighbours), and how wide a search must be depends on the vectors and grows with the table. So every run
 measures itself: about CHECKED queries are compared with all vectors in one scan, and while the searches have found less than TARGET of what is
-nearest to these, all are searched again with WIDER times the beam, up to the whole table. The share reached is told in the column `sampled_recall`. Vectors that are null or zero or hold null or non-finite
+nearest to these, all are searched again with WIDER times the beam, up to the whole table. The share reached is told in the log. Vectors that are null or zero or hold null or non-finite
 components take no part, nor do those of another length than most (of lengths equally frequent the shortest counts).
 Repeated vec_ids are separate candidates, except for a query of the same vec_id. Fewer rows than asked for give
 all candidates found. An empty table gives an empty result. Columns other than id and vector are ignored.
@@ -24,6 +24,7 @@ all candidates found. An empty table gives an empty result. Columns other than i
 from __future__ import annotations
 
 import itertools
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,8 @@ BEAM, WIDTH = 256, 96
 #: Nodes or queries that one group of a Python stage holds, about.
 BUCKET = 1024
 
+log = logging.getLogger(__name__)
+
 LIST = "node long, ids array<long>, scores array<float>, fresh array<boolean>"
 
 
@@ -200,7 +203,8 @@ def share_changed(graph: DataFrame) -> float:
     return (new or 0) / max(1, held or 0)
 
 
-FOUND = "query string, ids array<long>, scores array<float>"
+#: What a bucket of nodes has for a bucket of queries: their names, how many nodes each is told of, and these with their scores.
+FOUND = "_bucket long, queries array<string>, sizes array<int>, ids array<long>, scores array<float>"
 
 
 def search(state: DataFrame, links: DataFrame, buckets: int, width: int, beam: int, expand: int, query_buckets: int) -> DataFrame:
@@ -210,32 +214,44 @@ def search(state: DataFrame, links: DataFrame, buckets: int, width: int, beam: i
     def ask(batches):
         for batch in slices(batches):
             rows: tuple[list, list] = [], []
-            for i, (ids, seen) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("seen").to_pylist())):
+            floors = []  # what a node must beat to be among the best so far
+            for i, (ids, seen, scores) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "seen", "scores")))):
                 new = [n for n, s in zip(ids, seen) if not s][:expand]  # lists are in order, best first
                 rows[0].extend(new)
                 rows[1].extend([i] * len(new))
+                floors.append(scores[beam - 1] if len(scores) >= beam else float("-inf"))
             at = pa.array(rows[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), batch.column("query").take(at), batch.column("v").take(at)], ["at", "query", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), batch.column("query").take(at), batch.column("v").take(at), pa.array(floors, pa.float32()).take(at)], ["at", "query", "v", "floor"])
 
     def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         row_of = {n: i for i, n in enumerate(known["node"].tolist())}
         near = [np.frombuffer(v, "f2").reshape(-1, width).astype(np.float32) for v in known["v"]]
         known_ids = known["ids"].to_numpy()
-        out: tuple[list, list, list] = [], [], []
-        at, v = asked["at"].to_numpy(), asked["v"].to_numpy()
-        for query, rows in asked.groupby("query").indices.items():
-            own = [row_of[n] for n in at[rows].tolist() if n in row_of]
-            if own:
+        at, v, names, floor = (asked[c].to_numpy() for c in ("at", "v", "query", "floor"))
+        packed = []
+        for bucket, own_rows in asked.groupby("_bucket").indices.items():
+            told: tuple[list, list, list] = [], [], []
+            for query, rows in asked.iloc[own_rows].groupby("query").indices.items():
+                rows = own_rows[rows]
+                own = [row_of[n] for n in at[rows].tolist() if n in row_of]
+                if not own:
+                    continue
                 ids = np.concatenate([known_ids[i] for i in own])
                 scores = np.concatenate([near[i] for i in own]) @ np.frombuffer(v[rows[0]], "f4")
-                ids, scores = best_of(ids, scores, beam)
-                for column, value in zip(out, (query, ids, scores)):
-                    column.append(value)
-        return pd.DataFrame({"query": pd.Series(out[0], dtype=object), "ids": pd.Series(out[1], dtype=object), "scores": pd.Series(out[2], dtype=object)})
+                better = ~(scores < floor[rows[0]])  # an overflow is no reason to drop a node
+                if better.any():
+                    for column, value in zip(told, (query, *best_of(ids[better], scores[better], beam))):
+                        column.append(value)
+            if told[0]:
+                packed.append((bucket, told[0], list(map(len, told[1])), np.concatenate(told[1]), np.concatenate(told[2]).astype(np.float32)))
+        return pd.DataFrame(packed, columns=["_bucket", "queries", "sizes", "ids", "scores"])
 
     def merge(old: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        more = found.groupby("query").indices
-        new_ids, new_scores = found["ids"].to_numpy(), found["scores"].to_numpy()
+        more: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for queries, sizes, ids, scores in zip(*(found[c] for c in ("queries", "sizes", "ids", "scores"))):
+            ends = np.cumsum(sizes)
+            for query, a, b in zip(queries, ends - sizes, ends):
+                more.setdefault(query, []).append((ids[a:b], scores[a:b]))
         columns = {c: old[c].tolist() for c in ("ids", "scores", "seen", "open")}
         for i, query in enumerate(old["query"].tolist()):
             if not columns["open"][i]:
@@ -243,18 +259,18 @@ def search(state: DataFrame, links: DataFrame, buckets: int, width: int, beam: i
             ids, scores, seen = (np.asarray(columns[c][i]) for c in ("ids", "scores", "seen"))
             seen = seen.astype(bool)
             seen[np.flatnonzero(~seen)[:expand]] = True
-            rows = more.get(query, [])
+            told = more.get(query, [])
             looked = ids[seen]
-            ids, scores = best_of(np.concatenate([ids, *(new_ids[r] for r in rows)]), np.concatenate([scores, *(new_scores[r] for r in rows)]), beam)
+            ids, scores = best_of(np.concatenate([ids, *(t[0] for t in told)]), np.concatenate([scores, *(t[1] for t in told)]), beam)
             seen = np.isin(ids, looked)
             columns["ids"][i], columns["scores"][i], columns["seen"][i], columns["open"][i] = ids, scores.astype(np.float32), seen, int(not seen.all())
         return pd.DataFrame({"query": old["query"], "v": old["v"], **{c: pd.Series(v, dtype=object if c != "open" else int, index=old.index) for c, v in columns.items()}})
 
-    group = F.pmod(F.xxhash64("query"), F.lit(query_buckets)).alias("_bucket")
+    group = F.pmod(F.xxhash64("query"), F.lit(query_buckets)).cast("long").alias("_bucket")
     while not state.where("open = 1").isEmpty():  # a node is looked at once, so a search ends
-        asked = state.where("open = 1").mapInArrow(ask, "at long, query string, v binary").withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)))
+        asked = state.where("open = 1").mapInArrow(ask, "at long, query string, v binary, floor float").withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets))).withColumn("_bucket", group)
         found = asked.groupBy("bucket").cogroup(links.groupBy("bucket")).applyInPandas(score, FOUND)
-        before, state = state, stored(state.groupBy(group).cogroup(found.groupBy(group)).applyInPandas(merge, state.schema), "search")
+        before, state = state, stored(state.groupBy(group).cogroup(found.groupBy("_bucket")).applyInPandas(merge, state.schema), "search")
         forget(before)
     return state.select("query", "ids", "scores")
 
@@ -307,7 +323,7 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the `count` rows found nearest to each row whose vec_id meets is_query, a function of a column."""
     spark = vectors.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double, sampled_recall double"
+    empty = "query_id long, rank int, vec_id long, score double"
     rows = measured(usable(vectors, vec_id, embedding))
     lengths = rows.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.max("norm").alias("most")).orderBy(F.desc("c"), "n").first()
     if lengths is None:
@@ -396,6 +412,7 @@ def nearest(
     while True:
         found = searched(beam, width)
         recall = share_found(found, truth, 3 * count)
+        log.info("a beam of %d finds %.3f of the nearest of %d queries", beam, recall, len(truth))
         if recall >= TARGET or beam >= total:
             break
         beam, width = beam * WIDER, width * WIDER

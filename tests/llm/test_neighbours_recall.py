@@ -78,7 +78,7 @@ def test_many_copies_of_one_vector(spark):
         assert [i for _, i in got] == [i for i in range(22) if i != q][:20]
 
 
-def test_spread_out_vectors_with_the_parameters_of_the_query(spark, tmp_path):
+def test_spread_out_vectors_with_the_parameters_of_the_query(spark, tmp_path, caplog):
     """30,000 vectors of no structure at all: searches widen until the sampled recall is reached."""
     import pyarrow as pa
     import pyarrow.parquet as pq
@@ -88,8 +88,10 @@ def test_spread_out_vectors_with_the_parameters_of_the_query(spark, tmp_path):
     for i in range(8):
         own = np.arange(n)[i::8]
         pq.write_table(pa.table({"vec_id": own, "embedding": pa.array(list(x[own]), pa.list_(pa.float32()))}), tmp_path / f"{i}.parquet")
-    out = neighbours.nearest(spark.read.parquet(str(tmp_path)), lambda v: v % 200 == 0).toPandas()
-    assert out.sampled_recall.iloc[0] >= neighbours.TARGET
+    with caplog.at_level("INFO", logger=neighbours.__name__):
+        out = neighbours.nearest(spark.read.parquet(str(tmp_path)), lambda v: v % 200 == 0).toPandas()
+    told = [r.args[:2] for r in caplog.records if "beam" in r.msg]
+    assert told[-1][1] >= neighbours.TARGET and [b for b, _ in told] == [neighbours.BEAM * neighbours.WIDER**i for i in range(len(told))]
     hits = 0
     for q, rows in out.groupby("query_id"):
         score = x.astype(float) @ x[q].astype(float)
