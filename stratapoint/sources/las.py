@@ -251,8 +251,9 @@ class LasReader(DataSourceReader):
                     out += [PointRange(i, path, a, min(a + self.step, whole), asdict(header), found) for a in range(0, whole, self.step)]
         return out
 
-    def read(self, partition: PointRange) -> Iterator[pa.RecordBatch]:
-        yield from read_range(partition)
+    def read(self, partition: PointRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # Spark asks once where no file is left
+            yield from read_range(partition)
 
 
 class SkippingLasReader(LasReader):
