@@ -46,7 +46,7 @@ TREES, GROUP = 8, 512
 #: Vectors on which the hyperplanes' positions are chosen, about, and entry nodes of a band.
 SAMPLE_ROWS, ENTRIES = 16_384, 256
 #: Nodes a search keeps, and nodes it looks at in a step.
-BEAM, WIDTH = 256, 96
+BEAM, WIDTH = 1024, 384
 #: Nodes or queries that one group of a Python stage holds, about.
 BUCKET = 1024
 
