@@ -94,13 +94,15 @@ def placed(points: DataFrame) -> DataFrame:
 
 def load_files(
     spark: SparkSession, paths: list[str], store: TileStore, mode: str, config: IndexConfig, scratch: Callable[[DataFrame, str], DataFrame],
-    on_header: Callable[[dict], None] | None = None, on_progress: Callable[[str, int, int], None] | None = None,
+    on_header: Callable[[dict], None] | None = None, on_progress: Callable[[int, str, int], None] | None = None,
+    on_points: Callable[[str, int, int], None] | None = None,
 ) -> DataFrame:
     """Reads LAS files into the store, all in one plan, and returns a row of figures for each.
 
     Headers are read in tasks and reported, in order, before any point is. What the store held is replaced in one commit once all is
     written; a file that cannot be read, or has no point that can be projected, ends the load and leaves the store as it was.
-    Times are those of the whole load, shared out by the files' points. on_progress gets the step, the points it has done and all points, from the running job.
+    Times are those of the whole load, shared out by the files' points. on_progress gets file, step ("indexed", then "saved") and valid points of each file once its points are in the
+    store, in order; on_points gets the step, the points it has done and all points while the job that reads them runs.
     """
     head = scratch(headers(spark, paths), "headers")
     if on_header:
@@ -108,7 +110,7 @@ def load_files(
             on_header(row.asDict())
     total = head.agg(F.coalesce(F.sum("whole_points"), F.lit(0))).first()[0]
     began = time.monotonic()
-    with reported(spark, "read", total, on_progress) as counter:
+    with reported(spark, "read", total, on_points) as counter:
         points = scratch(placed(points_of(head, counter=counter)), "points")
     counts = points.groupBy("file_index").agg(F.count(F.lit(1)).alias("valid_point_count"))
     counts = scratch(head.select("file_index", "path", "whole_points", *CRS_COLUMNS).join(counts, "file_index", "left").fillna(0, ["valid_point_count"]), "valid-counts")
@@ -118,12 +120,12 @@ def load_files(
     index = build_index(points, mode, forest_of(head, mode == "m3no", config, scratch), config, None, scratch)
     tiles = scratch(index.tiles, "tiles")
     indexed = time.monotonic()
-    if on_progress:
-        on_progress("indexed", total, total)
     store.save(tiles, index.samples.withColumn("kind", F.lit("sample")).unionByName(index.full.withColumn("kind", F.lit("full"))))
     saved = time.monotonic()
     if on_progress:
-        on_progress("saved", total, total)
+        for row in counts.orderBy("file_index").toLocalIterator():
+            for step in ("indexed", "saved"):
+                on_progress(row.file_index, step, row.valid_point_count)
     part = F.col("whole_points") / max(1, total)
     spent = {f"{name}_ms": part * (1000 * (b - a)) for name, a, b in (("read", began, read), ("index", read, indexed), ("save", indexed, saved))}
     return counts.select(
