@@ -59,13 +59,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Code:
-    """A Huffman tree: where each symbol's decisions begin, how many they are, their places in the tree and their outcomes."""
+    """A Huffman tree: where each symbol's decisions begin and how many they are; of each decision its place in the tree, its depth (7 at
+    most) and its outcome, in one number. A block of empty decisions follows that of the symbols."""
 
     start: np.ndarray
     length: np.ndarray
-    place: np.ndarray
-    bit: np.ndarray
-    depth: np.ndarray
+    steps: np.ndarray
 
     @classmethod
     def of(cls, counts: list[int]) -> Code:
@@ -83,19 +82,49 @@ class Code:
             length += up
             at = np.where(up, parent[at], at)
         start = np.cumsum(length) - length
-        place, bit, depth = np.zeros(length.sum(), np.uint32), np.zeros(length.sum(), np.uint8), np.zeros(length.sum(), np.uint8)
+        steps = np.zeros(length.sum() + BLOCK, np.uint32)
         symbol, at, left = np.arange(n), np.arange(n), length.copy()
         while len(symbol := symbol[left[symbol] > 0]):
             node, left[symbol] = at[symbol], left[symbol] - 1
             here = start[symbol] + left[symbol]
-            place[here], bit[here], depth[here] = parent[node] - n + 1, side[node], np.minimum(left[symbol], 7)
+            steps[here] = parent[node] - n + 1 << 4 | np.minimum(left[symbol], 7) << 1 | side[node]
             at[symbol] = parent[node]
-        return cls(start, length, place * _A, bit, depth)
+        return cls(start, length, steps)
+
+    @property
+    def place(self) -> np.ndarray:
+        return places(self.steps)
+
+    @property
+    def bit(self) -> np.ndarray:
+        return bits(self.steps)
 
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of a sequence of symbols: the index of each decision, and how many each symbol has."""
-        n = self.length[symbols]
-        return np.repeat(self.start[symbols] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+        return _runs(self.start[symbols], self.length[symbols])
+
+    def blocks(self, symbols: np.ndarray, contexts: list[np.ndarray | None], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray | None], np.ndarray]:
+        """As decisions, of texts of so many symbols, each filled up to whole blocks with empty decisions; and the contexts that go with
+        them, and how many decisions each text has without these."""
+        start, n, ends = self.start[symbols], self.length[symbols], np.cumsum(sizes)
+        decided = np.concatenate(([0], np.cumsum(n)))
+        held = decided[ends] - decided[ends - sizes]
+        at, n = _runs(np.insert(start, ends, len(self.steps) - BLOCK), np.insert(n, ends, -held % BLOCK))
+        return at, n, [None if c is None else np.insert(c, ends, 0) for c in contexts], held
+
+
+def _runs(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.repeat(start - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return at, n
+
+
+def places(steps: np.ndarray) -> np.ndarray:
+    return (steps >> np.uint32(4)) * _A
+
+
+def bits(steps: np.ndarray) -> np.ndarray:
+    return (steps & np.uint32(1)).astype(np.uint8)
 
 
 def slots(place: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -143,7 +172,8 @@ class Tables:
     def add(self, symbols: np.ndarray, contexts: list[np.ndarray], weights: np.ndarray | None = None) -> None:
         """contexts[0] is None where nothing before a symbol counts: then its decisions follow from how often it occurs."""
         at, n = self.code.decisions(symbols)
-        place, bit = self.code.place[at], self.code.bit[at]
+        steps = self.code.steps[at]
+        place, bit = places(steps), steps & np.uint32(1)
         by = np.uint32(1) if weights is None else np.repeat(weights, n).astype(np.uint32)
         for counts, context in zip(self.counts, contexts):
             if context is None:
@@ -157,7 +187,8 @@ class Tables:
     def parts(self) -> Iterator[pa.RecordBatch]:
         """Context, segment and packed counts of every segment that has any."""
         code = self.code
-        np.add.at(self.counts[0], slots(code.place, NOTHING) << np.uint32(1) | code.bit, np.repeat(self.symbols, code.length).astype(np.uint32))
+        steps = code.steps[:-BLOCK]
+        np.add.at(self.counts[0], slots(places(steps), NOTHING) << np.uint32(1) | bits(steps), np.repeat(self.symbols, code.length).astype(np.uint32))
         for k, counts in enumerate(self.counts):
             for s in range(0, len(counts), SEGMENT):
                 if (part := counts[s : s + SEGMENT]).any():
@@ -210,39 +241,39 @@ class Mixer:
         """What the first table says of every decision where nothing before it counts."""
         return self.tables[0][slots(self.code.place, NOTHING)]
 
-    def inputs(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each decision: the stretched predictions, the gate and the outcome; and decisions of each symbol."""
-        at, n = self.code.decisions(symbols)
-        place, gate = self.code.place[at], self.code.depth[at]
+    def inputs(self, at: np.ndarray, n: np.ndarray, contexts: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each decision: the stretched predictions, the gate and the outcome."""
+        steps = self.code.steps[at]
+        place, gate = places(steps), (steps >> np.uint32(1) & np.uint32(7)).astype(np.uint8)
         x = np.empty((len(self.tables), len(at)), np.float32)
         for k, (table, context) in enumerate(zip(self.tables, contexts)):
-            got = self.alone[at] if context is None else table[slots(place, np.repeat(context, n))]
+            got = self.alone[at] if context is None else table[slots(place, np.repeat(context, n)).astype(np.intp)]
             seen = got != NEVER
             np.multiply(got, seen, out=x[k], casting="unsafe")
             if k:
                 gate += seen.view(np.uint8) << np.uint8(k + 2)
         x *= np.float32(1 / SCALE)
-        return x, gate, self.code.bit[at], n
+        return x, gate.astype(np.intp), bits(steps)
 
     def sums(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = np.zeros(len(gate), np.float32)
-        for k in range(len(x)):
-            z += self.weights[:, k][gate] * x[k]
+        for weights, inputs in zip(np.ascontiguousarray(self.weights.T), x):
+            z += weights[gate] * inputs
         return z
 
     def log10(self, z: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Of the outcome of each decision."""
-        step = np.clip((z + 8) * 4, 0, STEPS - 1).astype(np.int32)
-        step += gate.astype(np.int32) * STEPS
+        step = np.clip((z + 8) * 4, 0, STEPS - 1).astype(np.intp)
+        step += gate * STEPS
         p = self.refined.reshape(-1)[step]
         p += 1 / (1 + np.exp(-z))
         p *= np.float32(0.5)
         np.clip(p, 1e-4, 1 - 1e-4, out=p)
-        return np.log10(np.where(bit, p, 1 - p))
+        return np.log(np.where(bit, p, 1 - p)) * np.float32(1 / math.log(10))
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, seen: np.ndarray) -> None:
         """Moves the weights online, and counts in seen what came of which sum."""
-        gates, size = len(self.weights), 2048
+        gates, size, steps = len(self.weights), 2048, np.empty(len(gate), np.int64)
         for i in range(0, len(gate), size):
             g, b, own = gate[i : i + size], bit[i : i + size], x[:, i : i + size]
             z = self.sums(own, g)
@@ -250,36 +281,30 @@ class Mixer:
             often = np.sqrt(np.maximum(1, np.bincount(g, minlength=gates)))
             for k in range(len(x)):
                 self.weights[:, k] += RATE * np.bincount(g, error * own[k], gates) / often
-            step = np.clip((z + 8) * 4, 0, STEPS - 1).astype(np.int32)
-            seen += np.bincount((g.astype(np.int32) * STEPS + step) * 2 + b, minlength=2 * gates * STEPS)
+            steps[i : i + size] = np.clip((z + 8) * 4, 0, STEPS - 1)
+        seen += np.bincount((gate * STEPS + steps) * 2 + bit, minlength=2 * gates * STEPS)
 
 
 def adapted(x: np.ndarray, z: np.ndarray, bit: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Sums with each text's own weights added, which move after every block by the errors in it.
 
-    Texts follow each other with `size` decisions each; own (texts, contexts) holds their weights and is left as they end. For blocks to be copied whole, each
-    text is laid out from the beginning of a block on, nothing (inputs of zero) behind its end.
+    Texts follow each other with `size` decisions each, whole blocks of them, inputs of zero behind a text's end; own (texts, contexts) holds
+    their weights and is left as they end.
     """
-    blocks = -(-size // BLOCK)
+    blocks = size // BLOCK
     first = np.cumsum(blocks) - blocks
-    at = np.arange(len(z)) + np.repeat(first * BLOCK - (np.cumsum(size) - size), size)
-    total = int(blocks.sum()) * BLOCK
-    laid = np.zeros((len(x) + 2, total), np.float32)
-    for row, values in zip(laid, (*x, z, bit)):
-        row[at] = values
-    laid = laid.reshape(len(laid), -1, BLOCK)
+    x, z, bit = x.reshape(len(x), -1, BLOCK), z.reshape(-1, BLOCK).copy(), bit.reshape(-1, BLOCK)
     order = np.argsort(-blocks, kind="stable")
     falling = -blocks[order]
     for step in range(int(blocks.max(initial=0))):
         texts = order[: np.searchsorted(falling, -step, "left")]
         here = first[texts] + step
-        part = laid[:, here]
-        inputs, now = part[:-2], part[-2]
+        inputs, now = x[:, here], z[here]
         now += np.einsum("ktb,tk->tb", inputs, own[texts])
-        laid[-2, here] = now
-        error = part[-1] - 1 / (1 + np.exp(-now))
+        z[here] = now
+        error = bit[here] - 1 / (1 + np.exp(-now))
         own[texts] += OWN_RATE * np.einsum("ktb,tb->tk", inputs, error)
-    return laid[-2].reshape(-1)[at]
+    return z.reshape(-1)
 
 
 @dataclass
@@ -426,7 +451,7 @@ def learn_words(docs: DataFrame, numbers: dict[bytes, int], code: Code) -> Mixer
         for batch in portions(batches, "text", 1 << 12, PORTION):
             for group in stretches(batch.column("text").to_pylist()):
                 symbols, contexts, *_ = reader.read(group)
-                x, gate, bit, _ = mixer.inputs(symbols, contexts)
+                x, gate, bit = mixer.inputs(*code.decisions(symbols), contexts)
                 mixer.learn(x, gate, bit, seen)
                 decisions += len(bit)
         if decisions:
@@ -468,7 +493,7 @@ def learn_spelling(rare: DataFrame, code: Code) -> Mixer:
         seen = np.zeros(2 * len(mixer.weights) * STEPS)
         for own, _ in words(batches, True):
             symbols, contexts, _ = spelling(own)
-            x, gate, bit, _ = mixer.inputs(symbols, contexts)
+            x, gate, bit = mixer.inputs(*mixer.code.decisions(symbols), contexts)
             mixer.learn(x, gate, bit, seen)
             decisions += len(bit)
         if decisions:
@@ -484,7 +509,8 @@ def spelt(rare: DataFrame, mixer: Mixer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "word", 10_000, PORTION):
             symbols, contexts, sizes = spelling([w.encode() for w in batch.column("word").to_pylist()])
-            x, gate, bit, n = sent.value.inputs(symbols, contexts)
+            at, n = sent.value.code.decisions(symbols)
+            x, gate, bit = sent.value.inputs(at, n, contexts)
             logs = sent.value.log10(sent.value.sums(x, gate), gate, bit).astype(float)
             ends = np.cumsum(np.add.reduceat(n, np.cumsum(sizes) - sizes))
             total = np.concatenate(([0.0], np.cumsum(logs)))[np.concatenate(([0], ends))]
@@ -512,14 +538,16 @@ def scored_words(docs: DataFrame, language: Language, mixer: Mixer) -> DataFrame
             own = np.zeros((1, WORD_CONTEXTS), np.float32)
             for group in stretches(texts):
                 symbols, contexts, sizes, words = reader.read(group)
-                x, gate, bit, n = mixer.inputs(symbols, contexts)
-                ends = np.cumsum(sizes)
-                decided = np.concatenate(([0], np.cumsum(n)))
-                begin, held = decided[ends - sizes], decided[ends] - decided[ends - sizes]
+                at, n, contexts, held = mixer.code.blocks(symbols, contexts, sizes)
+                x, gate, bit = mixer.inputs(at, n, contexts)
+                ends, whole = np.cumsum(sizes), -(-held // BLOCK) * BLOCK
+                begin = np.cumsum(whole) - whole
+                for a, b in zip((begin + held).tolist(), (begin + whole).tolist()):
+                    x[:, a:b] = 0
                 carried = np.zeros((len(group), WORD_CONTEXTS), np.float32)
                 if not group[0][2]:
                     carried[0] = own
-                z = adapted(x, mixer.sums(x, gate), bit, held, carried)
+                z = adapted(x, mixer.sums(x, gate), bit, whole, carried)
                 own = carried[-1]
                 logs = np.concatenate(([0.0], np.cumsum(mixer.log10(z, gate, bit), dtype=float)))
                 is_rare = symbols == ESCAPE
