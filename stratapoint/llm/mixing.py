@@ -41,6 +41,8 @@ FOLDS, HELD_OUT, LESSONS = 10, 0, 1
 COMMON, SLOT_BITS, SEGMENT = 1 << 18, 21, 1 << 16
 SMOOTHING = 0.1
 STRETCH, PORTION = 50_000, 300_000
+#: Distinct words of a task at which their counts leave it.
+HELD = 300_000
 #: Decisions after which a text's own weights move, and how far; the same for the shared weights of the gates.
 BLOCK, OWN_RATE, RATE = 512, 0.002, 0.02
 #: Steps of the final refinement: from -8 to 8 by quarters.
@@ -182,20 +184,22 @@ class Tables:
             at = slots(place, np.repeat(context, n))
             at <<= np.uint32(1)
             at |= bit
-            np.add.at(counts, at, by)
+            np.add.at(counts, at.astype(np.intp), by)
 
     def parts(self) -> Iterator[pa.RecordBatch]:
-        """Context, segment and packed counts of every segment that has any."""
+        """Context, segment and packed counts of every segment that has any, as numbers of the fewest bytes that hold them."""
         code = self.code
         steps = code.steps[:-BLOCK]
         np.add.at(self.counts[0], slots(places(steps), NOTHING) << np.uint32(1) | bits(steps), np.repeat(self.symbols, code.length).astype(np.uint32))
         for k, counts in enumerate(self.counts):
             for s in range(0, len(counts), SEGMENT):
-                if (part := counts[s : s + SEGMENT]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s // SEGMENT], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)])], ["context", "segment", "counts"])
+                part = counts[s : s + SEGMENT]
+                if most := int(part.max()):
+                    part = part.astype(np.min_scalar_type(most))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s // SEGMENT], pa.int32()), pa.array([part.itemsize], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)])], ["context", "segment", "width", "counts"])
 
 
-PARTS = "context int, segment int, counts binary"
+PARTS, SUMS = "context int, segment int, width int, counts binary", "context int, segment int, counts binary"
 
 
 def stretched(parts: DataFrame, contexts: int) -> np.ndarray:
@@ -204,8 +208,8 @@ def stretched(parts: DataFrame, contexts: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, s, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(pa.decompress(packed, 4 * SEGMENT, "zstd"), np.uint32)
+            for k, s, width, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(pa.decompress(packed, width * SEGMENT, "zstd"), f"u{width}")
                 own[k, s] = own[k, s] + part if (k, s) in own else part.astype(np.int64)
         for (k, s), n in own.items():
             zeros, ones = n[0::2], n[1::2]
@@ -214,7 +218,7 @@ def stretched(parts: DataFrame, contexts: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s], pa.int32()), pa.array([out.tobytes()])], ["context", "segment", "counts"])
 
     tables = np.full((contexts, 1 << SLOT_BITS), NEVER, np.int8)
-    for r in parts.repartition(64, "context", "segment").mapInArrow(run, PARTS).collect():
+    for r in parts.repartition(64, "context", "segment").mapInArrow(run, SUMS).collect():
         at = r.segment * (SEGMENT // 2)
         tables[r.context, at : at + SEGMENT // 2] = np.frombuffer(r.counts, np.int8)
     return tables
@@ -261,12 +265,12 @@ class Mixer:
             z += weights[gate] * inputs
         return z
 
-    def log10(self, z: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """Of the outcome of each decision."""
+    def log10(self, z: np.ndarray, gate: np.ndarray, bit: np.ndarray, chances: np.ndarray | None = None) -> np.ndarray:
+        """Of the outcome of each decision; chances are what the sums z say of a one."""
         step = np.clip((z + 8) * 4, 0, STEPS - 1).astype(np.intp)
         step += gate * STEPS
         p = self.refined.reshape(-1)[step]
-        p += 1 / (1 + np.exp(-z))
+        p += 1 / (1 + np.exp(-z)) if chances is None else chances
         p *= np.float32(0.5)
         np.clip(p, 1e-4, 1 - 1e-4, out=p)
         return np.log(np.where(bit, p, 1 - p)) * np.float32(1 / math.log(10))
@@ -285,8 +289,8 @@ class Mixer:
         seen += np.bincount((gate * STEPS + steps) * 2 + bit, minlength=2 * gates * STEPS)
 
 
-def adapted(x: np.ndarray, z: np.ndarray, bit: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Sums with each text's own weights added, which move after every block by the errors in it.
+def adapted(x: np.ndarray, z: np.ndarray, bit: np.ndarray, size: np.ndarray, own: np.ndarray, chances: np.ndarray | None = None) -> np.ndarray:
+    """Sums with each text's own weights added, which move after every block by the errors in it; chances is filled with what they say of a one.
 
     Texts follow each other with `size` decisions each, whole blocks of them, inputs of zero behind a text's end; own (texts, contexts) holds
     their weights and is left as they end.
@@ -302,7 +306,10 @@ def adapted(x: np.ndarray, z: np.ndarray, bit: np.ndarray, size: np.ndarray, own
         inputs, now = x[:, here], z[here]
         now += np.einsum("ktb,tk->tb", inputs, own[texts])
         z[here] = now
-        error = bit[here] - 1 / (1 + np.exp(-now))
+        chance = 1 / (1 + np.exp(-now))
+        if chances is not None:
+            chances[here] = chance
+        error = bit[here] - chance
         own[texts] += OWN_RATE * np.einsum("ktb,tb->tk", inputs, error)
     return z.reshape(-1)
 
@@ -367,10 +374,16 @@ class Reader:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word and n, its occurrences in learning rows; the end is the empty word. Words of other rows are there with 0."""
 
+    def told(counts: Counter[bytes], others: set[bytes]) -> Iterator[pa.RecordBatch]:
+        words = [*counts, *(others - counts.keys())]
+        n = [*counts.values(), *[0] * (len(words) - len(counts))]
+        for i in range(0, len(words), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 100_000], pa.binary()).cast(pa.string()), pa.array(n[i : i + 100_000], pa.int64())], ["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text", 1 << 20, 4_000_000):
-            counts: Counter[bytes] = Counter()
-            others: set[bytes] = set()
+        counts: Counter[bytes] = Counter()
+        others: set[bytes] = {b""}
+        for batch in portions(batches, "text", 1 << 20, 1_000_000):
             for text, learns in zip(batch.column("text").to_pylist(), batch.column("learns").to_pylist()):
                 words = words_of(text)
                 if learns:
@@ -378,11 +391,10 @@ def vocabulary(docs: DataFrame) -> DataFrame:
                     counts[b""] += 1
                 else:
                     others.update(words)
-            others.add(b"")
-            words = [*counts, *(others - counts.keys())]
-            n = [*counts.values(), *[0] * (len(words) - len(counts))]
-            for i in range(0, len(words), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 100_000], pa.binary()).cast(pa.string()), pa.array(n[i : i + 100_000], pa.int64())], ["word", "n"])
+            if len(counts) + len(others) >= HELD:
+                yield from told(counts, others)
+                counts, others = Counter(), {b""}
+        yield from told(counts, others)
 
     found = docs.select("text", (F.col("part") != HELD_OUT).alias("learns")).mapInArrow(run, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -547,9 +559,13 @@ def scored_words(docs: DataFrame, language: Language, mixer: Mixer) -> DataFrame
                 carried = np.zeros((len(group), WORD_CONTEXTS), np.float32)
                 if not group[0][2]:
                     carried[0] = own
-                z = adapted(x, mixer.sums(x, gate), bit, whole, carried)
+                chances = np.empty((len(at) // BLOCK, BLOCK), np.float32)
+                z = adapted(x, mixer.sums(x, gate), bit, whole, carried, chances)
                 own = carried[-1]
-                logs = np.concatenate(([0.0], np.cumsum(mixer.log10(z, gate, bit), dtype=float)))
+                logs = mixer.log10(z, gate, bit, chances.reshape(-1))
+                for a, b in zip((begin + held).tolist(), (begin + whole).tolist()):
+                    logs[a:b] = 0
+                logs = np.add.reduceat(logs, begin, dtype=float)
                 is_rare = symbols == ESCAPE
                 common = np.concatenate(([0.0], np.cumsum(np.where(is_rare, 0.0, base[symbols]))))
                 learned = np.concatenate(([0], np.cumsum(~is_rare & (language.counts[symbols] > 0))))
@@ -558,7 +574,7 @@ def scored_words(docs: DataFrame, language: Language, mixer: Mixer) -> DataFrame
                     tokens[row] += b - a
                     known[row] += int(learned[b] - learned[a])
                     base_score[row] += float(common[b] - common[a])
-                    score[row] += float(logs[begin[i] + held[i]] - logs[begin[i]])
+                    score[row] += float(logs[i])
                     size[row] += sum(map(len, own_words)) + b - a
                     rare[row].update(map(bytes.decode, words[i]))
             listed = pa.array([[{"word": w, "times": k} for w, k in c.items()] for c in rare], RARE)
