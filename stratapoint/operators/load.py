@@ -15,7 +15,7 @@ from stratapoint.sources.las import headers, points_of
 from stratapoint.sources.progress import reported
 from stratapoint.sources.tiles import TileStore
 
-from .sampling import bottom_samples, grid_counts, grid_levels, grid_samples
+from .sampling import grid_counts, grid_levels, grid_samples, of_every_level, sample_tops
 from .tiling import CRS_COLUMNS, Forest, leaf_points, pyramid, tile_records
 
 CRS = tuple[str, int, int | None, bool | None, str]
@@ -26,18 +26,36 @@ POINT = ["tile_id", "file_index", "depth", "point_index", "mx", "my", "z", "clas
 
 @dataclass
 class Index:
-    """Tile records; the points of samples and of leaves, with tile_id and depth; the sample of the roots, unless not wanted."""
+    """Tile records; the points of samples and of leaves, with tile_id and depth; the sample of the roots, unless not wanted; all of these points as a store takes them."""
 
     tiles: DataFrame
     samples: DataFrame
     full: DataFrame
     preview: DataFrame | None
+    points: DataFrame
+
+
+#: Points of a file in a part of its nested points, about, and parts of a file at most.
+PART_POINTS, PARTS = 500_000, 256
+
+
+def nested_points(points: DataFrame, bounds: Bounds | Forest, depth: int, size: int, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Each point once, with its quadtree leaf's tile_id and `depth`, and `top`, the first level from which on the reservoirs of the tiles on its way hold it."""
+    hashed = points.withColumn("_hash", F.md5(F.concat(F.lit(f"{SEED}:"), F.col("point_index").cast("string")).cast("binary")))
+    return sample_tops(hashed, bounds, depth, size, "_hash", store).withColumn("depth", F.col("levels")).select(*POINT, "levels", "top")
 
 
 def tile_samples(points: DataFrame, bounds: Bounds | Forest, depth: int, size: int, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """A reservoir of each quadtree tile on every level, out of all points below it."""
-    hashed = points.withColumn("_hash", F.md5(F.concat(F.lit(f"{SEED}:"), F.col("point_index").cast("string")).cast("binary")))
-    return bottom_samples(hashed, bounds, depth, size, "_hash", store).select(*POINT)
+    return of_every_level(nested_points(points, bounds, depth, size, store)).select(*POINT)
+
+
+def in_parts(nested: DataFrame) -> DataFrame:
+    """nested points as a store takes them, with `part`: a file's leaves are dealt over as many parts as its number of points asks for."""
+    counts = nested.groupBy("file_index").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.least(F.ceil(F.col("_n") / PART_POINTS), F.lit(PARTS)).cast("int")
+    rows = nested.join(counts, "file_index").withColumn("part", F.pmod(F.xxhash64("tile_id"), parts).cast("int"))
+    return rows.select(*POINT, F.lit("nested").alias("kind"), "top", "part")
 
 
 def build_index(
@@ -54,9 +72,11 @@ def build_index(
         levels = grid_levels(points, bounds, depth, config.grid_cells, lambda level, df: store(df, f"level-{level}"))
         samples, counts = grid_samples(levels).select(*POINT), store(grid_counts(levels), "sample-counts")
     else:
-        samples, counts = tile_samples(points, bounds, depth, config.tile_sample_points, store), None
+        nested, counts = nested_points(points, bounds, depth, config.tile_sample_points, store), None
+        samples = of_every_level(nested).select(*POINT)
     tiles = tile_records(pyramid(points, bounds, depth), bounds, depth, config, crs, counts)
-    return Index(tiles, samples, full, samples.where("depth = 0") if preview else None)
+    held = samples.withColumn("kind", F.lit("sample")).unionByName(full.withColumn("kind", F.lit("full"))) if mode == "m3no" else in_parts(nested)
+    return Index(tiles, samples, full, samples.where("depth = 0") if preview else None, held)
 
 
 def roots_of(headers: DataFrame, solid: bool, config: IndexConfig) -> DataFrame:
@@ -111,7 +131,7 @@ def load_files(
     total = head.agg(F.coalesce(F.sum("whole_points"), F.lit(0))).first()[0]
     began = time.monotonic()
     with reported(spark, "read", total, on_points) as counter:
-        points = scratch(placed(points_of(head, counter=counter)), "points")
+        points = scratch(placed(points_of(head, counter=counter)).drop("lng", "lat"), "points")
     counts = points.groupBy("file_index").agg(F.count(F.lit(1)).alias("valid_point_count"))
     counts = scratch(head.select("file_index", "path", "whole_points", *CRS_COLUMNS).join(counts, "file_index", "left").fillna(0, ["valid_point_count"]), "valid-counts")
     if empty := counts.where("valid_point_count = 0").orderBy("file_index").first():
@@ -120,7 +140,7 @@ def load_files(
     index = build_index(points, mode, forest_of(head, mode == "m3no", config, scratch), config, None, scratch)
     tiles = scratch(index.tiles, "tiles")
     indexed = time.monotonic()
-    store.save(tiles, index.samples.withColumn("kind", F.lit("sample")).unionByName(index.full.withColumn("kind", F.lit("full"))))
+    store.save(tiles, index.points)
     saved = time.monotonic()
     if on_progress:
         for row in counts.orderBy("file_index").toLocalIterator():

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stratapoint.config import Bounds, IndexConfig, LodConfig
+from stratapoint.sources.scratch import stored
 
 FLAT = Bounds(456000.0, 3110000.0, 460000.0, 3114000.0)
 SOLID = Bounds(456000.0, 3110000.0, 460000.0, 3114000.0, 0.0, 300.0)
@@ -47,9 +48,20 @@ def decoded(points: DataFrame) -> DataFrame:
     })
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+_RAW: dict[tuple[str, str], DataFrame] = {}
+
+
+def held_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_points numbered and stored once in a session, for what reads them more than once."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _RAW:
+        _RAW[key] = stored(raw_points(spark, sf_dir), "raw-points")
+    return _RAW[key]
+
+
+def points(spark: SparkSession, sf_dir: str, held: bool = False) -> DataFrame:
     """file_index, point_index, mx, my, z, classification."""
-    at = decoded(raw_points(spark, sf_dir))
+    at = decoded((held_points if held else raw_points)(spark, sf_dir))
     return at.select("file_index", "point_index", F.col("x").alias("mx"), F.col("y").alias("my"), "z", "classification")
 
 

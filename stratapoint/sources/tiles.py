@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Writes of tile metadata that a reader merges at most; one more merges them into a single one.
 COMPACT_AFTER = 10
+#: Tiles of a list that is sent to all tasks, at most.
+SENT_KEYS = 100_000
 
 
 def latest(batches: DataFrame, key: str = "id", version: str = "batch") -> DataFrame:
@@ -46,6 +48,9 @@ class TileStore:
 
     Points lie in partitions by file, kind and depth, sorted by tile, so that a lookup reads few row groups. The sample of a tile is the one of the last write
     that has the tile's points of kind `sample` (its `sample_write`); full points of all writes count.
+
+    A point of kind `nested` is there once, for its leaf, and stands for many rows: it is a full point of the leaf and in the samples of all tiles on the way to
+    it from the depth `top` on. Readers see rows of the kinds `full` and `sample` only.
     """
 
     def __init__(self, spark: SparkSession, path: str, version: int | None = None):
@@ -126,7 +131,10 @@ class TileStore:
     def _write(self, tiles: DataFrame | None, points: DataFrame | None, batch: int) -> Write:
         name = uuid.uuid4().hex
         if points is not None:
-            dealt = points.repartition("file_index", "kind", "depth", F.pmod(F.xxhash64("tile_id"), F.lit(16))).sortWithinPartitions("tile_id", "point_index")
+            part = F.pmod(F.xxhash64("tile_id"), F.lit(16)).cast("int")
+            part = F.coalesce("part", part) if "part" in points.columns else part
+            order = ["file_index", "kind", "depth", *(["top"] if "top" in points.columns else []), "tile_id", "point_index"]
+            dealt = points.repartition("file_index", "kind", "depth", part).drop("part").sortWithinPartitions(*order)
             dealt.write.partitionBy("file_index", "kind", "depth").parquet(f"{self.path}/data/{name}/points")
         if tiles is not None:
             own = tiles.drop("sample_write").withColumn("sample_write", F.lit(name if points is not None else None).cast("string"))
@@ -201,31 +209,71 @@ class TileStore:
     def points(self) -> DataFrame:
         return self._points(None)
 
-    def _points(self, chosen: Column | None) -> DataFrame:
-        """Points that count, of the partitions and tiles that `chosen` leaves."""
-        _, writes = self.snapshot()
-        own = [w for w in writes if w.points]
-        if not own:
-            return self.spark.read.parquet(f"{self.path}/points")  # the same
+    def _raw(self) -> DataFrame | None:
+        """The rows of all writes, each with its write's name."""
         rows = None
-        for w in own:
-            one = self.spark.read.parquet(f"{self.path}/data/{w.name}/points").withColumn("_write", F.lit(w.name))
-            one = one if chosen is None else one.where(chosen)
-            rows = one if rows is None else rows.unionByName(one)
-        if len(own) == 1:
+        for w in self.snapshot()[1]:
+            if w.points:
+                one = self.spark.read.parquet(f"{self.path}/data/{w.name}/points").withColumn("_write", F.lit(w.name))
+                rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+        return rows if rows is not None else self.spark.read.parquet(f"{self.path}/points")  # there is none: as for tiles
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        """Points that count: of samples those of the tile's last write with points."""
+        writes = self.snapshot()[1]
+        if sum(w.points for w in writes) == 1:
             return rows.drop("_write")
         own_sample = self._tiles(writes).select(F.col("id").alias("_id"), "sample_write")
         kept = rows.where("kind = 'sample'").join(own_sample, (F.col("tile_id") == F.col("_id")) & (F.col("_write") == F.col("sample_write")), "left_semi")
         return rows.where("kind <> 'sample'").unionByName(kept).drop("_write")
 
+    def _points(self, chosen: Column | None) -> DataFrame:
+        """Points that count, of the partitions and tiles that `chosen` leaves."""
+        raw = self._raw()
+        pick = lambda rows: rows if chosen is None else rows.where(chosen)
+        if "top" not in raw.columns:
+            return self._last(pick(raw))
+        plain, nested = raw.where("kind <> 'nested'").drop("top"), raw.where("kind = 'nested'")
+        full = nested.drop("top").withColumn("kind", F.lit("full"))
+        sample = nested.where("top <= depth").withColumn("depth", F.explode(F.sequence("top", "depth"))).drop("top")
+        sample = sample.withColumns({"kind": F.lit("sample"), "tile_id": F.expr("substring_index(tile_id, '.', depth + 1)")})
+        return self._last(pick(plain).unionByName(pick(full)).unionByName(pick(sample)))
+
+    def _of_level(self, nested: DataFrame, depth: int) -> DataFrame:
+        """Nested points as rows of the samples of one depth."""
+        rows = nested.where((F.col("top") <= depth) & (F.col("depth") >= depth)).drop("top")
+        return rows.withColumns({"kind": F.lit("sample"), "tile_id": F.substring_index("tile_id", ".", depth + 1), "depth": F.lit(depth)})
+
     def get(self, tile_id: str, kind: str = "sample") -> DataFrame:
         """The points of one tile: file and depth follow from its id and prune the partitions."""
-        return self._points((F.col("file_index") == int(tile_id.split(":")[0])) & (F.col("kind") == kind) & (F.col("depth") == tile_id.count(".")) & (F.col("tile_id") == tile_id))
+        raw, file, depth = self._raw(), F.col("file_index") == int(tile_id.split(":")[0]), tile_id.count(".")
+        rows = raw.where(file & (F.col("kind") == kind) & (F.col("depth") == depth) & (F.col("tile_id") == tile_id))
+        if "top" in raw.columns:
+            own = raw.where(file & (F.col("kind") == "nested"))
+            below = F.col("tile_id") == tile_id
+            if kind == "full":
+                own = own.where(below & (F.col("depth") == depth)).drop("top").withColumn("kind", F.lit("full"))
+            else:
+                own = self._of_level(own.where(below | F.col("tile_id").startswith(f"{tile_id}.")), depth)
+            rows = rows.drop("top").unionByName(own)
+        return self._last(rows)
 
     def get_many(self, wanted: DataFrame) -> DataFrame:
-        """The points of the tiles in wanted (id, source); ids unknown give none. Spark sends a small list to every task."""
+        """The points of the tiles in wanted (id, source), which is read more than once; ids unknown give none. A list of SENT_KEYS tiles at most is sent to every task."""
         keys = wanted.select(F.col("id").alias("tile_id"), F.col("source").alias("kind"), F.substring_index("id", ":", 1).cast("int").alias("file_index"), (F.size(F.split("id", r"\.")) - 1).alias("depth"))
-        return self.points().join(keys, ["file_index", "kind", "depth", "tile_id"], "left_semi")
+        raw, by = self._raw(), ["file_index", "kind", "depth", "tile_id"]
+        sizes = {(r["kind"], r["depth"]): r["n"] for r in keys.groupBy("kind", "depth").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each kind and depth
+        few = sum(sizes.values()) <= SENT_KEYS
+        asked = lambda rows, keys: rows.join(F.broadcast(keys) if few else keys, by, "left_semi")
+        if "top" not in raw.columns:
+            return self._last(asked(raw, keys))
+        nested, rows = raw.where("kind = 'nested'"), asked(raw.where("kind <> 'nested'").drop("top"), keys)
+        if any(kind == "full" for kind, _ in sizes):
+            rows = rows.unionByName(asked(nested.drop("top").withColumn("kind", F.lit("full")), keys.where("kind = 'full'")))
+        for kind, depth in sizes:
+            if kind == "sample":
+                rows = rows.unionByName(asked(self._of_level(nested, depth), keys.where((F.col("kind") == "sample") & (F.col("depth") == depth))))
+        return self._last(rows)
 
     def where(self, low: float, high: float, classes: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
         """Full points of a range of heights and a set of classes, and the leaves (id) that were read for them.
