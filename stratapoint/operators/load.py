@@ -15,7 +15,7 @@ from stratapoint.sources.las import headers, points_of
 from stratapoint.sources.progress import reported
 from stratapoint.sources.tiles import TileStore
 
-from .sampling import grid_counts, grid_levels, grid_samples, of_every_level, sample_tops
+from .sampling import of_every_level, sample_tops, settled, settled_counts, settled_samples
 from .tiling import CRS_COLUMNS, Forest, leaf_points, pyramid, tile_records
 
 CRS = tuple[str, int, int | None, bool | None, str]
@@ -69,8 +69,8 @@ def build_index(
     full = leaf_points(points, bounds, depth)
     full = full.withColumn("depth", F.size(F.split("tile_id", r"\.")) - 1).select(*POINT)
     if mode == "m3no":
-        levels = grid_levels(points, bounds, depth, config.grid_cells, lambda level, df: store(df, f"level-{level}"))
-        samples, counts = grid_samples(levels).select(*POINT), store(grid_counts(levels), "sample-counts")
+        down = settled(points, bounds, depth, config.grid_cells, store)
+        samples, counts = settled_samples(down, bounds, depth).select(*POINT), store(settled_counts(down, bounds, depth), "sample-counts")
     else:
         nested, counts = nested_points(points, bounds, depth, config.tile_sample_points, store), None
         samples = of_every_level(nested).select(*POINT)

@@ -45,7 +45,8 @@ def digit_columns(depth: int) -> list[str]:
     return [f"d{level}" for level in range(1, depth + 1)]
 
 
-def _limits(df: DataFrame, bounds: Bounds | Forest) -> DataFrame:
+def with_limits(df: DataFrame, bounds: Bounds | Forest) -> DataFrame:
+    """df with the box of each row's root, an underscore before its names."""
     ends = [f"{end}_{a}" for a in AXES[: 3 if bounds.solid else 2] for end in ("min", "max")]
     if isinstance(bounds, Forest):
         return bounds.of(df, "depth", *ends)
@@ -67,7 +68,7 @@ def with_digits(points: DataFrame, bounds: Bounds | Forest, depth: int) -> DataF
     """
     axes = AXES[: 3 if bounds.solid else 2]
     column = {"x": F.col("mx"), "y": F.col("my"), "z": F.col("z")}
-    df = _limits(points, bounds)
+    df = with_limits(points, bounds)
     for name in digit_columns(depth):
         df = df.withColumns({f"_mid_{a}": (F.col(f"_min_{a}") + F.col(f"_max_{a}")) / 2 for a in axes})
         upper = {a: column[a] >= F.col(f"_mid_{a}") for a in axes}
@@ -95,7 +96,7 @@ def with_bounds(tiles: DataFrame, bounds: Bounds | Forest, depth: int) -> DataFr
     """
     axes = AXES[: 3 if bounds.solid else 2]
     none = F.lit(None).cast("double")
-    tiles = _limits(tiles, bounds)
+    tiles = with_limits(tiles, bounds)
     root = F.struct(*((F.col(f"_{end}_{a}") if a in axes else none).alias(f"{end}_{a}") for a in AXES for end in ("min", "max")))
 
     def half(box: Column, digit: Column) -> Column:
@@ -114,7 +115,7 @@ def with_bounds(tiles: DataFrame, bounds: Bounds | Forest, depth: int) -> DataFr
 def with_bounds_of_points(points: DataFrame, bounds: Bounds | Forest, depth: int) -> DataFrame:
     """The same for points that all have `depth` digits, in projections that Spark compiles."""
     axes = AXES[: 3 if bounds.solid else 2]
-    df = _limits(points, bounds)
+    df = with_limits(points, bounds)
     for name in digit_columns(depth):
         df = df.withColumns({f"_mid_{a}": (F.col(f"_min_{a}") + F.col(f"_max_{a}")) / 2 for a in axes})
         df = df.withColumns(_halved(axes, {a: F.col(name).bitwiseAND(2**i) != 0 for i, a in enumerate(axes)}))

@@ -46,16 +46,22 @@ def quad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _TILES[key]
 
 
-def grid_levels(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """All levels and cells of the octree's samples, each level stored."""
-    return sampling.grid_levels(cloud.points(spark, sf_dir, held=True), cloud.SOLID, cloud.DEPTH, cloud.CONFIG.grid_cells, lambda level, df: stored(df, f"level-{level}"))
+_SETTLED: dict[tuple, DataFrame] = {}
+
+
+def settled(spark: SparkSession, sf_dir: str, depth: int = cloud.DEPTH, cells: int = cloud.CONFIG.grid_cells) -> DataFrame:
+    """Where each point of the octree's samples ends, stored once in a session."""
+    key = spark.sparkContext.applicationId, sf_dir, depth, cells
+    if key not in _SETTLED:
+        _SETTLED[key] = sampling.settled(cloud.points(spark, sf_dir, held=True), cloud.SOLID, depth, cells, stored)
+    return _SETTLED[key]
 
 
 def octo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The octree's records with what arrived at each tile and what its sample keeps, stored once in a session."""
     key = spark.sparkContext.applicationId, f"{sf_dir}#octree"
     if key not in _TILES:
-        counts = stored(sampling.grid_counts(grid_levels(spark, sf_dir)), "sample-counts")
+        counts = stored(sampling.settled_counts(settled(spark, sf_dir), cloud.SOLID, cloud.DEPTH), "sample-counts")
         tiles = tiling.pyramid(cloud.points(spark, sf_dir, held=True), cloud.SOLID, cloud.DEPTH)
         _TILES[key] = stored(tiling.tile_records(tiles, cloud.SOLID, cloud.DEPTH, cloud.CONFIG, cloud.CRS, counts), "octree")
     return _TILES[key]
@@ -345,15 +351,14 @@ def q_m3no_root_sample(spark, sf_dir):
 @query(o.with_(o.POINTS, o.grid_levels(GRID_DEPTH, GRID_CELLS), final="SELECT tile_id, depth, point_index FROM kept"))
 def q_m3no_sample(spark, sf_dir):
     """Few cells, so that points are displaced through all levels; the octree's own depth and cells are in q_m3no_full_sample."""
-    levels = sampling.grid_levels(cloud.points(spark, sf_dir, held=True), cloud.SOLID, GRID_DEPTH, GRID_CELLS)
-    return sampling.grid_samples(levels).select("tile_id", "depth", "point_index")
+    down = settled(spark, sf_dir, GRID_DEPTH, GRID_CELLS)
+    return sampling.settled_samples(down, cloud.SOLID, GRID_DEPTH).select("tile_id", "depth", "point_index")
 
 
 @query(o.with_(o.POINTS, o.grid_levels(GRID_DEPTH, GRID_CELLS), "k AS (SELECT tile_id, count(*) AS n FROM kept GROUP BY 1)",
   final="SELECT c.tile_id AS id, c.n AS arrived, coalesce(k.n, 0) AS sampled FROM came c LEFT JOIN k USING (tile_id)"))
 def q_m3no_counts(spark, sf_dir):
-    levels = sampling.grid_levels(cloud.points(spark, sf_dir, held=True), cloud.SOLID, GRID_DEPTH, GRID_CELLS)
-    return sampling.grid_counts(levels)
+    return sampling.settled_counts(settled(spark, sf_dir, GRID_DEPTH, GRID_CELLS), cloud.SOLID, GRID_DEPTH)
 
 
 @query(o.with_(o.POINTS, "h AS (SELECT classification, count(*) AS n FROM points GROUP BY 1)",
