@@ -8,9 +8,11 @@ recursion, for trees whose levels are not known.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratapoint.config import LodConfig
@@ -118,6 +120,82 @@ def descend(
     return reduce(DataFrame.unionByName, out)
 
 
+#: Pairs of a camera and a root that a task goes down with at once.
+VIEWS = 2_048
+
+
+def _views(tree: dict[str, np.ndarray], own: pd.DataFrame, config: LodConfig, accumulate: bool) -> np.ndarray:
+    """active, points, reached and expanded of placed cameras (x, y, z, pitch, fx, fy, plane), one level of the tree after the other."""
+    x, y, z, pitch, fx, fy = (own[c].to_numpy(np.float64) for c in ("x", "y", "z", "pitch", "fx", "fy"))
+    z = np.where(np.isnan(z), 0.0, z)
+    out = np.zeros((4, len(own)), np.int64)
+    who, tile = np.nonzero(own["plane"].to_numpy()[:, None] == tree["plane"][None, : tree["roots"]])
+    opened = above = None
+    while len(who):
+        lo_x, hi_x, lo_y, hi_y, lo_z, hi_z, wide, n, kids = (tree[c][tile] for c in ("min_x", "max_x", "min_y", "max_y", "low", "high", "diagonal", "n", "kids"))
+        at_x, at_y, at_z, to_x, to_y = x[who], y[who], z[who], fx[who], fy[who]
+        off = [np.maximum(np.maximum(lo - v, v - hi), 0.0) for v, lo, hi in ((at_x, lo_x, hi_x), (at_y, lo_y, hi_y), (at_z, lo_z, hi_z))]
+        across = np.sqrt(off[0] * off[0] + off[1] * off[1])
+        far = np.sqrt(across * across + off[2] * off[2])
+        angle = np.degrees(2 * np.arctan(wide / (np.where((far > 0) & (far < np.inf), far, 1.0) * 2)))
+        angle = np.where(~((wide > 0) & (wide < np.inf)), 0.0, np.where(far == 0, np.inf, np.where((far > 0) & (far < np.inf), angle, 0.0)))
+        most = np.maximum.reduce([(a - at_x) * to_x + (b - at_y) * to_y for a in (lo_x, hi_x) for b in (lo_y, hi_y)])
+        behind = ~(pitch[who] <= 1) & (most <= 0) & ((to_x != 0) | (to_y != 0))
+        if opened is not None:  # an open tile is active if all show, or none of its children does
+            shown = np.bincount(above[~behind], minlength=len(opened[0])) > 0
+            stays = np.ones(len(shown), bool) if accumulate else ~shown
+            np.add.at(out[0], opened[0][stays], 1)
+            np.add.at(out[1], opened[0][stays], opened[1][stays])
+        open_ = ~behind & (angle >= config.threshold_degrees) & (kids > 0)
+        closed = ~behind & ~open_
+        out[2] += np.bincount(who, minlength=len(own))
+        out[3] += np.bincount(who[open_], minlength=len(own))
+        out[0] += np.bincount(who[closed], minlength=len(own))
+        np.add.at(out[1], who[closed], n[closed])
+        opened, kids, first = (who[open_], n[open_]), kids[open_], tree["first"][tile[open_]]
+        above = np.repeat(np.arange(len(kids)), kids)
+        who, tile = opened[0][above], first[above] + np.arange(len(above)) - np.repeat(np.cumsum(kids) - kids, kids)
+    return out
+
+
+def figures(tiles: DataFrame, cameras: DataFrame, config: LodConfig, accumulate: bool, store: Callable[[DataFrame, str], DataFrame], count: str = "original_point_count") -> DataFrame:
+    """For each camera the number of tiles that `descend` finds active, their points by `count`, and the tiles reached and expanded.
+
+    For many cameras over a tree of SENT_ROWS tiles at most: the tree's boxes are sent to all tasks, and the cameras of a batch go down together. No pair of camera
+    and tile leaves its task. With a larger tree the pairs are those of `descend`.
+    """
+    if len(tiles.select(F.lit(1)).take(SENT_ROWS + 1)) > SENT_ROWS:
+        picked = descend(by_level(tiles.select("id", "parent_id", "child_ids", "file_index", "depth", "bounds", "min_z", "max_z", count, *PLANE)), cameras, config, accumulate, store)
+        shown = F.col("active")
+        return picked.groupBy("camera_id").agg(F.count_if(shown).alias("active"), F.coalesce(F.sum(F.when(shown, F.col(count))), F.lit(0)).alias("points"), F.count(F.lit(1)).alias("reached"), F.count_if("expanded").alias("expanded"))
+    b, (low, high) = F.col("bounds"), cam.vertical_bounds(F.col("bounds"), F.col("min_z"), F.col("max_z"))
+    plane = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in PLANE))
+    narrow = tiles.select(
+        "id", "parent_id", "depth", plane.alias("plane"), *(b[e].alias(e) for e in ("min_x", "max_x", "min_y", "max_y")), low.alias("low"), high.alias("high"),
+        cam.diagonal(b, F.col("min_z"), F.col("max_z")).alias("diagonal"), F.col(count).alias("n"),
+    ).where("parent_id IS NULL OR depth > 0").toPandas()  # SENT_ROWS at most
+    # Level by level, children of one tile side by side.
+    narrow = narrow.sort_values(["depth", "parent_id", "id"], na_position="first", kind="stable").reset_index(drop=True)
+    below = narrow.reset_index().groupby("parent_id")["index"].agg(["min", "count"]).reindex(narrow["id"])
+    tree = {c: narrow[c].to_numpy() for c in narrow.columns if c not in ("id", "parent_id", "depth")}
+    tree |= {"kids": below["count"].fillna(0).to_numpy(np.int64), "first": below["min"].fillna(0).to_numpy(np.int64), "roots": int((narrow["depth"] == 0).sum())}
+    sent = tiles.sparkSession.sparkContext.broadcast(tree)
+    at = placed(cameras, tiles.where("depth = 0").select(*PLANE).distinct())
+    at = at.select("camera_id", "pitch", *(F.col(f"_at.{a}").alias(a) for a in "xyz"), F.col("_fx").alias("fx"), F.col("_fy").alias("fy"), plane.alias("plane"))
+    names = ("active", "points", "reached", "expanded")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, VIEWS // max(1, sent.value["roots"]))
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                own = batch.iloc[i : i + step]
+                yield pd.DataFrame({"camera_id": own["camera_id"].to_numpy(), **dict(zip(names, _views(sent.value, own, config, accumulate)))})
+
+    parts = max(2 * tiles.sparkSession.sparkContext.defaultParallelism, -(-cameras.count() // 20_000))
+    out = at.repartition(parts).mapInPandas(run, f"camera_id {cameras.schema['camera_id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}")
+    return out.groupBy("camera_id").agg(*(F.sum(n).alias(n) for n in names)).where("reached > 0")
+
+
 def ranked(picked: DataFrame) -> DataFrame:
     """The active tiles of each camera with `rank`, their place from 1 in a depth-first walk; the tiles of one camera are a bounded set."""
     order = Window.partitionBy("camera_id").orderBy("way")

@@ -474,11 +474,7 @@ def _frontier() -> str:
   count(*) AS reached, count(k.id) AS expanded FROM walk LEFT JOIN kids_ k USING (camera_id, id) GROUP BY 1""", recursive=True))
 def q_lod_all_cameras(spark, sf_dir):
     """A camera for each event, all at once: what each reaches, opens and shows."""
-    picked = selection.descend(selection.by_level(quad(spark, sf_dir)), cloud.camera_events(spark, sf_dir), cloud.LOD, False, stored)
-    shown = F.col("active")
-    return picked.groupBy("camera_id").agg(
-        F.count_if(shown).alias("active"), F.coalesce(F.sum(F.when(shown, F.col("original_point_count"))), F.lit(0)).alias("points"), F.count(F.lit(1)).alias("reached"), F.count_if("expanded").alias("expanded")
-    )
+    return selection.figures(quad(spark, sf_dir), cloud.camera_events(spark, sf_dir), cloud.LOD, False, stored)
 
 
 @query(o.with_(*SEEN_SOLID, o.selected(True), final="SELECT camera_id, id, depth, n AS points, expanded, active FROM picked WHERE active OR expanded", recursive=True))
