@@ -33,7 +33,7 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of texts linked by a 5-word Jaccard similarity of 0.8 or more: that of the smallest
-    doc_id, then of the smallest hash of its text. Rows without a doc_id cannot be named and stay."""
+    doc_id, then of the smallest hash of its text. The SimHash operator finds the first links, an exact join the rest. Rows without a doc_id cannot be named and stay."""
     key = shared.unused(docs, "text_key")
     named = docs.withColumn(key, similar.text_key())
     groups = similar.similar_groups(docs)

@@ -1,6 +1,6 @@
 """Texts whose sets of word shingles have a Jaccard similarity of at least 4/5: an exact similarity join.
 
-SimHash cannot stand in for this join: at a similarity of 0.8 two 64-bit fingerprints differ in about 10 bits and
+SimHash alone cannot stand in for this join: at a similarity of 0.8 two 64-bit fingerprints differ in about 10 bits and
 often in far more, and with so wide a radius a vantage-point tree rules nothing out. Here all shingles stand in one order.
 Two sets that share four fifths of their union share a shingle among the first n - ceil(4n / 5) + 1 of each, so
 only these prefixes are shuffled, and only prefix shingles of two different texts make candidate pairs. Sizes and places rule out
@@ -8,6 +8,9 @@ many of them. Shingles that a sample finds in many texts
 come last in the order. Candidates are first held against parity sketches, one bit for each shingle or so, which bound the
 difference of two sets from below, and those left against the whole sets. The sample (about SAMPLE_ROWS texts) bears on speed alone: any order gives the same pairs.
 
+`similar_groups` begins with the SimHash operator: texts whose 64-bit fingerprints of the same shingles its vantage-point trees find within
+RADIUS bits are held against each other, and those that are similar make the first classes; the join then has the rest to find.
+
 `similar_links` gives every link, `similar_groups` the classes that they make. Classes need a forest only: shingles of many
 texts are first joined with one pivot of a size at a time, until few pairs of different classes are left, and only pairs of texts that are not
 yet of one class are then held against each other, all of them, with small sketches in the join itself. So a group of copies costs rows by its size and not by its square.
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import connected_components
 from .shared import forget, slices, stored
+from .simhash import RADIUS, fingerprint, near_links
 
 SHINGLE = 5
 SEED = 42
@@ -250,6 +254,26 @@ def with_small_sketch(classed: DataFrame, texts: DataFrame, shingle: int) -> Dat
     return classed.join(stored(sketches, "small-sketches"), "key", "left")
 
 
+def fingerprint_links(texts: DataFrame, shingle: int, block_shingles: int, radius: int = RADIUS) -> DataFrame:
+    """u and v of similar texts that the SimHash operator finds: texts of one fingerprint with its first text, and the first texts of fingerprints that its trees link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            held = batch.column("text").to_pylist()
+            columns = [pa.array([fingerprint(t, shingle) for t in held], pa.int64()), pa.array([len(shingles(t, shingle)) for t in held], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", "fp", "n"])
+
+    marked = stored(texts.select("key", "text").mapInArrow(run, "key long, fp long, n int").dropDuplicates(["key"]), "text-fingerprints")
+    first = stored(marked.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first")).select("fp", "first.*"), "first-texts")
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("key").alias(f"key_{c}"), F.col("n").alias(f"n_{c}"))
+    linked = near_links(first.select("fp"), radius).join(of("u"), "u").join(of("v"), "v")
+    alike = marked.join(first.select("fp", F.col("key").alias("key_v"), F.col("n").alias("n_v")), "fp").where("key <> key_v")
+    pairs = linked.select("key_u", "n_u", "key_v", "n_v").union(alike.select("key", "n", "key_v", "n_v")).where("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)")
+    less = F.col("key_u") < F.col("key_v")
+    ends = [F.when(less, F.col(a)).otherwise(F.col(b)).alias(name) for name, a, b in (("u", "key_u", "key_v"), ("v", "key_v", "key_u"), ("n_u", "n_u", "n_v"), ("n_v", "n_v", "n_u"))]
+    return stored(verified(stored(pairs.select(*ends).distinct(), "fingerprint-pairs"), texts, shingle, block_shingles), "fingerprint-links")
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, sample_rows: int = SAMPLE_ROWS, block_shingles: int = BLOCK_SHINGLES, turns: int = 8) -> DataFrame:
     """node and component: keys of texts that links of similarity 4/5 or more join, with the smallest key of their class; texts without links are not in it.
 
@@ -257,8 +281,10 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, sample_rows: int = S
     """
     texts = docs.select(text_key().alias("key"), "text")
     shared = shared_shingles(texts, shingle, sample_rows)
-    links, before = None, float("inf")
-    classed = with_home(shared, None)
+    links, before = fingerprint_links(texts, shingle, block_shingles), float("inf")
+    groups = stored(connected_components(links), "classes")
+    links = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    classed = with_home(shared, groups)
     for turn in range(turns):
         # Every row of a shingle tells of its pairs, so each counts for its share.
         share = F.coalesce(F.sum(F.col("unlike") / F.col("texts")), F.lit(0.0))
@@ -270,7 +296,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, sample_rows: int = S
         if more.isEmpty():
             break
         # Classes so far, as links to their smallest key, stand for all links found.
-        groups = stored(connected_components(more if links is None else links.union(more)), "classes")
+        groups = stored(connected_components(links.union(more)), "classes")
         links = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
         forget(classed)
         classed = with_home(shared, groups)
@@ -278,4 +304,4 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, sample_rows: int = S
     differ = " + ".join(f"bit_count(s{i}_u ^ s{i}_v)" for i in range(SMALL_SKETCH))
     unlike = f"class_u <> class_v AND (class_v = home_v OR key_u < key_v) AND coalesce(9 * ({differ}) <= n_u + n_v, true)"
     last = verified(candidates(classed.where("class <> home"), classed, unlike), texts, shingle, block_shingles)
-    return connected_components(last if links is None else links.union(last))
+    return connected_components(links.union(last))

@@ -86,3 +86,19 @@ def test_classes_equal_brute_force(spark, rows, monkeypatch, turns, many):
     expected = {(k, find(k)) for k in root if find(k) in linked}
     assert {tuple(r) for r in similar.similar_groups(docs, turns=turns).collect()} == expected
     assert similar.similar_groups(docs.limit(0), turns=turns).count() == 0
+
+
+def test_the_simhash_operator_finds_the_first_links(spark, rows, monkeypatch):
+    from stratapoint.llm import simhash
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(similar.text_key().alias("key"), "text")
+    text_of = {r.key: r.text or "" for r in docs.collect()}
+    good = {tuple(sorted(p)) for p in links_by_hand(list(text_of.values()))}
+    found = {tuple(sorted((text_of[r.u], text_of[r.v]))) for r in similar.fingerprint_links(docs, similar.SHINGLE, similar.BLOCK_SHINGLES).collect()}
+    assert found and found <= good
+    mark = {t: simhash.fingerprint(t, similar.SHINGLE) for t in text_of.values()}
+    assert all(((mark[a] ^ mark[b]) & (2**64 - 1)).bit_count() <= simhash.RADIUS for a, b in found)
+    asked = []
+    monkeypatch.setattr(similar, "near_links", lambda distinct, radius: asked.append(radius) or simhash.near_links(distinct, radius))
+    similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert asked == [simhash.RADIUS]
