@@ -4,7 +4,8 @@ The tokenizer's pattern splits texts into words. A first pass over all texts cou
 tokens themselves; the commonest, at most `common_words` whatever the corpus holds, are merged once for the whole corpus:
 each partition of them lays all bytes out in one array and builds an inverted
 index from the rank of a token pair to the positions where the pair stands. The merges are then
-replayed in rank order over the whole index: each touches only the positions listed for it, and only
+replayed in rank order over the whole index, the lowest ranks together: of each word that they list, the places of its own lowest pair are merged, the
+others wait for the next step. A step touches only the positions listed for it, and only
 the two neighbours of a merged pair enter the index anew. A second pass puts documents together from the words'
 ids. Joining every occurrence of a word with its ids would shuffle several times the corpus, so the common words are
 sent to all tasks (no more than about 15 MB), and the rare rest of a task's words, each of which is in few texts, is replayed in the same
@@ -46,7 +47,9 @@ CACHE_BYTES = 60_000_000
 #: What Python needs to hold a word and its ids beside their bytes, about.
 ENTRY_BYTES = 200
 #: Words are replayed together in portions of about so many bytes.
-REPLAY_BYTES = 4_000_000
+REPLAY_BYTES = 500_000
+#: Places of the index that are merged in one step, at most; fewer where words wait for each other.
+AT_ONCE = 20_000
 #: Parts that are laid out at once.
 LAID_OUT = 250_000
 #: Bits of a token id; ids that stand for no token.
@@ -119,7 +122,9 @@ class MergeReplay:
             (ranks[t[:i]] << SHIFT | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         )
         self.keys, self.merged = np.array(merges, np.int64).reshape(-1, 2).T.copy()
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = self.ranks_of(self.byte_ids[:, None], self.byte_ids[None, :])
+        self.narrow = np.min_scalar_type(max(ranks.values()))  # numbers of 16 bits are sorted in fewer steps
         self.remember({})
 
     def split(self, text: str | None) -> list[str]:
@@ -127,21 +132,23 @@ class MergeReplay:
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray | int) -> np.ndarray:
         """The rank of each pair, or -1; a negative id stands between words and makes no pair."""
-        key = left * (1 << SHIFT) + right
+        key = left.astype(np.int64) * (1 << SHIFT) + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], -1)
+        return np.where(self.keys[at] == key, self.merged[at], -1).astype(np.int32)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned numbers of 32 bits; no word is empty."""
         joined = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1)
+        lengths = np.fromiter(map(len, words), np.int32, len(words))
+        ends = np.cumsum(lengths + 1, dtype=np.int32)
         tok = self.byte_ids[joined]
         tok[0] = tok[ends] = BETWEEN
-        word = np.repeat(np.arange(len(words) + 1), np.concatenate(([1], lengths + 1)))
-        after, before = np.arange(1, len(tok) + 1), np.arange(-1, len(tok) - 1)
-        pair = np.full(len(tok), -1, np.int64)  # the rank of the pair that begins here
-        pair[:-1] = self.ranks_of(tok[:-1], tok[1:])
+        word = np.repeat(np.arange(len(words) + 1, dtype=np.int32), np.concatenate(([1], lengths + 1)))
+        after, before = np.arange(1, len(tok) + 1, dtype=np.int32), np.arange(-1, len(tok) - 1, dtype=np.int32)
+        pair = np.full(len(tok), -1, np.int32)  # the rank of the pair that begins here
+        pair[:-1] = self.byte_pairs[joined[:-1], joined[1:]]
+        pair[0] = pair[ends] = pair[ends - 1] = -1
+        del joined
 
         index: dict[int, list[np.ndarray]] = {}  # rank of a pair -> where it stands
         heap: list[int] = []
@@ -150,7 +157,7 @@ class MergeReplay:
             at, ranks = at[ranks >= 0], ranks[ranks >= 0]
             if not len(at):
                 return
-            order = np.argsort(ranks, kind="stable")
+            order = np.argsort(ranks.astype(self.narrow), kind="stable")
             at, ranks = at[order], ranks[order]
             cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
             start = 0
@@ -162,45 +169,60 @@ class MergeReplay:
                     heapq.heappush(heap, rank)
                 start = end
 
-        enter(np.arange(len(tok)), pair)
+        enter(np.arange(len(tok), dtype=np.int32), pair)
+        wanted = AT_ONCE
         while heap:
-            rank = heapq.heappop(heap)
-            listed = index.pop(rank)
-            at = listed[0] if len(listed) == 1 else np.concatenate(listed)
-            at = at[pair[at] == rank]
+            # The lowest ranks of the index together; a word's lowest pair is among them if any pair of it is.
+            listed, of, held = [], [], 0
+            while heap and (not held or held + sum(map(len, index[heap[0]])) <= wanted):
+                rank = heapq.heappop(heap)
+                for own in index.pop(rank):
+                    listed.append(own)
+                    of.append(rank)
+                    held += len(own)
+            at = np.concatenate(listed)
+            at = at[pair[at] == np.repeat(np.array(of, np.int32), [len(x) for x in listed])]
             if not len(at):
                 continue
-            if len(at) > 1:
-                at.sort()  # a place may be listed more than once
-                at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-                # Of pairs that overlap, every other one from the left.
-                chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
-                order = np.arange(len(at))
-                run = np.maximum.accumulate(np.where(chained, 0, order))
-                chosen = at[(order - run) % 2 == 0]
-                # Taken from left to right in a word, each makes two pairs; one of lower rank than this has to go first.
-                beyond = after[after[chosen]]
-                joined = np.concatenate(([False], beyond[:-1] == chosen[1:]))
-                left_ranks = self.ranks_of(np.where(joined, rank, tok[before[chosen]]), rank)
-                right_ranks = self.ranks_of(np.full(len(chosen), rank), tok[beyond])
-                first = ((left_ranks >= 0) & (left_ranks < rank)) | ((right_ranks >= 0) & (right_ranks < rank))
-                if first.any():
-                    own = word[chosen]
-                    so_far = np.cumsum(first) - first
-                    new = np.concatenate(([True], own[1:] != own[:-1]))
-                    good = so_far == np.maximum.accumulate(np.where(new, so_far, 0))
-                    index[rank] = [np.setdiff1d(at, chosen[good], assume_unique=True)]
-                    heapq.heappush(heap, rank)
-                    chosen = chosen[good]
-                at = chosen
+            at.sort()  # a place may be listed more than once
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+            # Of each word only the places of its lowest pair.
+            rank, own = pair[at], word[at]
+            begins = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            lowest = rank == np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.append(begins, len(at))))
+            wait = [at[~lowest]]
+            wanted = min(2 * wanted, AT_ONCE) if 2 * len(wait[0]) <= len(at) else max(1, wanted // 2)
+            at = at[lowest]
+            # Of pairs that overlap, every other one from the left.
+            chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
+            order = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(chained, 0, order))
+            chosen = at[(order - run) % 2 == 0]
+            # Taken from left to right in a word, each makes two pairs; one of lower rank than this has to go first.
+            rank, beyond = pair[chosen], after[after[chosen]]
+            joined = np.concatenate(([False], beyond[:-1] == chosen[1:]))
+            left_ranks = self.ranks_of(np.where(joined, rank, tok[before[chosen]]), rank)
+            right_ranks = self.ranks_of(rank, tok[beyond])
+            first = ((left_ranks >= 0) & (left_ranks < rank)) | ((right_ranks >= 0) & (right_ranks < rank))
+            if first.any():
+                own = word[chosen]
+                so_far = np.cumsum(first) - first
+                new = np.concatenate(([True], own[1:] != own[:-1]))
+                good = so_far == np.maximum.accumulate(np.where(new, so_far, 0))
+                wait.append(np.setdiff1d(at, chosen[good], assume_unique=True))
+                chosen, rank, left_ranks, right_ranks, joined = chosen[good], rank[good], left_ranks[good], right_ranks[good], joined[good]
+            at = chosen
             gone = after[at]
             beyond = after[gone]
             after[at], before[beyond] = beyond, at
             tok[at], tok[gone], pair[gone] = rank, GONE, -1
+            # Where the next place was merged as well, the pair to the right is that next place's pair to the left.
+            follow = np.flatnonzero(joined)
+            right_ranks[follow - 1] = left_ranks[follow]
             left = before[at]
-            right_ranks, left_ranks = self.ranks_of(tok[at], tok[beyond]), self.ranks_of(tok[left], tok[at])
             pair[at], pair[left] = right_ranks, left_ranks
-            enter(np.concatenate((at, left)), np.concatenate((right_ranks, left_ranks)))
+            entered = np.concatenate((at, left, *wait))
+            enter(entered, pair[entered])
         stays = tok >= 0
         data = tok[stays].astype("<u4").tobytes()
         cuts = (np.cumsum(stays)[ends] * 4).tolist()
