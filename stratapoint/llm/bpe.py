@@ -42,7 +42,7 @@ COMMON_WORDS, COMMON_BYTES = 100_000, 64
 COUNTED = 400_000
 #: Bytes of text whose words a task replays together.
 GROUP_BYTES = 16_000_000
-#: Bytes of other words and their ids that a worker remembers; beyond them it begins anew.
+#: Bytes of other words and their ids that a worker remembers; beyond them it keeps those that the last group holds more than once.
 CACHE_BYTES = 60_000_000
 #: What Python needs to hold a word and its ids beside their bytes, about.
 ENTRY_BYTES = 200
@@ -228,12 +228,21 @@ class MergeReplay:
         cuts = (np.cumsum(stays)[ends] * 4).tolist()
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def remember(self, common: dict[str, bytes]) -> None:
-        """Begins anew with words whose ids are known."""
-        self.common, self.held = common, 0
-        self.numbers, self.ids = Numbers(common), list(common.values())
+    def remember(self, common: dict[str, bytes], kept: dict[str, bytes] | None = None) -> None:
+        """Begins anew with words whose ids are known; those of `kept` count as held."""
+        self.common = common
+        known = common | kept if kept else common
+        self.numbers, self.ids = Numbers(known), list(known.values())
+        self.held = sum(len(w) + len(ids) + ENTRY_BYTES for w, ids in (kept or {}).items() if w not in common)
         self.pieces = Pieces(self.ids, "<u4")
 
+    def keep_repeated(self, numbers: list[array]) -> None:
+        """Forgets all but the common words and those that texts of such numbers hold more than once; if these are too many as well, all of them."""
+        often = np.bincount(np.frombuffer(b"".join(n.tobytes() for n in numbers), np.intc), minlength=len(self.ids)) > 1
+        self.remember(self.common, dict(itertools.compress(zip(self.numbers, self.ids), often.tolist())))
+        if 4 * self.held > 3 * CACHE_BYTES:
+            self.remember(self.common)
+
     def numbered(self, text: str | None) -> array:
         """The numbers of the text's words; words not met before wait to be learned."""
         return array("i", map(self.numbers.__getitem__, self.split(text)))
@@ -372,8 +381,6 @@ def encode(
         if width < 4 and max(model.ranks.values()) >= (1 << 8 * width) - 2:
             raise ValueError(f"the vocabulary has ids of more than {width} bytes")
         for group in groups(batches, text, rows):
-            if model.held > CACHE_BYTES:
-                model.remember(model.common)
             numbers = [[model.numbered(t) for t in batch.column(text).to_pylist()] for batch in group]
             model.learn()
             for batch, own in zip(group, numbers):
@@ -383,6 +390,8 @@ def encode(
                     counts = np.diff(np.concatenate(([0], ends))[np.cumsum([0, *words])]).tolist()
                     new.append(pa.array(cut(*tokens_of(path).laid_out(ids), counts), pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+            if model.held > CACHE_BYTES:
+                model.keep_repeated([n for own in numbers for n in own])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)]))
 

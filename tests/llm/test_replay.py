@@ -53,3 +53,16 @@ def test_ranks_are_merged_together():
     assert calls < 2_000
     for word, ids in [*zip(given, got)][-1500:]:
         assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == plain(own.ranks, word)
+
+
+def test_repeated_words_stay_and_ids_do_not_change():
+    own = model()
+    own.remember({"qzqzx": own.encode(["qzqzx"])[0]})
+    texts = ["onceqq twicezz", "twicezz qzqzx", None]
+    before = own.encode(texts)
+    own.keep_repeated([own.numbered(t) for t in texts])
+    assert " twicezz" not in own.numbers and "qzqzx" in own.numbers  # " twicezz" and "twicezz" are two words
+    own.encode(texts)
+    own.keep_repeated([own.numbered(t) for t in texts * 2])
+    assert {" twicezz", "twicezz", "onceqq", "qzqzx"} <= own.numbers.keys() and own.held > 0
+    assert own.encode(texts) == before and not own.numbers.new
