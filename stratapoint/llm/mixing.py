@@ -53,6 +53,9 @@ STOP = 256
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 WORD_CONTEXTS, BYTE_CONTEXTS = 5, 5
 NOTHING = np.uint32(0)
+#: What a byte of a table stands for, by the byte without its sign.
+STRETCHED = np.arange(256).astype(np.uint8).view(np.int8).astype(np.float32) * np.float32(1 / SCALE)
+STRETCHED[np.int8(NEVER).view(np.uint8)] = 0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -252,11 +255,9 @@ class Mixer:
         x = np.empty((len(self.tables), len(at)), np.float32)
         for k, (table, context) in enumerate(zip(self.tables, contexts)):
             got = self.alone[at] if context is None else table[slots(place, np.repeat(context, n)).astype(np.intp)]
-            seen = got != NEVER
-            np.multiply(got, seen, out=x[k], casting="unsafe")
+            np.take(STRETCHED, got.view(np.uint8), out=x[k], mode="clip")
             if k:
-                gate += seen.view(np.uint8) << np.uint8(k + 2)
-        x *= np.float32(1 / SCALE)
+                gate |= (got != NEVER).view(np.uint8) << np.uint8(k + 2)
         return x, gate.astype(np.intp), bits(steps)
 
     def sums(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -532,7 +533,6 @@ def spelt(rare: DataFrame, mixer: Mixer) -> DataFrame:
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<struct<word:string,times:long>>"
-RARE = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
 
 
 def scored_words(docs: DataFrame, language: Language, mixer: Mixer) -> DataFrame:
@@ -577,7 +577,8 @@ def scored_words(docs: DataFrame, language: Language, mixer: Mixer) -> DataFrame
                     score[row] += float(logs[i])
                     size[row] += sum(map(len, own_words)) + b - a
                     rare[row].update(map(bytes.decode, words[i]))
-            listed = pa.array([[{"word": w, "times": k} for w, k in c.items()] for c in rare], RARE)
+            pairs = pa.StructArray.from_arrays([pa.array([w for c in rare for w in c], pa.string()), pa.array([k for c in rare for k in c.values()], pa.int64())], ["word", "times"])
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pairs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, pa.int64()) for c in (tokens, known)), *(pa.array(c, pa.float64()) for c in (base_score, score)), pa.array(size, pa.int64()), listed],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare"],
