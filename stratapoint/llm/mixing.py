@@ -24,13 +24,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,8 +42,8 @@ FOLDS, HELD_OUT, LESSONS = 10, 0, 1
 COMMON, SLOT_BITS, SEGMENT = 1 << 18, 21, 1 << 16
 SMOOTHING = 0.1
 STRETCH, PORTION = 50_000, 300_000
-#: Distinct words of a task at which their counts leave it.
-HELD = 300_000
+#: Bytes of text of a task after which the counts of its words leave it.
+HELD = 16_000_000
 #: Decisions after which a text's own weights move, and how far; the same for the shared weights of the gates.
 BLOCK, OWN_RATE, RATE = 512, 0.002, 0.02
 #: Steps of the final refinement: from -8 to 8 by quarters.
@@ -179,7 +180,7 @@ class Tables:
         at, n = self.code.decisions(symbols)
         steps = self.code.steps[at]
         place, bit = places(steps), steps & np.uint32(1)
-        by = np.uint32(1) if weights is None else np.repeat(weights, n).astype(np.uint32)
+        by = np.ones(len(at), np.uint32) if weights is None else np.repeat(weights, n).astype(np.uint32)
         for counts, context in zip(self.counts, contexts):
             if context is None:
                 np.add.at(self.symbols, symbols, 1 if weights is None else weights)
@@ -261,9 +262,11 @@ class Mixer:
         return x, gate.astype(np.intp), bits(steps)
 
     def sums(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = np.zeros(len(gate), np.float32)
+        z, own = np.zeros(len(gate), np.float32), np.empty(len(gate), np.float32)
         for weights, inputs in zip(np.ascontiguousarray(self.weights.T), x):
-            z += weights[gate] * inputs
+            np.take(weights, gate, out=own, mode="clip")
+            own *= inputs
+            z += own
         return z
 
     def log10(self, z: np.ndarray, gate: np.ndarray, bit: np.ndarray, chances: np.ndarray | None = None) -> np.ndarray:
@@ -297,29 +300,35 @@ def adapted(x: np.ndarray, z: np.ndarray, bit: np.ndarray, size: np.ndarray, own
     their weights and is left as they end.
     """
     blocks = size // BLOCK
-    first = np.cumsum(blocks) - blocks
-    x, z, bit = x.reshape(len(x), -1, BLOCK), z.reshape(-1, BLOCK).copy(), bit.reshape(-1, BLOCK)
     order = np.argsort(-blocks, kind="stable")
-    falling = -blocks[order]
-    for step in range(int(blocks.max(initial=0))):
-        texts = order[: np.searchsorted(falling, -step, "left")]
-        here = first[texts] + step
-        inputs, now = x[:, here], z[here]
-        now += np.einsum("ktb,tk->tb", inputs, own[texts])
-        z[here] = now
-        chance = 1 / (1 + np.exp(-now))
-        if chances is not None:
-            chances[here] = chance
-        error = bit[here] - chance
-        own[texts] += OWN_RATE * np.einsum("ktb,tb->tk", inputs, error)
-    return z.reshape(-1)
+    first, falling = (np.cumsum(blocks) - blocks)[order], -blocks[order]
+    texts = np.searchsorted(falling, -np.arange(int(blocks.max(initial=0))), "left")  # those that have a block at each step
+    ends = np.cumsum(texts)
+    rank = np.arange(int(texts.sum())) - np.repeat(ends - texts, texts)
+    at = first[rank] + np.repeat(np.arange(len(texts)), texts)  # blocks by steps, so that those of a step lie together
+    x, bit, mine = x.reshape(len(x), -1, BLOCK).take(at, axis=1), bit.reshape(-1, BLOCK)[at], own[order]
+    sums = z.reshape(-1, BLOCK)[at]
+    told = np.empty_like(sums)
+    for n, end in zip(texts.tolist(), ends.tolist()):
+        inputs, now, chance = x[:, end - n : end], sums[end - n : end], told[end - n : end]
+        now += np.einsum("ktb,tk->tb", inputs, mine[:n])
+        np.exp(np.negative(now, out=chance), out=chance)
+        chance += 1
+        np.reciprocal(chance, out=chance)
+        mine[:n] += OWN_RATE * np.einsum("ktb,tb->tk", inputs, bit[end - n : end] - chance)
+    own[order] = mine
+    out = np.empty_like(sums)
+    out[at] = sums
+    if chances is not None:
+        chances[at] = told
+    return out.reshape(-1)
 
 
 @dataclass
 class Language:
     """The common words with their counts and hashes, and how many tokens and distinct tokens were learned from."""
 
-    numbers: dict[bytes, int]
+    numbers: Lookup | dict[bytes, int]
     counts: np.ndarray
     tokens: int
     distinct: int
@@ -344,58 +353,110 @@ def stretches(texts: list[str | None], held: int = STRETCH) -> Iterator[list[tup
         yield group
 
 
+class Lookup:
+    """The numbers of the common words, by their 64-bit hashes in this process: a table of open addresses, looked up for many words at
+    once. Words count from ESCAPE + 1 on, all others are ESCAPE. Only the words travel; the arrays are built once in each worker."""
+
+    def __init__(self, words: Iterable[bytes]):
+        self.words = list(words)
+
+    def __reduce__(self):
+        return Lookup, (self.words,)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """By number, the hashes that contexts are made of."""
+        return np.array([0, 0, *map(xxhash.xxh32_intdigest, self.words)], np.uint32)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return np.fromiter(chain((0, 0), map(hash, self.words)), np.int64, len(self.words) + 2)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The number at each address, 0 where there is none; half of the addresses at most are taken."""
+        table = np.zeros(2 << max(4, len(self.words).bit_length()), np.int32)
+        left = np.arange(ESCAPE + 1, len(self.keys), dtype=np.int32)
+        at = self.keys & len(table) - 1
+        while len(left):
+            here = at[left]
+            free = table[here] == 0
+            table[here[free]] = left[free]
+            left = left[table[here] != left]
+            at[left] = at[left] + 1 & len(table) - 1
+        return table
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        keys, table = self.keys, self.table
+        key = np.fromiter(map(hash, words), np.int64, len(words))
+        at = key & len(table) - 1
+        found = table[at]
+        left = np.flatnonzero((keys[found] != key) & (found > 0))
+        while len(left):
+            at[left] = at[left] + 1 & len(table) - 1
+            found[left] = here = table[at[left]]
+            left = left[(keys[here] != key[left]) & (here > 0)]
+        return np.maximum(found, ESCAPE).astype(np.int64)
+
+
 class Reader:
     """Turns groups of texts into symbols and contexts; remembers where a long text was left."""
 
-    def __init__(self, numbers: dict[bytes, int]):
-        self.numbers, self.last = numbers, np.zeros(3, np.uint32)
-        self.hashes = np.array([0, 0, *map(xxhash.xxh32_intdigest, numbers)], np.uint32)  # numbers count from ESCAPE + 1 on
+    def __init__(self, numbers: Lookup | dict[bytes, int]):
+        self.lookup, self.last = numbers if isinstance(numbers, Lookup) else Lookup(numbers), np.zeros(3, np.uint32)
 
     def read(self, group: list[tuple[int, list[bytes], bool, bool]]) -> tuple[np.ndarray, list[np.ndarray | None], np.ndarray, list[list[bytes]]]:
         """Symbols and contexts of all words and ends, how many each text has, and its words outside the tree."""
-        symbols, hashes, sizes, rare = [], [], [], []
-        for _, words, _, ends in group:
-            own = np.fromiter(map(self.numbers.get, words, repeat(ESCAPE)), np.int64, len(words))
-            hashed, at = self.hashes[own], np.flatnonzero(own == ESCAPE).tolist()
-            rare.append([words[i] for i in at])
-            hashed[at] = list(map(xxhash.xxh32_intdigest, rare[-1]))
-            symbols += [own, np.zeros(int(ends), np.int64)]
-            hashes += [hashed, np.zeros(int(ends), np.uint32)]
-            sizes.append(len(words) + ends)
-        sizes = np.array(sizes)
-        at = np.arange(sizes.sum()) + 3 * np.repeat(np.arange(1, len(group) + 1), sizes)
-        way = np.zeros(len(at) + 3 * len(group), np.uint32)  # three words before each text
-        way[at] = np.concatenate(hashes)
+        words = list(chain.from_iterable(own for _, own, _, _ in group))
+        n, ends = np.array([len(own) for _, own, _, _ in group]), np.array([ends for *_, ends in group], np.int64)
+        found = self.lookup.find(words)
+        hashed, rare_at = self.lookup.hashes[found], np.flatnonzero(found == ESCAPE)
+        rare = [words[i] for i in rare_at.tolist()]
+        hashed[rare_at] = np.fromiter(map(xxhash.xxh32_intdigest, rare), np.uint32, len(rare))
+        sizes, texts = n + ends, np.arange(len(group))
+        place = np.arange(len(words)) + np.repeat(np.cumsum(ends) - ends, n)
+        symbols = np.full(int(sizes.sum()), END, np.int64)
+        symbols[place] = found
+        way = np.zeros(len(symbols) + 3 * len(group), np.uint32)  # three words before each text
+        way[place + 3 * np.repeat(texts + 1, n)] = hashed
         if not group[0][2]:
             way[:3] = self.last
         self.last = way[-3:].copy()
-        return np.concatenate(symbols), word_contexts(way[at - 1], way[at - 2], way[at - 3]), sizes, rare
+        at = np.arange(len(symbols)) + 3 * np.repeat(texts + 1, sizes)
+        cut = [0, *np.searchsorted(rare_at, np.cumsum(n)).tolist()]
+        return symbols, word_contexts(way[at - 1], way[at - 2], way[at - 3]), sizes, [rare[i:j] for i, j in zip(cut, cut[1:])]
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word and n, its occurrences in learning rows; the end is the empty word. Words of other rows are there with 0."""
 
-    def told(counts: Counter[bytes], others: set[bytes]) -> Iterator[pa.RecordBatch]:
-        words = [*counts, *(others - counts.keys())]
-        n = [*counts.values(), *[0] * (len(words) - len(counts))]
-        for i in range(0, len(words), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 100_000], pa.binary()).cast(pa.string()), pa.array(n[i : i + 100_000], pa.int64())], ["word", "n"])
+    def words(texts: pa.Array) -> pa.Array:
+        return pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()))).flatten()
+
+    def told(learned: list[pa.Array], others: list[pa.Array], ends: int) -> Iterator[pa.RecordBatch]:
+        counts = pc.value_counts(pa.chunked_array(learned, pa.string()))
+        known, more = counts.field("values"), pc.unique(pa.chunked_array(others, pa.string()))
+        more = more.filter(pc.invert(pc.is_in(more, value_set=known)))
+        none = pa.array(np.zeros(len(more), np.int64))
+        for word, n in ((known, counts.field("counts")), (more, none)):
+            there = pc.not_equal(word, "")  # what stands before and after outer white space
+            yield from pa.Table.from_arrays([word.filter(there), n.filter(there)], ["word", "n"]).to_batches(100_000)
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        others: set[bytes] = {b""}
-        for batch in portions(batches, "text", 1 << 20, 1_000_000):
-            for text, learns in zip(batch.column("text").to_pylist(), batch.column("learns").to_pylist()):
-                words = words_of(text)
-                if learns:
-                    counts.update(words)
-                    counts[b""] += 1
-                else:
-                    others.update(words)
-            if len(counts) + len(others) >= HELD:
-                yield from told(counts, others)
-                counts, others = Counter(), {b""}
-        yield from told(counts, others)
+        learned, others, ends, held = [], [], 0, 0
+        for batch in portions(batches, "text", 1 << 20):
+            text, learns = batch.column("text"), batch.column("learns")
+            learned.append(words(text.filter(learns)))
+            others.append(words(text.filter(pc.invert(learns))))
+            ends += pc.sum(learns).as_py() or 0
+            held += pc.sum(pc.binary_length(text)).as_py() or 0
+            if held >= HELD:
+                yield from told(learned, others, ends)
+                learned, others, ends, held = [], [], 0, 0
+        yield from told(learned, others, ends)
+        learned, others = [], []
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     found = docs.select("text", (F.col("part") != HELD_OUT).alias("learns")).mapInArrow(run, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -439,7 +500,7 @@ def learned_rows(mixer: Mixer, seen: np.ndarray, decisions: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([np.concatenate((mixer.weights.reshape(-1), seen)).tolist()], pa.list_(pa.float64())), pa.array([decisions], pa.int64())], ["values", "decisions"])
 
 
-def learn_words(docs: DataFrame, numbers: dict[bytes, int], code: Code) -> Mixer:
+def learn_words(docs: DataFrame, numbers: Lookup, code: Code) -> Mixer:
     """The mixer of word decisions: tables from all learning rows but the lessons, weights from the lessons."""
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast((numbers, code))
@@ -595,7 +656,7 @@ def scored(docs: DataFrame, common: int = COMMON) -> DataFrame:
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     ends = sum(r.n for r in counts.where("word = ''").select("n").collect())
     frequent = common_words(counts, common)
-    numbers = {w.encode(): i for i, (w, _) in enumerate(frequent, ESCAPE + 1)}
+    numbers = Lookup(w.encode() for w, _ in frequent)
     at = np.array([ends, 0, *(n for _, n in frequent)], np.int64)
     language = Language(numbers, at, tokens, distinct)
     escaped = max(1, tokens - int(at.sum()))
