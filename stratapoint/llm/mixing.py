@@ -43,7 +43,7 @@ COMMON, SLOT_BITS, SEGMENT = 1 << 18, 21, 1 << 16
 SMOOTHING = 0.1
 STRETCH, PORTION = 50_000, 300_000
 #: Bytes of text of a task after which the counts of its words leave it.
-HELD = 16_000_000
+HELD = 8_000_000
 #: Decisions after which a text's own weights move, and how far; the same for the shared weights of the gates.
 BLOCK, OWN_RATE, RATE = 512, 0.002, 0.02
 #: Steps of the final refinement: from -8 to 8 by quarters.
@@ -445,7 +445,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned, others, ends, held = [], [], 0, 0
-        for batch in portions(batches, "text", 1 << 20):
+        for batch in portions(batches, "text", 1 << 20, 1_000_000):
             text, learns = batch.column("text"), batch.column("learns")
             learned.append(words(text.filter(learns)))
             others.append(words(text.filter(pc.invert(learns))))
