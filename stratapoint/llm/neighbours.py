@@ -4,12 +4,16 @@ Equal vectors become one node, named by a 64-bit hash. Nodes fall into bands by
 as the one before, counted from the largest; in its band a vector is scaled to a norm of one at most and lengthened by one
 coordinate that makes all norms one, so that the nodes of largest inner product are also the closest. A few
 vectors of enormous length thus have a band of their own and blur no others. First neighbours come from small groups of nodes
-of a band that fall on the same sides of random hyperplanes. Then rounds of NN-descent, each a Spark join, until one
+of a band that fall on the same sides of random hyperplanes. Then rounds of NN-descent, each a few Spark joins, until one
 changes hardly a list entry: every node gathers its neighbours and a sample of the nodes it is a
 neighbour of, compares those that are new with all, and tells each the better ones it has found.
 
+Nodes lie in buckets by their name, and what one bucket has to tell another is one packed row, in which a vector stands once however
+many centers need it; inside a bucket all is arrays. So the rows of a join grow with the pairs of buckets, not with those of nodes.
+
 A search starts at the query's own node and goes on through the neighbours of the best nodes so far, all
-queries at once, one join for each step, until the best `beam` nodes have all been looked at. Other bands whose
+queries at once, one join for each step, until the best `beam` nodes have all been looked at. What it looks into, each node's
+neighbours with their vectors, is laid out by buckets once and read by every step without a shuffle. Other bands whose
 longest vector could still beat the `count` best so far (the norm bounds the product) are then searched from sampled entry
 nodes. The best nodes found are scored once more in double precision on the original vectors.
 
@@ -32,9 +36,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import forget, slices, stored
+from .shared import bucketed, forget, slices, stored
 
-NEIGHBOURS, REVERSE = 20, 12
+NEIGHBOURS, REVERSE = 32, 16
 #: Reverse neighbours that a search follows, at most.
 FOLLOWED = 40
 #: Queries whose nearest are sought among all vectors, about; the share that searches must reach of them; how much wider they become if not.
@@ -47,13 +51,15 @@ TREES, GROUP = 8, 512
 SAMPLE_ROWS, ENTRIES = 16_384, 256
 #: Nodes a search keeps, and nodes it looks at in a step.
 BEAM, WIDTH = 1024, 384
-#: Nodes or queries that one group of a Python stage holds, about.
-BUCKET = 1024
+#: Nodes of a bucket, at most about; tables of fewer than BUCKET * BUCKETS nodes get buckets of SMALL nodes at least and as many as BUCKETS.
+BUCKET, BUCKETS, SMALL = 16_384, 64, 128
+#: List entries of the queries of one bucket, about.
+ENTRIES_HELD = 1 << 19
+#: Centers compared at a time, and better pairs held before only the best of each node are kept.
+CENTERS, PAIRS = 512, 4_000_000
 
 log = logging.getLogger(__name__)
 
-LIST = "node long, ids array<long>, scores array<float>, fresh array<boolean>"
-
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     out = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
@@ -73,33 +79,102 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[first], scores[first]
 
 
-def lists(nodes: list, ids: list, scores: list) -> pd.DataFrame:
-    fresh = [np.ones(len(i), bool) for i in ids]
-    return pd.DataFrame({"node": np.array(nodes, np.int64), **{c: pd.Series(list(v), dtype=object) for c, v in (("ids", ids), ("scores", scores), ("fresh", fresh))}})
+def first_of_pairs(a: np.ndarray, b: np.ndarray, later: np.ndarray | None = None) -> np.ndarray:
+    """The place of one of each distinct pair, by a 64-bit hash of both; of equal ones the first that is not `later`."""
+    key = hashed(a, b)
+    if later is not None:
+        key = key & ~np.uint64(1) | later.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order] >> np.uint64(1)
+    return order[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
 
 
-def merged_lists(found: DataFrame, k: int, buckets: int, graph: DataFrame | None = None) -> DataFrame:
-    """One list of the k best for each node, with what graph has; entries that graph has not are fresh."""
+def best_rows(group: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Places of the k highest scored ids of each group (numbers below 2^31), each once (as it is known, if it is), by group and best first."""
+    once = first_of_pairs(group, ids, None if known is None else ~known)
+    bits = (-scores[once] + np.float32(0)).astype(np.float32).view(np.uint32)  # falling scores, as whole numbers that rise
+    rising = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
+    once = once[np.argsort(group[once].astype(np.uint64) << np.uint64(32) | rising, kind="stable")]
+    return once[places(group[once]) < k]
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list, list] = [], [], []
-        fresh = []
-        all_ids, all_scores, before = pdf["ids"].to_numpy(), pdf["scores"].to_numpy(), pdf["before"].to_numpy()
-        for node, rows in pdf.groupby("node").indices.items():
-            ids, scores = best_of(np.concatenate(all_ids[rows]), np.concatenate(all_scores[rows]), k)
-            for column, value in zip(out, (node, ids, scores)):
-                column.append(value)
-            known = [all_ids[r] for r in rows if before[r]]
-            fresh.append(~np.isin(ids, known[0]) if known else np.ones(len(ids), bool))
-        new = lists(*out)
-        new["fresh"] = pd.Series(fresh, dtype=object)
-        return new
 
-    columns = ("node", "ids", "scores")
-    both = found.select(*columns, F.lit(False).alias("before"))
-    if graph is not None:
-        both = both.union(graph.select(*columns, F.lit(True)))
-    return both.groupBy(F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("_bucket")).applyInPandas(merge, LIST)
+def places(sorted_groups: np.ndarray) -> np.ndarray:
+    """The place of each entry in its group."""
+    n = len(sorted_groups)
+    begins = np.concatenate([np.zeros(min(1, n), np.int64), np.flatnonzero(sorted_groups[1:] != sorted_groups[:-1]) + 1])
+    return np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+
+
+def hashed(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of pairs."""
+    m = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    m = (m ^ (m >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + (b.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    m = (m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return m ^ (m >> np.uint64(32))
+
+
+def joined(column: pa.Array | pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column if isinstance(column, pd.Series) else column.to_pylist()), kind)
+
+
+def rows_for(to: np.ndarray, source: int, **columns: np.ndarray) -> dict[str, list]:
+    """One row for each bucket in to: all that goes there, packed."""
+    order = np.argsort(to, kind="stable")
+    found, begin = np.unique(to[order], return_index=True)
+    out = {"to": found.tolist(), "source": [source] * len(found)}
+    for name, values in columns.items():
+        out[name] = [part.tobytes() for part in np.split(values[order], begin[1:])] if len(found) else []
+    return out
+
+
+def batch_of(rows: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if c in ("to", "source") else pa.binary()) for c, v in rows.items()], list(rows))
+
+
+def floats(column: pa.Array, dims: int) -> np.ndarray:
+    """A column of arrays of one length, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+
+
+#: A bucket of nodes: their names in order, vectors in half precision, and for each the k best so far; entries of score minus infinity are empty.
+GRAPH = "bucket long, node binary, v binary, ids binary, scores binary, fresh binary"
+#: For a bucket: nodes and what may belong in their lists, as many ids for each node of a row.
+BETTER = "to long, source long, node binary, ids binary, scores binary"
+#: For a bucket of centers: which members each has, and the members' names, vectors and worst scores; index tells a member's place among these.
+AROUND = "to long, source long, center binary, index binary, fresh binary, ids binary, v binary, worst binary"
+
+
+def packed(nodes: DataFrame, k: int, buckets: int) -> DataFrame:
+    """The graph without an edge."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        n = len(pdf)
+        row = (pdf["node"].to_numpy().tobytes(), b"".join(pdf["v"]), bytes(8 * n * k), np.full(n * k, -np.inf, "f4").tobytes(), bytes(n * k))
+        return pd.DataFrame([(int(pdf["bucket"].iloc[0]), *row)], columns=["bucket", "node", "v", "ids", "scores", "fresh"])
+
+    return nodes.select(F.pmod("node", F.lit(buckets)).alias("bucket"), "node", "v").groupBy("bucket").applyInPandas(pack, GRAPH)
+
+
+def merged(graph: DataFrame, better: DataFrame, k: int) -> DataFrame:
+    """The graph with the k best of what it has and of what is better; entries that it had not are fresh."""
+
+    def merge(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        node, had, score = joined(own["node"], "i8"), joined(own["ids"], "i8").reshape(-1, k), joined(own["scores"], "f4").reshape(-1, k)
+        full = score > -np.inf
+        names = [np.frombuffer(b, "i8") for b in told["node"]]
+        at = [np.repeat(n, len(i) // 8 // max(1, len(n))) for n, i in zip(names, told["ids"])]
+        at = np.concatenate([np.nonzero(full)[0], np.searchsorted(node, np.concatenate([np.zeros(0, np.int64), *at]))])
+        ids, scores = np.concatenate([had[full], joined(told["ids"], "i8")]), np.concatenate([score[full], joined(told["scores"], "f4")])
+        known = np.arange(len(at)) < full.sum()
+        keep = best_rows(at, ids, scores, k, known)
+        place = (at[keep], places(at[keep]))
+        new = np.zeros((len(node), k), "i8"), np.full((len(node), k), -np.inf, "f4"), np.zeros((len(node), k), bool)
+        for column, values in zip(new, (ids, scores, ~known)):
+            column[place] = values[keep]
+        return own.assign(**{c: [values.tobytes()] for c, values in zip(("ids", "scores", "fresh"), new)})
+
+    return graph.groupBy("bucket").cogroup(better.groupBy("to")).applyInPandas(merge, GRAPH)
 
 
 def drawn(column, share: float, seed: int):
@@ -142,137 +217,241 @@ def first_neighbours(nodes: DataFrame, totals: dict[int, int], width: int, k: in
                 yield pa.RecordBatch.from_arrays(columns, ["tree", "band", "code", "piece", "node", "v"])
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = matrix(pdf["v"], "f2", width), pdf["node"].to_numpy()
-        out_ids, out_scores = [], []
-        for a in range(0, len(x), 1024):
-            s = x[a : a + 1024] @ x.T
-            s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
-            n = min(k, len(x) - 1)
-            top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n else np.zeros((len(s), 0), int)
-            out_ids += list(ids[top])
-            out_scores += list(np.take_along_axis(s, top, 1))
-        return lists(ids, out_ids, out_scores)
+        own = {c: pdf[c].to_numpy() for c in ("tree", "band", "code", "piece")}
+        order = np.lexsort(tuple(own.values()))
+        changes = np.flatnonzero(np.any([v[order][1:] != v[order][:-1] for v in own.values()], axis=0)) + 1
+        all_x, all_ids = matrix(pdf["v"], "f2", width), pdf["node"].to_numpy()
+        found: dict[int, list] = {}  # by the number of neighbours
+        for rows in np.split(order, changes):
+            x, ids, n = all_x[rows], all_ids[rows], min(k, len(rows) - 1)
+            for a in range(0, len(x) if n else 0, 1024):
+                s = x[a : a + 1024] @ x.T
+                s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
+                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                found.setdefault(n, []).append((ids[a : a + 1024], ids[top], np.take_along_axis(s, top, 1)))
+        out = [pd.DataFrame(columns=["to", "source", "node", "ids", "scores"])]
+        for parts in found.values():
+            node, ids, scores = (np.concatenate(c) for c in zip(*parts))
+            out.append(pd.DataFrame(rows_for(node % buckets, -1, node=node, ids=ids, scores=scores)))
+        return pd.concat(out[1:] or out)
 
     placed = nodes.select("node", "band", "v").mapInArrow(place, "tree long, band long, code long, piece long, node long, v binary")
-    return merged_lists(placed.groupBy("tree", "band", "code", "piece").applyInPandas(nearest, LIST), k, buckets)
-
-
-def gathered(graph: DataFrame, reverse: int, draw: int = 0) -> DataFrame:
-    """center, member and fresh: each node with its neighbours, and with up to `reverse` nodes drawn from those it is a neighbour of."""
-    forward = graph.select(F.col("node").alias("center"), F.explode(F.arrays_zip("ids", "fresh")).alias("_m")).select("center", F.col("_m.ids").alias("member"), F.col("_m.fresh").alias("fresh"))
-    by_draw = Window.partitionBy("member").orderBy(F.desc("fresh"), F.xxhash64("center", "member", F.lit(draw)))
-    back = forward.withColumn("_n", F.row_number().over(by_draw)).where(F.col("_n") <= reverse).select(F.col("member").alias("center"), F.col("center").alias("member"), "fresh")
-    return forward.union(back)
-
-
-def descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, reverse: int, buckets: int, draw: int = 0) -> DataFrame:
+    held = F.pmod(F.xxhash64("tree", "band", "code", "piece"), F.lit(max(1, -(-trees * total // BUCKET), min(BUCKETS, trees * total // (2 * group)))))
+    return placed.groupBy(held.alias("_groups")).applyInPandas(nearest, BETTER)
+
+
+def gathered(graph: DataFrame, k: int, reverse: int, buckets: int, draw: int = 0, fresh_only: bool = False) -> DataFrame:
+    """Each node as a center with its neighbours and up to `reverse` nodes drawn from those it is a neighbour of, and with their vectors.
+    fresh_only: only centers with a fresh member, and each is a member of its own."""
+
+    def edges(batches):
+        for batch in batches:
+            for bucket, node, ids, scores, fresh in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "ids", "scores", "fresh"))):
+                node, ids, fresh = np.frombuffer(node, "i8"), np.frombuffer(ids, "i8"), np.frombuffer(fresh, bool)
+                at = np.flatnonzero(np.frombuffer(scores, "f4") > -np.inf)
+                yield batch_of(rows_for(ids[at] % buckets, bucket, center=node[at // k], member=ids[at], fresh=fresh[at]))
+
+    def choose(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        node, ids, own_fresh = joined(own["node"], "i8"), joined(own["ids"], "i8"), joined(own["fresh"], bool)
+        at = np.flatnonzero(joined(own["scores"], "f4") > -np.inf)
+        back, here, fresh = joined(told["center"], "i8"), joined(told["member"], "i8"), joined(told["fresh"], bool)
+        here = np.searchsorted(node, here)
+        chance = hashed(back, here, draw) >> np.uint64(33) | (~fresh).astype(np.uint64) << np.uint64(31)
+        order = np.argsort(here.astype(np.uint64) << np.uint64(32) | chance, kind="stable")
+        order = order[places(here[order]) < reverse]
+        center = np.concatenate([at // k, here[order]])
+        member, fresh = np.concatenate([ids[at], back[order]]), np.concatenate([own_fresh[at], fresh[order]])
+        if fresh_only:
+            news = np.zeros(len(node), bool)
+            news[center[fresh]] = True
+            keep, alone = news[center], np.flatnonzero(news)
+            center, member, fresh = np.concatenate([center[keep], alone]), np.concatenate([member[keep], node[alone]]), np.concatenate([fresh[keep], np.zeros(len(alone), bool)])
+        order = first_of_pairs(center, member, ~fresh)
+        return pd.DataFrame(rows_for(member[order] % buckets, int(own["bucket"].iloc[0]), center=node[center[order]], member=member[order], fresh=fresh[order]))
+
+    def bring(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        node, v = joined(own["node"], "i8"), joined(own["v"], "u1").reshape(len(joined(own["node"], "i8")), -1)
+        worst = joined(own["scores"], "f4").reshape(-1, k).min(axis=1)
+        out = []
+        for source, center, member, fresh in zip(*(asked[c] for c in ("source", "center", "member", "fresh"))):
+            ids, index = np.unique(np.frombuffer(member, "i8"), return_inverse=True)
+            at = np.searchsorted(node, ids)
+            out.append((source, asked["to"].iloc[0], center, index.astype("i4").tobytes(), fresh, ids.tobytes(), v[at].tobytes(), worst[at].tobytes()))
+        return pd.DataFrame(out, columns=["to", "source", "center", "index", "fresh", "ids", "v", "worst"])
+
+    pairs = "to long, source long, center binary, member binary, fresh binary"
+    told = graph.select("bucket", "node", "ids", "scores", "fresh").mapInArrow(edges, pairs)
+    asked = graph.select("bucket", "node", "ids", "scores", "fresh").groupBy("bucket").cogroup(told.groupBy("to")).applyInPandas(choose, pairs)
+    return graph.select("bucket", "node", "v", "scores").groupBy("bucket").cogroup(asked.groupBy("to")).applyInPandas(bring, AROUND)
+
+
+def around(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, ...]:
+    """Of one bucket of centers: centers, in order, each with as many members as the next array tells; these members' places and whether they are fresh; names and vectors of all members."""
+    ids, v = joined(rows["ids"], "i8"), matrix(rows["v"], "f2", width)
+    offset = np.cumsum([0, *(len(i) // 8 for i in rows["ids"])])[:-1]
+    index = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(i, "i4") + o for i, o in zip(rows["index"], offset))])
+    center = joined(rows["center"], "i8")
+    order = np.argsort(center, kind="stable")
+    names, count = np.unique(center, return_counts=True)
+    return names, count, index[order], joined(rows["fresh"], bool)[order], ids, v
+
+
+def descend(graph: DataFrame, width: int, k: int, reverse: int, buckets: int, draw: int = 0) -> DataFrame:
     """One round: the graph with what its nodes' neighbours know of each other, where that is news."""
-    around = gathered(graph, reverse, draw).groupBy("center").agg(F.collect_list(F.struct("member", "fresh")).alias("_m"))  # k + reverse at most
-    around = around.where(F.exists("_m", lambda m: m["fresh"])).select("center", F.explode("_m").alias("_m")).select("center", F.col("_m.member").alias("node"), F.col("_m.fresh").alias("fresh"))
-    around = around.union(around.select("center", F.col("center").alias("node"), F.lit(False)).distinct())
-    around = around.groupBy("center", "node").agg(F.max("fresh").alias("fresh"))
-    worst = graph.select("node", F.when(F.size("ids") >= k, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-    told = around.join(nodes.join(worst, "node").select("node", "v", "worst"), "node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, worst, fresh = matrix(pdf["v"], "f2", width), pdf["node"].to_numpy(), pdf["worst"].to_numpy(), pdf["fresh"].to_numpy(bool)
-        out: tuple[list, list, list] = [], [], []
-        for rows in pdf.groupby("center").indices.values():
-            s = x[rows] @ x[rows].T
-            new = fresh[rows]
-            s[~(new[:, None] | new[None, :])] = -np.inf
-            np.fill_diagonal(s, -np.inf)
-            n = min(k, len(rows) - 1)
-            top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n > 0 else np.zeros((len(rows), 0), int)
-            score = np.take_along_axis(s, top, 1)
-            better = score > worst[rows][:, None]
-            for i in np.flatnonzero(better.any(axis=1)).tolist():
-                b = better[i] & (score[i] > -np.inf)
-                out[0].append(ids[rows[i]])
-                out[1].append(ids[rows[top[i][b]]])
-                out[2].append(score[i][b])
-        return lists(*out)
-
-    found = told.groupBy(F.pmod(F.xxhash64("center"), F.lit(buckets * 4)).alias("_bucket")).applyInPandas(compare, LIST)
-    return merged_lists(found, k, buckets, graph)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        centers, count, index, fresh, ids, x = around(rows, width)
+        worst = joined(rows["worst"], "f4")
+        most = int(count.max(initial=0))
+        at = np.repeat(np.arange(len(centers)), count), places(np.repeat(np.arange(len(centers)), count))
+        member, new, there = np.zeros((len(centers), most), np.int64), np.zeros((len(centers), most), bool), np.zeros((len(centers), most), bool)
+        member[at], new[at], there[at] = index, fresh, True
+        others = ~np.eye(most, dtype=bool)
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        held = 0
+        for a in range(0, len(centers), CENTERS):
+            m, n, t = (c[a : a + CENTERS] for c in (member, new, there))
+            near = x[m]
+            s = near @ near.transpose(0, 2, 1)
+            better = (s > worst[m][:, :, None]) & (n[:, :, None] | n[:, None, :]) & t[:, :, None] & t[:, None, :] & others
+            c, i, j = np.nonzero(better)
+            found.append((m[c, i], m[c, j], s[c, i, j]))
+            held += len(c)
+            if held > PAIRS or a + CENTERS >= len(centers):
+                node, other, score = (np.concatenate(f) for f in zip(*found))
+                keep = best_rows(node, other, score, k)
+                found, held = [(node[keep], other[keep], score[keep])], 0
+        node, other, score = found[0]
+        return pd.DataFrame(rows_for(ids[node] % buckets, int(rows["to"].iloc[0]), node=ids[node], ids=ids[other], scores=score))
+
+    return merged(graph, gathered(graph, k, reverse, buckets, draw, fresh_only=True).groupBy("to").applyInPandas(compare, BETTER), k)
 
 
 def share_changed(graph: DataFrame) -> float:
     """Share of the list entries that the last round brought."""
-    new, held = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("ids"))).first()
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(joined(batch.column("fresh"), bool).sum())]), pa.array([int((joined(batch.column("scores"), "f4") > -np.inf).sum())])], ["new", "held"])
+
+    new, held = graph.select("fresh", "scores").mapInArrow(counted, "new long, held long").agg(F.sum("new"), F.sum("held")).first()
     return (new or 0) / max(1, held or 0)
 
 
-#: What a bucket of nodes has for a bucket of queries: their names, how many nodes each is told of, and these with their scores.
-FOUND = "_bucket long, queries array<string>, sizes array<int>, ids array<long>, scores array<float>"
+#: A bucket of queries: node, band and vector (single precision) of each, how many nodes its list has, and all lists, best first, with what has been looked at. open: some list is not.
+SEARCH = "bucket long, node binary, band binary, v binary, sizes binary, ids binary, scores binary, seen binary, open int"
+#: What a bucket of queries asks a bucket of nodes: queries, their vectors and what a node must beat to be among their best so far; at, the place of a query in these, and the node it looks at.
+ASKED = "to long, source long, query binary, v binary, floor binary, at binary, node binary"
+FOUND = "to long, source long, query binary, ids binary, scores binary"
 
 
-def search(state: DataFrame, links: DataFrame, buckets: int, width: int, beam: int, expand: int, query_buckets: int) -> DataFrame:
-    """state: query (a name of its own for each search), v (single precision), ids and scores to begin with, best first. links: bucket, node, ids, v of all ids, of so many buckets. Returns query, ids, scores."""
-    state = stored(state.select("query", "v", "ids", "scores", F.transform("ids", lambda _: F.lit(False)).alias("seen"), F.lit(1).alias("open")), "search")
+def search(begun: DataFrame, queries: int, links: DataFrame, buckets: int, width: int, beam: int, expand: int, kept: int) -> DataFrame:
+    """begun: node, band, v (single precision), ids and scores to begin with, best first, about so many queries. links: what `gathered` gives. Returns node, band, and ids and scores of the `kept` best."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["ids"].map(len).to_numpy("i4")
+        row = (pdf["node"].to_numpy().tobytes(), pdf["band"].to_numpy().tobytes(), b"".join(pdf["v"]), sizes.tobytes(), np.concatenate(pdf["ids"].to_list()).astype("i8").tobytes(), np.concatenate(pdf["scores"].to_list()).astype("f4").tobytes(), bytes(int(sizes.sum())))
+        return pd.DataFrame([(int(pdf["bucket"].iloc[0]), *row, 1)], columns=["bucket", "node", "band", "v", "sizes", "ids", "scores", "seen", "open"])
 
     def ask(batches):
-        for batch in slices(batches):
-            rows: tuple[list, list] = [], []
-            floors = []  # what a node must beat to be among the best so far
-            for i, (ids, seen, scores) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "seen", "scores")))):
-                new = [n for n, s in zip(ids, seen) if not s][:expand]  # lists are in order, best first
-                rows[0].extend(new)
-                rows[1].extend([i] * len(new))
-                floors.append(scores[beam - 1] if len(scores) >= beam else float("-inf"))
-            at = pa.array(rows[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), batch.column("query").take(at), batch.column("v").take(at), pa.array(floors, pa.float32()).take(at)], ["at", "query", "v", "floor"])
+        for batch in batches:
+            for bucket, v, sizes, ids, scores, seen in zip(*(batch.column(c).to_pylist() for c in ("bucket", "v", "sizes", "ids", "scores", "seen"))):
+                v, sizes, ids, scores = np.frombuffer(v, "f4").reshape(-1, width), np.frombuffer(sizes, "i4"), np.frombuffer(ids, "i8"), np.frombuffer(scores, "f4")
+                query = np.repeat(np.arange(len(sizes)), sizes)
+                ends = np.cumsum(sizes)
+                floors = np.where(sizes >= beam, scores[np.minimum(ends - sizes + beam, len(scores)) - 1], -np.inf).astype("f4")
+                new = np.flatnonzero(~np.frombuffer(seen, bool))
+                new = new[places(query[new]) < expand]
+                to = ids[new] % buckets
+                order = np.argsort(to, kind="stable")
+                out = []
+                for rows in np.split(new[order], np.flatnonzero(np.diff(to[order])) + 1) if len(new) else ():
+                    own, at = np.unique(query[rows], return_inverse=True)
+                    out.append((int(ids[rows[0]] % buckets), bucket, own.astype("i4").tobytes(), v[own].tobytes(), floors[own].tobytes(), at.astype("i4").tobytes(), ids[rows].tobytes()))
+                if out:
+                    yield batch_of(dict(zip(("to", "source", "query", "v", "floor", "at", "node"), map(list, zip(*out)))))
 
     def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        row_of = {n: i for i, n in enumerate(known["node"].tolist())}
-        near = [np.frombuffer(v, "f2").reshape(-1, width).astype(np.float32) for v in known["v"]]
-        known_ids = known["ids"].to_numpy()
-        at, v, names, floor = (asked[c].to_numpy() for c in ("at", "v", "query", "floor"))
-        packed = []
-        for bucket, own_rows in asked.groupby("_bucket").indices.items():
-            told: tuple[list, list, list] = [], [], []
-            for query, rows in asked.iloc[own_rows].groupby("query").indices.items():
-                rows = own_rows[rows]
-                own = [row_of[n] for n in at[rows].tolist() if n in row_of]
-                if not own:
-                    continue
-                ids = np.concatenate([known_ids[i] for i in own])
-                scores = np.concatenate([near[i] for i in own]) @ np.frombuffer(v[rows[0]], "f4")
-                better = ~(scores < floor[rows[0]])  # an overflow is no reason to drop a node
-                if better.any():
-                    for column, value in zip(told, (query, *best_of(ids[better], scores[better], beam))):
-                        column.append(value)
-            if told[0]:
-                packed.append((bucket, told[0], list(map(len, told[1])), np.concatenate(told[1]), np.concatenate(told[2]).astype(np.float32)))
-        return pd.DataFrame(packed, columns=["_bucket", "queries", "sizes", "ids", "scores"])
+        if asked.empty or known.empty:
+            return pd.DataFrame(columns=["to", "source", "query", "ids", "scores"])
+        centers, count, members, _, ids, x = around(known, width)
+        ends = np.cumsum(count)
+        query, v, floor = joined(asked["query"], "i4"), joined(asked["v"], "f4").reshape(-1, width), joined(asked["floor"], "f4")
+        offset = np.cumsum([0, *(len(q) // 4 for q in asked["query"])])
+        at = np.concatenate([np.frombuffer(a, "i4") + o for a, o in zip(asked["at"], offset)])
+        node = joined(asked["node"], "i8")
+        row = np.minimum(np.searchsorted(centers, node), len(centers) - 1)
+        order = np.flatnonzero(centers[row] == node)  # all but a node without any neighbour
+        order = order[np.argsort(row[order], kind="stable")]
+        pairs, pair_count = at[order], count[row[order]]
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(row[order])) + 1, [len(order)]])  # runs of one node
+        begins = np.concatenate([[0], np.cumsum(pair_count)])
+        a = 0
+        while a < len(cuts) - 1 and len(order):
+            b = max(a + 1, int(np.searchsorted(begins[cuts], begins[cuts[a]] + PAIRS, "right")) - 1)  # nodes a to b give some PAIRS scores
+            scores, at_member = np.empty(begins[cuts[b]] - begins[cuts[a]], np.float32), []
+            for p, q in zip(cuts[a:b].tolist(), cuts[a + 1 : b + 1].tolist()):
+                r = row[order[p]]
+                own = members[ends[r] - count[r] : ends[r]]
+                np.matmul(v[pairs[p:q]], x[own].T, out=scores[begins[p] - begins[cuts[a]] : begins[q] - begins[cuts[a]]].reshape(q - p, -1))
+                at_member.extend([own] * (q - p))
+            pair = np.repeat(np.arange(cuts[a], cuts[b]), pair_count[cuts[a] : cuts[b]])
+            good = np.flatnonzero(~(scores < floor[pairs][pair]))  # an overflow is no reason to drop a node
+            found.append((pairs[pair[good]], np.concatenate(at_member)[good], scores[good]))
+            a = b
+        at, member, scores = (np.concatenate(f) for f in zip(*found))
+        _, once = np.unique(at * len(ids) + member, return_index=True)  # in the order of queries
+        at, member, scores = at[once], member[once], scores[once]
+        cuts = np.searchsorted(at, offset)
+        out = [(source, asked["to"].iloc[0], query[at[a:b]].tobytes(), ids[member[a:b]].tobytes(), scores[a:b].tobytes()) for source, a, b in zip(asked["source"], cuts, cuts[1:]) if b > a]
+        return pd.DataFrame(out, columns=["to", "source", "query", "ids", "scores"])
 
     def merge(old: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        more: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for queries, sizes, ids, scores in zip(*(found[c] for c in ("queries", "sizes", "ids", "scores"))):
-            ends = np.cumsum(sizes)
-            for query, a, b in zip(queries, ends - sizes, ends):
-                more.setdefault(query, []).append((ids[a:b], scores[a:b]))
-        columns = {c: old[c].tolist() for c in ("ids", "scores", "seen", "open")}
-        for i, query in enumerate(old["query"].tolist()):
-            if not columns["open"][i]:
-                continue
-            ids, scores, seen = (np.asarray(columns[c][i]) for c in ("ids", "scores", "seen"))
-            seen = seen.astype(bool)
-            seen[np.flatnonzero(~seen)[:expand]] = True
-            told = more.get(query, [])
-            looked = ids[seen]
-            ids, scores = best_of(np.concatenate([ids, *(t[0] for t in told)]), np.concatenate([scores, *(t[1] for t in told)]), beam)
-            seen = np.isin(ids, looked)
-            columns["ids"][i], columns["scores"][i], columns["seen"][i], columns["open"][i] = ids, scores.astype(np.float32), seen, int(not seen.all())
-        return pd.DataFrame({"query": old["query"], "v": old["v"], **{c: pd.Series(v, dtype=object if c != "open" else int, index=old.index) for c, v in columns.items()}})
-
-    group = F.pmod(F.xxhash64("query"), F.lit(query_buckets)).cast("long").alias("_bucket")
+        if not old["open"].iloc[0]:
+            return old
+        sizes, ids, scores, seen = (joined(old[c], kind) for c, kind in (("sizes", "i4"), ("ids", "i8"), ("scores", "f4"), ("seen", bool)))
+        query, more, more_scores = joined(found["query"], "i4"), joined(found["ids"], "i8"), joined(found["scores"], "f4")
+        order = np.argsort(query.astype("u2") if len(sizes) < 1 << 16 else query, kind="stable")
+        more, more_scores = more[order], more_scores[order]
+        cuts, ends = np.concatenate([[0], np.cumsum(np.bincount(query, minlength=len(sizes)))]), np.cumsum(sizes)
+        out: tuple[list, list, list] = [], [], []
+        for q, (a, b) in enumerate(zip(ends - sizes, ends)):
+            own, own_scores, own_seen = ids[a:b], scores[a:b], seen[a:b]
+            if not own_seen.all():
+                own_seen = own_seen.copy()
+                own_seen[np.flatnonzero(~own_seen)[:expand]] = True
+                all_ids, all_scores = np.concatenate([own, more[cuts[q] : cuts[q + 1]]]), np.concatenate([own_scores, more_scores[cuts[q] : cuts[q + 1]]])
+                order = np.argsort(all_ids)
+                first = np.minimum.reduceat(order, np.concatenate([[0], np.flatnonzero(np.diff(all_ids[order])) + 1]))  # what the list has comes first
+                if len(first) > beam:
+                    first = first[all_scores[first] >= np.partition(all_scores[first], -beam)[-beam]]
+                best = first[np.argsort(-all_scores[first], kind="stable")[:beam]]
+                own, own_scores = all_ids[best], all_scores[best]
+                own_seen = np.concatenate([own_seen, np.zeros(len(all_ids) - (b - a), bool)])[best]
+            for column, value in zip(out, (own, own_scores, own_seen)):
+                column.append(value)
+        seen = np.concatenate(out[2])
+        return old.assign(sizes=[np.array([len(o) for o in out[0]], "i4").tobytes()], ids=[np.concatenate(out[0]).tobytes()], scores=[np.concatenate(out[1]).tobytes()], seen=[seen.tobytes()], open=np.int32(not seen.all()))
+
+    def unpack(batches):
+        for batch in batches:
+            for node, band, sizes, ids, scores in zip(*(batch.column(c).to_pylist() for c in ("node", "band", "sizes", "ids", "scores"))):
+                sizes, ids, scores = np.frombuffer(sizes, "i4"), np.frombuffer(ids, "i8"), np.frombuffer(scores, "f4")
+                first = np.flatnonzero(places(np.repeat(np.arange(len(sizes)), sizes)) < kept)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(sizes, kept))]).astype("i4"))
+                both = [pa.ListArray.from_arrays(offsets, pa.array(c[first])) for c in (ids, scores)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(node, "i8")), pa.array(np.frombuffer(band, "i8")), *both], ["node", "band", "ids", "scores"])
+
+    parts = max(1, -(-queries * beam // ENTRIES_HELD), min(BUCKETS, queries // 32))
+    state = begun.withColumn("bucket", F.pmod(F.xxhash64("node", "band"), F.lit(parts)))
+    state = stored(state.select("bucket", "node", "band", "v", "ids", "scores").groupBy("bucket").applyInPandas(pack, SEARCH), "search")
     while not state.where("open = 1").isEmpty():  # a node is looked at once, so a search ends
-        asked = state.where("open = 1").mapInArrow(ask, "at long, query string, v binary, floor float").withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets))).withColumn("_bucket", group)
-        found = asked.groupBy("bucket").cogroup(links.groupBy("bucket")).applyInPandas(score, FOUND)
-        before, state = state, stored(state.groupBy(group).cogroup(found.groupBy("_bucket")).applyInPandas(merge, state.schema), "search")
+        asked = state.where("open = 1").mapInArrow(ask, ASKED)
+        found = asked.groupBy("to").cogroup(links.groupBy("to")).applyInPandas(score, FOUND)
+        before, state = state, stored(state.groupBy("bucket").cogroup(found.groupBy("to")).applyInPandas(merge, SEARCH), "search")
         forget(before)
-    return state.select("query", "ids", "scores")
+    return state.mapInArrow(unpack, "node long, band long, ids array<long>, scores array<float>")
 
 
 def measured(rows: DataFrame) -> DataFrame:
@@ -293,7 +472,7 @@ def nearest_of_all(firsts: DataFrame, queries: list, count: int) -> dict[int, se
         names, q = sent.value
         held = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
         for batch in slices(batches, 4096):
-            ids, s = batch.column("node").to_numpy(), np.array(batch.column("x").to_pylist(), float) @ q.T
+            ids, s = batch.column("node").to_numpy(), floats(batch.column("x"), q.shape[1]) @ q.T
             for i, name in enumerate(names.tolist()):
                 other = ids != name
                 held[i] = best_of(np.concatenate([held[i][0], ids[other]]), np.concatenate([held[i][1], s[other, i]]), count)
@@ -341,7 +520,7 @@ def nearest(
 
     def vectors_of(batches):
         for batch in slices(batches, 4096):
-            x = np.array(batch.column("x").to_pylist(), float)
+            x = floats(batch.column("x"), dims)
             largest = np.abs(x).max(axis=1, keepdims=True)
             norm = largest * np.sqrt(((x / largest) ** 2).sum(axis=1, keepdims=True))
             share = np.exp2(np.log2(norm) - np.log2(most) + batch.column("band").to_numpy()[:, None])  # of the band's largest norm
@@ -356,28 +535,19 @@ def nearest(
     nodes = stored(firsts.mapInArrow(vectors_of, "node long, band long, v binary, as_query binary"), "nodes")
     totals = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # as many rows as powers of two between norms
     total, wide = sum(totals.values()), dims + 1
-    buckets = max(1, -(-total // BUCKET))
-    graph = stored(first_neighbours(nodes, totals, wide, k, trees, group, sample_rows, buckets), "graph")
+    buckets = max(1, -(-total // BUCKET), min(BUCKETS, total // SMALL))
+    better = stored(first_neighbours(nodes, totals, wide, k, trees, group, sample_rows, buckets), "better")
+    graph = stored(merged(packed(nodes, k, buckets), better, k), "graph")
+    forget(better)
     for draw in itertools.count() if total > 1 else ():
-        before, graph = graph, stored(descend(graph, nodes.select("node", "v"), wide, k, reverse, buckets, draw), "graph")
+        before, graph = graph, stored(descend(graph, wide, k, reverse, buckets, draw), "graph")
         forget(before)
         if share_changed(graph) <= changed:
             break
-    pairs = gathered(graph, max(reverse, FOLLOWED)).select("center", "member").distinct().join(nodes.select(F.col("node").alias("member"), "v"), "member")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ids, v = pdf["member"].to_numpy(), pdf["v"].to_numpy()
-        for node, at in pdf.groupby("center").indices.items():
-            out.append((pdf["bucket"].iloc[0], node, ids[at], b"".join(v[at])))
-        return pd.DataFrame(out, columns=["bucket", "node", "ids", "v"])
-
-    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("center"), F.lit(buckets)))
-    links = stored(pairs.groupBy("bucket").applyInPandas(pack, "bucket long, node long, ids array<long>, v binary"), "links")
+    links = bucketed(gathered(graph, k, max(reverse, FOLLOWED), buckets).select("to", "source", "center", "index", "fresh", "ids", "v"), "to", buckets, "links")
     starts = stored(asked.select("node").distinct().join(nodes.select("node", "band", F.col("as_query").alias("v")), "node"), "starts")
-    parts = max(1, buckets // 8)
-    query = F.concat_ws(":", F.col("node").cast("string"), F.col("band").cast("string")).alias("query")
-    begun = starts.select(query, "v", F.array("node").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("scores"))
+    queries = starts.count()
+    begun = starts.select("node", "band", "v", F.array("node").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("scores"))
     if len(totals) > 1:
         # Products with the query's direction: those of a band are at most its largest norm.
         entry = [r for b, n in totals.items() for r in nodes.where((F.col("band") == b) & drawn("node", ENTRIES / n, 11)).select("node", "band", "v").collect()]  # about ENTRIES of each band
@@ -386,28 +556,28 @@ def nearest(
 
     def searched(beam: int, width: int) -> DataFrame:
         """node and ids, the best found in each band."""
-        found = search(begun, links, buckets, wide, beam, width, parts)
+        found = search(begun, queries, links, buckets, wide, beam, width, 3 * count + 1)
         if len(totals) == 1:
-            return found.select(F.split_part("query", F.lit(":"), F.lit(1)).cast("long").alias("node"), "ids")
+            return found.select("node", "ids")
 
         def others(batches):
             points = {b: (np.array(i, np.int64), np.frombuffer(v, "f2").reshape(-1, wide).astype(np.float32)) for b, (i, v) in sent.value.items()}
             for batch in slices(batches):
-                out: tuple[list, list, list, list] = [], [], [], []
+                out: tuple[list, ...] = [], [], [], [], []
                 for node, own, kth, v in zip(*(batch.column(c).to_pylist() for c in ("node", "band", "kth", "v"))):
                     for b, (ids, x) in points.items():
                         if b != own and len(ids) and 2.0**-b > kth * 2.0**-own - 0.01 * 2.0 ** -min(own, b):
-                            for column, value in zip(out, (f"{node}:{b}", v, *best_of(ids, x @ np.frombuffer(v, "f4"), beam))):
+                            for column, value in zip(out, (node, b, v, *best_of(ids, x @ np.frombuffer(v, "f4"), beam))):
                                 column.append(value)
-                kinds = (pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["query", "v", "ids", "scores"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["node", "band", "v", "ids", "scores"])
 
-        kth = found.select("query", F.coalesce(F.try_element_at("scores", F.lit(count + 1)), F.lit(float("-inf"))).alias("kth"))
-        rest = starts.withColumn("query", query).join(kth, "query").mapInArrow(others, "query string, v binary, ids array<long>, scores array<float>")
-        found = found.union(search(rest, links, buckets, wide, beam, width, parts))
-        return found.select(F.split_part("query", F.lit(":"), F.lit(1)).cast("long").alias("node"), "ids")
+        kth = found.select("node", F.coalesce(F.try_element_at("scores", F.lit(count + 1)), F.lit(float("-inf"))).alias("kth"))
+        rest = starts.join(kth, "node").mapInArrow(others, "node long, band long, v binary, ids array<long>, scores array<float>")
+        found = found.union(search(rest, queries * (len(totals) - 1), links, buckets, wide, beam, width, 3 * count + 1))
+        return found.select("node", "ids")
 
-    checked = stored(asked.select("node").distinct().where(drawn("node", CHECKED / max(1, starts.count()), 17)).join(firsts.select("node", "x"), "node"), "checked")
+    checked = stored(asked.select("node").distinct().where(drawn("node", CHECKED / max(1, queries), 17)).join(firsts.select("node", "x"), "node"), "checked")
     truth = nearest_of_all(firsts, checked.select("node", "x").collect(), count)
     while True:
         found = searched(beam, width)
@@ -416,6 +586,7 @@ def nearest(
         if recall >= TARGET or beam >= total:
             break
         beam, width = beam * WIDER, width * WIDER
+    forget(links)
 
     # Exact scores of the best nodes, and of the query's own, for its copies.
     tops = found.select(F.col("node").alias("query"), F.explode(F.concat(F.array("node"), F.slice("ids", 1, 3 * count))).alias("node")).distinct()
@@ -423,7 +594,7 @@ def nearest(
 
     def exact(batches):
         for batch in slices(batches, 4096):
-            x, y = (np.array(batch.column(c).to_pylist(), float).reshape(-1, dims) for c in ("x", "y"))
+            x, y = (floats(batch.column(c), dims) for c in ("x", "y"))
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array((x * y).sum(axis=1))], ["query", "node", "score"])
 
     scored = both.select("query", "node", "x", "y").mapInArrow(exact, "query long, node long, score double")

@@ -34,6 +34,15 @@ def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int, tag: str) -> DataFrame:
+    """As `stored`, but in buckets by a column: what groups by it again and again needs no shuffle."""
+    name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", shared_path(df.sparkSession, tag)).format("parquet").saveAsTable(name)
+    out = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # from the catalog; the files stay until they are forgotten
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
     spark = df.sparkSession
